@@ -3,7 +3,8 @@
 Every whitespace-delimited token and every character n-gram of it (with its
 edges marked by a space) is hashed into one of 2**bits vectors. A document is
 the mean of the vectors of all its features; a softmax layer over the classes
-follows. Vectors and layer are learned by stochastic gradient descent in numpy,
+follows. A token that repeats the one before it adds one more feature, the same
+for all tokens: the only word pair that is seen, as it carries over to new words. Vectors and layer are learned by stochastic gradient descent in numpy,
 one document a step.
 
 Learning uses a bounded sample: about ``docs_per_class`` documents of each class,
@@ -53,8 +54,8 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
 
 
-def features(codes: np.ndarray, bits: int):
-    """Yields (start position, bucket) arrays: one pair for the tokens, one for each n-gram length."""
+def features(codes: np.ndarray, ends: np.ndarray, bits: int):
+    """Yields (start position, bucket) arrays: for the tokens, the repeats, and each n-gram length."""
     shift = np.uint64(64 - bits)
     white = codes == _SPACE
     edge = np.flatnonzero(white)
@@ -71,6 +72,9 @@ def features(codes: np.ndarray, bits: int):
     first, last = first[some], last[some]
     token = (running[last] - running[first]) * powers[first]
     yield first, (((token ^ (token >> np.uint64(31))) * _MIX) >> shift).astype(np.int64)
+    owner = np.searchsorted(ends, first, "right")
+    again = first[1:][(token[1:] == token[:-1]) & (owner[1:] == owner[:-1])]
+    yield again, np.full(len(again), (1 << bits) - 1, np.int64)
     whites = np.concatenate([[0], np.cumsum(white)])
     for n in NGRAMS:
         m = len(codes) - n + 1
@@ -90,7 +94,7 @@ def bag(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a whole text and how often each occurs."""
     found = [np.empty(0, np.int64)]
     for piece in segments(text):
-        found += [b for _, b in features(code_points([piece])[0], bits)]
+        found += [b for _, b in features(*code_points([piece]), bits)]
     return np.unique(np.concatenate(found), return_counts=True)
 
 
@@ -147,7 +151,7 @@ class Scorer:
         codes, ends = code_points(texts)
         starts = np.concatenate([[0], ends])
         totals, sizes = np.zeros((len(texts), self.logits.shape[1])), np.zeros(len(texts))
-        for at, bucket in features(codes, self.model.bits):
+        for at, bucket in features(codes, ends, self.model.bits):
             cut = np.searchsorted(at, starts)
             sums = np.zeros((len(at) + 1, self.logits.shape[1]))
             np.cumsum(self.logits[bucket], axis=0, dtype=np.float64, out=sums[1:])
