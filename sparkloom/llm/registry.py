@@ -8,6 +8,8 @@ from importlib import import_module
 QUERIES = {
     "op2_language_id": "langid",
     "op4_quality_classifier": "quality",
+    "op7_token_files": "tokenfile",
+    "op8_best_fit_packing": "packing",
 }
 #: query: module whose ORACLE_SQL matches its rows
 ORACLES: dict[str, str] = {}
