@@ -7,6 +7,7 @@ from importlib import import_module
 #: query: module of this package that defines it
 QUERIES = {
     "op2_language_id": "langid",
+    "op3_bpe": "bpe",
     "op4_quality_classifier": "quality",
     "op7_token_files": "tokenfile",
     "op8_best_fit_packing": "packing",
