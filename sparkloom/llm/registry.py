@@ -9,6 +9,7 @@ QUERIES = {
     "op2_language_id": "langid",
     "op3_bpe": "bpe",
     "op4_quality_classifier": "quality",
+    "op6_minhash_near_dedup": "neardup",
     "op7_token_files": "tokenfile",
     "op8_best_fit_packing": "packing",
 }
