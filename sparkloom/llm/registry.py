@@ -12,6 +12,7 @@ QUERIES = {
     "op6_minhash_near_dedup": "neardup",
     "op7_token_files": "tokenfile",
     "op8_best_fit_packing": "packing",
+    "op9_suffix_array_dedup": "suffixdedup",
 }
 #: query: module whose ORACLE_SQL matches its rows
 ORACLES: dict[str, str] = {}
