@@ -9,10 +9,12 @@ QUERIES = {
     "op2_language_id": "langid",
     "op3_bpe": "bpe",
     "op4_quality_classifier": "quality",
+    "op5_exact_top_k": "kdtree",
     "op6_minhash_near_dedup": "neardup",
     "op7_token_files": "tokenfile",
     "op8_best_fit_packing": "packing",
     "op9_suffix_array_dedup": "suffixdedup",
+    "op10_permutation_index": "permutation",
 }
 #: query: module whose ORACLE_SQL matches its rows
 ORACLES: dict[str, str] = {}
