@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query: module of this package that defines it
 QUERIES = {
+    "op1_license_scan": "licenses",
     "op2_language_id": "langid",
     "op3_bpe": "bpe",
     "op4_quality_classifier": "quality",
@@ -17,7 +18,7 @@ QUERIES = {
     "op10_permutation_index": "permutation",
 }
 #: query: module whose ORACLE_SQL matches its rows
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_license_scan": "licenses"}
 
 
 def queries():
