@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -39,7 +40,7 @@ class WordwiseEncoder:
     default; nothing is added, cut or padded.
     """
 
-    def __init__(self, tokenizer: str, limit: int = 500_000):
+    def __init__(self, tokenizer: str, limit: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
@@ -49,6 +50,7 @@ class WordwiseEncoder:
         spec = json.loads(self.tokenizer.to_str())
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.lower, self.word = self._cutter(spec)
         added = [x["content"] for x in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
@@ -82,22 +84,24 @@ class WordwiseEncoder:
         if self.lower:
             text = text.lower()
         words = self.word.findall(text)
-        got = list(map(self.memo.get, words))
-        if None in got:
-            self._learn({w for w, ids in zip(words, got, strict=True) if ids is None})
-            memo = self.memo
-            got = [memo[w] if ids is None else ids for w, ids in zip(words, got, strict=True)]
-        return np.frombuffer(b"".join(got), self.dtype)
-
-    def _learn(self, words: set[str]) -> None:
-        """Encode new words together; a full memory starts anew."""
-        if len(self.memo) + len(words) > self.limit:
-            self.memo.clear()
-        words = list(words)
+        memo = self.memo
+        try:
+            found = b"".join(map(memo.__getitem__, words))
+        except KeyError:
+            new = set(words).difference(memo)
+            if len(memo) + len(new) > self.limit:
+                memo.clear()
+                new = set(words)
+            self._learn(list(new))
+            found = b"".join(map(memo.__getitem__, words))
+        return np.frombuffer(found, self.dtype)
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode new words together."""
         for start in range(0, len(words), 4096):
             part = words[start : start + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[w] = np.array(e.ids, self.dtype).tobytes()
+                self.memo[w] = array(self.code, e.ids).tobytes()
 
 
 _encoders: dict[str, WordwiseEncoder] = {}
