@@ -12,6 +12,7 @@ of recent words stands before both, so a word that recurs is looked up once.
 
 from __future__ import annotations
 
+import heapq
 import json
 import mmap
 import os
@@ -34,6 +35,9 @@ from .tokens import LOWER_WORD, UNSAFE, resolve
 
 MAGIC = b"SLLEXIC1"
 LEXICON_WORDS = 200_000
+_BITS = 20
+_MASK = (1 << _BITS) - 1
+_BYTES = [bytes([b]) for b in range(256)]
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -55,12 +59,19 @@ class Rules:
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
-        self.rank: dict[tuple[str, str], int] = {tuple(m): i for i, m in enumerate(model["merges"])}
+        # a pair of ids leads to the rank of its merge and the new id; both in one number, so the least has the lowest rank
+        merges = [tuple(m) for m in model["merges"]]
+        self.pair = {self.vocab[a] << _BITS | self.vocab[b]: i << _BITS | self.vocab[a + b] for i, (a, b) in reversed(list(enumerate(merges)))}
+        self.none = len(merges) << _BITS
         self.special: dict[str, int] = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.alphabet = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
+        alphabet = byte_alphabet()
+        self.inner = [self.vocab[alphabet[b]] for b in range(256)]
+        self.final = [self.vocab[alphabet[b] + self.suffix] for b in range(256)]
         self.word = regex.compile(next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"))
-        self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.tokens = [names.get(i, "") for i in range(max(names) + 1)]
+        self.decimal = [str(i) for i in range(len(self.tokens))]
 
     def words(self, text: str) -> list[str]:
         """The words of a text without special tokens."""
@@ -70,46 +81,53 @@ class Rules:
         return self.word.findall("".join(c.lower() for c in text))
 
     def merge(self, word: str) -> list[int]:
-        """Ids of a word: the lowest-ranked adjacent pair is merged, leftmost first, until none is left."""
-        symbols = list(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet))
-        symbols[-1] += self.suffix
-        rank, none = self.rank, len(self.rank)
-        if len(symbols) > 200:
-            symbols = self._merge_long(symbols)
-        while len(symbols) > 1:
-            ranks = [rank.get(p, none) for p in zip(symbols, symbols[1:], strict=False)]
-            best = min(ranks)
+        """Ids of a word: the lowest-ranked adjacent pair is merged, leftmost first, until none is left.
+
+        links[i] is the rank and result of merging ids i and i + 1; a merge changes two of them.
+        """
+        raw = word.encode("utf-8", "surrogatepass")
+        ids = [self.inner[b] for b in raw]
+        ids[-1] = self.final[raw[-1]]
+        if len(ids) > 200:
+            return self._merge_long(ids)
+        get, none = self.pair.get, self.none
+        links = [get(a << _BITS | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while links:
+            best = min(links)
             if best == none:
                 break
-            at = ranks.index(best)
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-        return [self.vocab[s] for s in symbols if s in self.vocab]
-
-    def _merge_long(self, symbols: list[str]) -> list[str]:
+            i = links.index(best)
+            new = ids[i] = best & _MASK
+            del ids[i + 1], links[i]
+            if i:
+                links[i - 1] = get(ids[i - 1] << _BITS | new, none)
+            if i < len(links):
+                links[i] = get(new << _BITS | ids[i + 1], none)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
         """The same result for long words, with a heap of pairs over a linked list."""
-        import heapq
-
-        n = len(symbols)
+        n, get, none = len(ids), self.pair.get, self.none
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(self.rank[p], i, *p) for i in range(n - 1) if (p := (symbols[i], symbols[i + 1])) in self.rank]
+        heap = [(link, i, ids[i], ids[i + 1]) for i in range(n - 1) if (link := get(ids[i] << _BITS | ids[i + 1], none)) != none]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            link, i, a, b = heapq.heappop(heap)
             j = after[i]
-            if symbols[i] != a or j >= n or symbols[j] != b:
+            if ids[i] != a or j >= n or ids[j] != b:
                 continue
-            symbols[i], symbols[j] = a + b, ""
+            ids[i], ids[j] = link & _MASK, -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
             for k in (before[i], i):
-                if k >= 0 and after[k] < n and (p := (symbols[k], symbols[after[k]])) in self.rank:
-                    heapq.heappush(heap, (self.rank[p], k, *p))
-        return [s for s in symbols if s]
+                if k >= 0 and after[k] < n and (link := get(ids[k] << _BITS | ids[after[k]], none)) != none:
+                    heapq.heappush(heap, (link, k, ids[k], ids[after[k]]))
+        return [i for i in ids if i >= 0]
 
     def decode(self, ids) -> str:
         """Tokens joined by single spaces: these files name no decoder. Special tokens stay."""
-        return " ".join([self.tokens[i] for i in ids])
+        return " ".join(map(self.tokens.__getitem__, ids))
 
 
 def compile_lexicon(entries: dict[str, list[int]]) -> bytes:
@@ -190,12 +208,13 @@ class Lexicon:
     def lookup(self, word: str) -> list[int] | None:
         """The word's ids, or None."""
         state, number, find, base = self.root, 0, self.data.find, self.labels
+        first, outputs, targets = self.first, self.outputs, self.targets
         for b in word.encode("utf-8", "surrogatepass"):
-            at = find(b.to_bytes(), base + self.first[state], base + self.first[state + 1]) - base
+            at = find(_BYTES[b], base + first[state], base + first[state + 1]) - base
             if at < 0:
                 return None
-            number += self.outputs[at]
-            state = self.targets[at]
+            number += outputs[at]
+            state = targets[at]
         if not self.final[state]:
             return None
         return self.ids[self.starts[number] : self.starts[number + 1]].tolist()
@@ -204,7 +223,7 @@ class Lexicon:
 class Codec:
     """Encodes and decodes whole texts by lexicon, then exact merges."""
 
-    def __init__(self, tokenizer: str, lexicon: bytes, limit: int = 300_000):
+    def __init__(self, tokenizer: str, lexicon: bytes, limit: int = 600_000):
         self.rules, self.lexicon = Rules(tokenizer), Lexicon.mapped(lexicon)
         self.memo = Memo(self._ids, limit)
         self.digests = Memo(self._digest, limit)
@@ -213,9 +232,9 @@ class Codec:
         found = self.lexicon.lookup(word)
         return self.rules.merge(word) if found is None else found
 
-    def _digest(self, word: str) -> tuple[int, str, str]:
+    def _digest(self, word: str) -> tuple[str, str]:
         ids = self._ids(word)
-        return len(ids), " ".join(map(str, ids)), self.rules.decode(ids)
+        return " ".join(map(self.rules.decimal.__getitem__, ids)), self.rules.decode(ids)
 
     def parts(self, text: str):
         """The text's words and special tokens in order, as (is special, words)."""
@@ -241,36 +260,42 @@ class Codec:
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """(number of ids, SHA-256 of the ids in decimal, SHA-256 of the decoded text), word by word."""
-        found: list[tuple[int, str, str]] = []
+        found: list[tuple[str, str]] = []
         for special, words in self.parts(text or ""):
             if special:
                 i = self.rules.special[words[0]]
-                found.append((1, str(i), self.rules.decode([i])))
+                found.append((self.rules.decimal[i], self.rules.decode([i])))
             else:
                 found += map(self.digests.__getitem__, words)
-        n, ids, tokens = zip(*found, strict=True) if found else ((), (), ())
-        if 0 in n:  # words without any known byte leave no gap
-            ids, tokens = [x for x in ids if x], [x for x in tokens if x]
-        return sum(n), sha256(" ".join(ids).encode()).hexdigest(), sha256(" ".join(tokens).encode("utf-8", "surrogatepass")).hexdigest()
+        ids, tokens = " ".join([x[0] for x in found]), " ".join([x[1] for x in found])
+        n = ids.count(" ") + 1 if ids else 0
+        return n, sha256(ids.encode()).hexdigest(), sha256(tokens.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def count_words(docs: DataFrame, tokenizer: str, text_col: str = "text", flush: int = 500_000) -> DataFrame:
     """(word, n) over all whole texts, summed in each task before the shuffle."""
 
     def run(batches):
-        rules, counts = Rules(tokenizer), Counter()
+        rules, counts, chunks = Rules(tokenizer), Counter(), Counter()
 
         def out():
-            return pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+            for chunk, n in chunks.items():  # no word spans white space: each distinct chunk is cut once
+                for word in LOWER_WORD.findall(chunk):
+                    counts[word] += n
+            rows = pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+            counts.clear(), chunks.clear()
+            return rows
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 for k, part in enumerate(rules.split_special.split(text) if rules.split_special else [text]):
                     if k % 2 == 0:
-                        counts.update(rules.words(part))
-                if len(counts) >= flush:
+                        if UNSAFE.search(part):
+                            counts.update(rules.words(part))
+                        else:
+                            chunks.update(part.lower().split())
+                if len(counts) + len(chunks) >= flush:
                     yield out()
-                    counts.clear()
         yield out()
 
     texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null")

@@ -77,16 +77,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Memo(dict):
-    """A dict that fills itself from ``make`` and starts anew once it is full."""
+    """A dict that fills itself from ``make`` and holds two generations of at most ``limit`` / 2 keys.
 
-    __slots__ = ("limit", "make")
+    Once the newer one is full it becomes the older one, from which keys that come up
+    again return; so what recurs stays and memory is bounded.
+    """
+
+    __slots__ = ("half", "make", "old")
 
     def __init__(self, make, limit: int = 400_000):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.half, self.old = make, max(1, limit // 2), {}
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
+        if len(self) >= self.half:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
