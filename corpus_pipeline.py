@@ -1,25 +1,51 @@
-"""The corpus preparation pipeline: language ID, quality, near duplicates, repeated passages, packing."""
+"""The corpus preparation pipeline over ``documents``.
+
+Language ID, quality, near duplicates, repeated passages, packing: each stage gets
+all rows that the one before kept. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkloom.llm import common, langid, quality
+from sparkloom.llm import common, langid, neardup, packing, quality, suffixdedup
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found; letterless and undecided ones go."""
+    """Documents whose language is found; null, letterless and undecided ones go."""
     return langid.keep_identified(docs, langid.fit(docs))
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier takes for good text."""
+    """Documents that the classifier, learned from the labelled ones among them, takes for good text."""
     return quality.keep_good(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-STAGES = [("language_id", by_language), ("quality", by_quality)]
+def first_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates."""
+    return neardup.keep_first(docs)
+
+
+def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that one with a smaller id has; n_chars follows the text."""
+    return suffixdedup.without_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in sequences of 4096 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", by_language),
+    ("quality", by_quality),
+    ("near_duplicates", first_of_near_duplicates),
+    ("repeated_passages", without_repeated_passages),
+    ("packing", packed),
+]
 
-#: SQL can express neither the models nor the near-duplicate search.
+#: SQL can express neither the models nor the near-duplicate search; tests compare with brute force.
 ORACLE_SQL = None
 
 
