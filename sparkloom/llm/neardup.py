@@ -7,15 +7,18 @@
    COORDINATES * s; pairs with at least ``MATCHES`` collisions are candidates. At s = 0.75 the mean
    is 36 of 48, and fewer than 21 happen about twice in a million pairs.
 3. Counting with prefix and skip: postings that hold one node can't collide and go
-   first. A node with m postings left joins only under its m - MATCHES + 1 rarest ones: any pair with enough collisions
-   meets there, in the order by (length, key) that all nodes share. The longest lists, such as those
-   of a passage in a third of all documents, are skipped; they are only counted, coordinate by
-   coordinate, for the pairs found.
-4. Candidates are confirmed on the full sets.
-5. Groups of thousands of copies must not give all their pairs. So first every list links its
-   nodes to one pivot; whatever that joins into one component needs no more pairs.
-   After some rounds with other pivots, all pairs of nodes in different components that meet in a list
-   are checked, so no link that matters for the components is lost.
+   first. A node with m postings left joins only under its m - MATCHES + 1 rarest ones: any pair with enough
+   collisions meets there, in the order by (length, key) that all nodes share. The longest
+   lists, such as those of a passage in a third of all documents, are skipped; their
+   collisions only count for pairs that meet elsewhere.
+4. Candidates must also agree in ``SKETCH_MATCHES`` of ``SKETCH`` further coordinates, of which a node
+   keeps a byte each (at 0.75, fewer agree about once in a million pairs), and are then confirmed on
+   the full sets.
+5. Groups of thousands of copies must not give all their pairs. So first every node is
+   compared with one pivot of a list; what that joins into one component needs no more
+   pairs. When that has done what it can, the nodes of different components that meet in a list
+   are compared there, in blocks, and only pairs that pass 2 and 4 come out, each from
+   the rarest list that they share. So no link that matters for the components is lost.
 
 No list, group or partner count is capped. Tables between steps are written to
 the shared folder; components are found by star contractions on DataFrames.
@@ -34,16 +37,20 @@ from .common import Memo, documents, materialize
 COORDINATES = 48
 MATCHES = 21
 SHINGLE = 5
-#: Pivot rounds end when the pairs left are at most so many for each posting.
-PAIRS_A_POSTING = 4
-MAX_ROUNDS = 8
+SKETCH = 256
+SKETCH_MATCHES = 159
+#: Pivot rounds end when a round leaves more than this share of the pairs it found.
+ROUND_LEAVES = 0.7
+MAX_ROUNDS = 6
+#: Rows of a list that one task compares with as many others.
+BLOCK = 1024
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _rng = np.random.default_rng(20240501)
-_FACTORS = _rng.integers(1, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
-_TAGS = _rng.integers(1, 1 << 63, COORDINATES, np.uint64)
+_FACTORS = _rng.integers(1, 1 << 63, COORDINATES + SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
+_TAGS = _rng.integers(1, 1 << 63, COORDINATES + SKETCH, np.uint64)
 _WORDS = _rng.integers(1, 1 << 63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
-_CHUNK = 2048
+_CHUNK = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -69,13 +76,14 @@ def shingles(text: str | None, memo: Memo) -> np.ndarray:
     return np.unique(mix(out))
 
 
-def signature(found: np.ndarray) -> np.ndarray:
-    """One 64-bit coordinate-value key a coordinate."""
-    least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
+def signature(found: np.ndarray) -> tuple[bytes, bytes]:
+    """A 64-bit coordinate-value key a coordinate, and a byte each of the sketch's coordinates."""
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
     for start in range(0, len(found), _CHUNK):
         part = found[start : start + _CHUNK]
         np.minimum(least, (part[None, :] * _FACTORS[:, None]).min(1), out=least)
-    return mix(least + _TAGS)
+    keys = mix(least + _TAGS)
+    return keys[:COORDINATES].tobytes(), keys[COORDINATES:].astype(np.uint8).tobytes()
 
 
 def _word_memo() -> Memo:
@@ -85,13 +93,15 @@ def _word_memo() -> Memo:
 def _sign(batches):
     memo = _word_memo()
     for batch in batches:
-        n, prints, sigs = [], [], []
+        n, prints, keys, sketches = [], [], [], []
         for text in batch.column(1).to_pylist():
             found = shingles(text, memo)
+            own = signature(found) if len(found) else (b"", b"")
             n.append(len(found))
             prints.append(xxhash.xxh3_128_digest(found.tobytes()))
-            sigs.append(signature(found).tobytes() if len(found) else b"")
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "print", "sig"])
+            keys.append(own[0])
+            sketches.append(own[1])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (prints, keys, sketches))], ["doc_id", "n_shingles", "print", "keys", "sketch"])
 
 
 def _post(batches):
@@ -107,14 +117,53 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, memo).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["node", "set"])
 
 
-def _enough_matches(batches):
+def _members(batches):
+    """Per node: its keys cut to 32 bits, and each coordinate's rank in the node's order of lists (255: in none)."""
+    for batch in batches:
+        ranks, keys = [], []
+        for own, lists in zip(batch.column("keys").to_pylist(), batch.column("lists").to_pylist(), strict=True):
+            own, place = np.frombuffer(own, np.int64), {k: i for i, k in enumerate(lists)}
+            ranks.append(np.array([place.get(k, 255) for k in own.tolist()], np.uint8).tobytes())
+            keys.append(own.astype(np.uint32).tobytes())
+        rest = [batch.column(c) for c in ("node", "size", "sketch")]
+        yield pa.RecordBatch.from_arrays([*rest, pa.array(keys, pa.binary()), pa.array(ranks, pa.binary())], ["node", "size", "sketch", "keys", "ranks"])
+
+
+def _rows(column, kind, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+
+
+def _agree(batches):
+    """Pairs whose sketches agree enough."""
     for batch in batches:
         if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int64).reshape(-1, COORDINATES) for c in ("sig_a", "sig_b"))
-            batch = batch.select(["a", "b"]).filter(pa.array((a == b).sum(1) >= MATCHES))
-        else:
-            batch = batch.select(["a", "b"])
-        yield batch
+            a, b = (_rows(batch.column(c), np.uint8, SKETCH) for c in ("sketch_a", "sketch_b"))
+            yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(1) >= SKETCH_MATCHES))
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """Pairs of a block of a list with another block of it that are candidates and meet in this list first."""
+    node, root, size, block = (np.asarray(table.column(c)) for c in ("node", "root", "size", "block"))
+    keys, ranks, sketch = _rows(table.column("keys"), np.uint32, COORDINATES), _rows(table.column("ranks"), np.uint8, COORDINATES), _rows(table.column("sketch"), np.uint8, SKETCH)
+    here = int((keys[0] == np.uint32(table.column("key")[0].as_py() & 0xFFFFFFFF)).argmax())
+    lo, hi = (table.column(c)[0].as_py() for c in ("lo", "hi"))
+    first, second = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    out = [np.empty((0, 2), np.int64)]
+    step = max(1, (1 << 17) // max(1, len(second)))
+    for start in range(0, len(first), step):
+        i, j = (x.ravel() for x in np.meshgrid(first[start : start + step], second, indexing="ij"))
+        use = root[i] != root[j]
+        use &= (4 * size[i] >= 3 * size[j]) & (4 * size[j] >= 3 * size[i])
+        if lo == hi:
+            use &= node[i] < node[j]
+        i, j = i[use], j[use]
+        use = (sketch[i] == sketch[j]).sum(1) >= SKETCH_MATCHES
+        i, j = i[use], j[use]
+        same = keys[i] == keys[j]
+        use = (same.sum(1) >= MATCHES) & (np.where(same, ranks[i], 255).argmin(1) == here)
+        out.append(np.stack([node[i[use]], node[j[use]]], 1))
+    pairs = np.concatenate(out)
+    return pa.table({"a": pa.array(pairs.min(1)), "b": pa.array(pairs.max(1))})
 
 
 def _similar(batches):
@@ -150,54 +199,58 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _confirm(pairs: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links."""
+def _join_sides(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
     for side in "ab":
-        pairs = pairs.join(sigs.select(F.col("node").alias(side), F.col("sig").alias(f"sig_{side}")), side)
-    pairs = materialize(pairs.mapInArrow(_enough_matches, "a long, b long"), "candidates")
-    for side in "ab":
-        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("set").alias(f"set_{side}")), side)
-    return pairs.mapInArrow(_similar, "a long, b long")
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col(column).alias(f"{column}_{side}")), side)
+    return pairs
+
 
+def _links(pairs: DataFrame, sets: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The candidates (a, b) that are links, as pairs of roots."""
+    links = _join_sides(materialize(pairs, "candidates"), sets, "set").mapInArrow(_similar, "a long, b long")
+    if roots is not None:
+        for side in "ab":
+            links = links.join(roots.select(F.col("node").alias(side), F.col("root").alias("r")), side, "left").withColumn(side, F.coalesce("r", side)).drop("r")
+    return links
 
-def link_components(postings: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
+
+def _moved(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The roots after the links."""
+    moved = components(links)
+    if roots is None:
+        return moved
+    again = moved.select(F.col("node").alias("root"), F.col("root").alias("r"))
+    return materialize(roots.join(again, "root", "left").select("node", F.coalesce("r", "root").alias("root")).union(moved), "roots")
+
+
+def link_components(postings: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, root) of all nodes in a component of several, but for the roots."""
-    n_postings = postings.count()
-    roots: DataFrame | None = None
+    roots, before = None, None
     for turn in range(MAX_ROUNDS + 1):
         if roots is None:
             labelled = postings.withColumn("root", F.col("node"))
         else:
             labelled = materialize(postings.join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root")), "labelled")
         by_root = labelled.groupBy("key", "root").agg(F.count("*").alias("n"))
-        open_keys = by_root.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).where("n * n > same")
-        last = turn == MAX_ROUNDS
+        open_lists = by_root.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).where("n * n > same").select("key", "n", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs"))
         if turn:
-            left = open_keys.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
+            left = open_lists.agg(F.sum("pairs")).first()[0] or 0
             if not left:
+                return roots
+            if turn == MAX_ROUNDS or before is not None and left > ROUND_LEAVES * before:
                 break
-            last = last or left <= PAIRS_A_POSTING * n_postings
-        if last:
-            open_ = labelled.join(open_keys.select("key"), "key")
-            pairs = open_.alias("x").join(open_.alias("y"), "key").where("x.root != y.root and x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        else:
-            order = F.xxhash64("node", "key", F.lit(turn)) if turn else F.col("node")
-            pivot = labelled.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("p"), F.col("root").alias("q"))).alias("s")).select("key", "s.p", "s.q")
-            pairs = labelled.join(pivot, "key").where("root != q").select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
-        links = _confirm(pairs.distinct(), sigs, sets)
-        if roots is not None:
-            for side in "ab":
-                own = roots.select(F.col("node").alias(side), F.col("root").alias("r"))
-                links = links.join(own, side, "left").withColumn(side, F.coalesce("r", side)).drop("r")
-        moved = components(links)
-        if roots is None:
-            roots = moved
-        else:
-            moved_roots = moved.select(F.col("node").alias("root"), F.col("root").alias("r"))
-            roots = materialize(roots.join(moved_roots, "root", "left").select("node", F.coalesce("r", "root").alias("root")).union(moved.select("node", "root")), "roots")
-        if last:
-            break
-    return roots
+            before = left
+        order = F.xxhash64("node", "key", F.lit(turn)) if turn else F.col("node")
+        pivots = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(order.alias("o"), F.col("node").alias("p"), F.col("root").alias("q"))).alias("s")).select("key", "n", "s.p", "s.q")
+        rank = F.xxhash64("key", F.lit(turn)) if turn else F.col("n")  # one list a node: the longest first, then any
+        chosen = labelled.join(pivots, "key").where("root != q").groupBy("node").agg(F.max(F.struct(rank.alias("o"), F.col("p"))).alias("s"))
+        pairs = chosen.select(F.least("node", "s.p").alias("a"), F.greatest("node", "s.p").alias("b")).distinct()
+        roots = _moved(roots, _links(_join_sides(pairs, members, "sketch").mapInArrow(_agree, "a long, b long"), sets, roots))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
+    own = labelled.join(open_lists.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
+    dealt = own.join(members, "node").withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "root", "size", "keys", "ranks", "sketch")
+    return _moved(roots, _links(dealt.groupBy("key", "lo", "hi").applyInArrow(_meet, "a long, b long"), sets, roots))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,16 +261,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     node for the links of each of their texts.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    signed = materialize(rows.mapInArrow(_sign, "doc_id long, n_shingles long, print binary, sig binary"), "signed")
-    nodes = materialize(signed.where("n_shingles > 0").groupBy("print", "sig").agg(F.min("doc_id").alias("node")), "nodes")
-    posted = nodes.select("node", "sig").mapInArrow(_post, "node long, key long")
+    signed = materialize(rows.mapInArrow(_sign, "doc_id long, n_shingles long, print binary, keys binary, sketch binary"), "signed")
+    nodes = materialize(signed.where("n_shingles > 0").groupBy("print", "n_shingles", "keys", "sketch").agg(F.min("doc_id").alias("node")).withColumnRenamed("n_shingles", "size"), "nodes")
+    posted = nodes.select("node", "keys").mapInArrow(_post, "node long, key long")
     lengths = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     own = posted.join(lengths, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("lists"))  # COORDINATES at most
-    prefix = own.where(F.size("lists") >= MATCHES).select("node", F.explode(F.expr(f"slice(lists, 1, size(lists) - {MATCHES} + 1)")).alias("l"))
-    postings = materialize(prefix.select("node", "l.key"), "postings")
-    wanted = postings.select(F.col("node").alias("doc_id")).distinct()
+    enough = materialize(own.where(F.size("lists") >= MATCHES).select("node", F.col("lists.key").alias("lists")), "lists")
+    postings = materialize(enough.select("node", F.explode(F.expr(f"slice(lists, 1, size(lists) - {MATCHES} + 1)")).alias("key")), "postings")
+    members = materialize(enough.join(nodes.select("node", "size", "keys", "sketch"), "node").mapInArrow(_members, "node long, size long, sketch binary, keys binary, ranks binary"), "members")
+    wanted = enough.select(F.col("node").alias("doc_id"))
     sets = materialize(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "node long, set binary"), "sets")
-    roots = link_components(postings, nodes.select("node", "sig"), sets)
+    roots = link_components(postings, members, sets)
     named = nodes.join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("root"))
     out = signed.select("doc_id", "n_shingles", "print").join(named, "print", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
