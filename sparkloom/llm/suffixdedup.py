@@ -15,8 +15,8 @@ smaller id is removed. Matches never cross documents; all strings are judged on
   it and which of its windows are in documents before that.
 * The batches remove what is covered.
 
-An anchor that many batches share (a line in a third of all documents) would bring too many
-different items to one bucket: its windows travel one by one and are dealt by their own hash.
+An anchor of very many documents (a line in a third of all) would bring too many different
+items to one bucket: its windows travel one by one and are dealt by their own hash.
 A batch sends an equal item once, so a bucket gets equal items at most once a batch. Texts that
 equal the text of a smaller id are removed whole beforehand. Texts are shuffled once, by
 batch; the three passes over them share that exchange.
@@ -38,20 +38,23 @@ from .common import documents, materialize
 WINDOW = 50
 GRAM = 20
 SPAN = WINDOW - GRAM + 1
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Anchors a bucket: about so many, so that a bucket's windows fit a worker.
-BUCKET_ANCHORS = 400_000
+BUCKET_ANCHORS = 150_000
 #: Anchors a byte of text, about: 2 / (SPAN + 1).
 DENSITY = 2 / (SPAN + 1)
-#: An anchor in more batches than this is dealt window by window.
-HOT_BATCHES = 48
+#: An anchor of more documents than this (counted up to 255 a batch) is dealt window by window.
+HOT_DOCUMENTS = 20_000
 #: Windows of one suffix array before merging.
-BATCH_WINDOWS = 1 << 19
+BATCH_WINDOWS = 1 << 18
 _BLOCK = 1 << 19
 _B = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _POS = np.uint64((1 << 28) - 1)
 REPLY = "batch long, kind int, payload binary"
 COPIES, SHARED, FOUND = 0, 1, 2
+#: An item's number: its first run times 64, plus its window in the run, or this for the whole run.
+WHOLE = 63
+ALL = np.uint32(0xFFFFFFFF)
 
 
 def anchors(buf: np.ndarray) -> np.ndarray:
@@ -113,38 +116,40 @@ class Batch:
         self.doc = np.searchsorted(self.ends, self.first, "right")
 
     def anchor_rows(self, batch: int, buckets: int):
-        """(bucket, batch, hashes, flags): distinct anchor hashes; a flag tells that several documents here have it."""
+        """(bucket, batch, hashes, counts): distinct anchor hashes and the number of documents with each, up to 255."""
         order = np.argsort(self.hash, kind="stable")
         h, doc = self.hash[order], self.doc[order]
         head = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
-        tail = np.append(head[1:], len(h)) - 1
-        several = self.ids[doc[head]] != self.ids[doc[tail]] if len(h) else np.empty(0, bool)
+        ids = self.ids[doc]
+        new = np.append(True, (h[1:] != h[:-1]) | (ids[1:] != ids[:-1])) if len(h) else np.empty(0, bool)
+        counts = np.minimum(np.add.reduceat(new, head, dtype=np.int64), 255).astype(np.uint8) if len(h) else np.empty(0, np.uint8)
         h = h[head]
         for bucket, lo, hi in by_bucket(h, buckets):
-            yield bucket, batch, h[lo:hi].tobytes(), several[lo:hi].tobytes()
+            yield bucket, batch, h[lo:hi].tobytes(), counts[lo:hi].tobytes()
 
     def items(self, shared: np.ndarray, hot: np.ndarray):
         """Distinct items of the shared anchors in order of appearance.
 
-        Returns their strings, anchor hashes, first documents, and for each occurrence
-        its item, first window and document. Windows of hot anchors are items of their own.
+        Returns their strings, anchor hashes, numbers and first documents, and for each
+        occurrence its item, first window and document. Windows of hot anchors are items of their own.
         """
         runs = np.flatnonzero(member(self.hash, shared))
         is_hot = member(self.hash[runs], hot)
         index: dict[bytes, int] = {}
-        hashes, firsts, item, start, doc = [], [], [], [], []
+        numbers, firsts, item, start, doc = [], [], [], [], []
         data = self.data
-        for a, b, h, d, single in zip(self.first[runs].tolist(), self.last[runs].tolist(), self.hash[runs].tolist(), self.doc[runs].tolist(), is_hot.tolist(), strict=True):
+        for r, a, b, d, single in zip(runs.tolist(), self.first[runs].tolist(), self.last[runs].tolist(), self.doc[runs].tolist(), is_hot.tolist(), strict=True):
             for x, y in ((s, s + WINDOW) for s in range(a, b + 1)) if single else ((a, b + WINDOW),):
                 text = data[x:y]
                 k = index.setdefault(text, len(index))
-                if k == len(hashes):
-                    hashes.append(h)
+                if k == len(numbers):
+                    numbers.append(r << 6 | (x - a if single else WHOLE))
                     firsts.append(d)
                 item.append(k)
                 start.append(x)
                 doc.append(d)
-        return list(index), np.array(hashes, np.uint64), self.ids[np.array(firsts, np.int64)], np.array(item, np.int64), np.array(start, np.int64), np.array(doc, np.int64)
+        numbers = np.array(numbers, np.uint32)
+        return list(index), self.hash[numbers >> np.uint32(6)], numbers, self.ids[np.array(firsts, np.int64)], np.array(item, np.int64), np.array(start, np.int64), np.array(doc, np.int64)
 
     def covered(self, starts: np.ndarray) -> np.ndarray:
         """True for each byte that is removed: copies whole, else what a window from ``starts`` covers."""
@@ -173,13 +178,13 @@ def member(x: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
 def shared_anchors(table: pa.Table):
     """(batch, payload) answers of a bucket: its shared hashes and which are hot, for each batch that has some."""
     parts = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-    flags = np.concatenate([np.frombuffer(x, bool) for x in table.column("flags").to_pylist()])
+    counts = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("counts").to_pylist()])
     every = np.concatenate(parts)
     order = np.argsort(every, kind="stable")
     head = np.flatnonzero(np.append(True, every[order][1:] != every[order][:-1]))
-    n = np.diff(np.append(head, len(every)))
-    keep = (n > 1) | np.logical_or.reduceat(flags[order], head)
-    shared, hot = every[order][head][keep], n[keep] > HOT_BATCHES
+    n = np.add.reduceat(counts[order], head, dtype=np.int64)
+    keep = n > 1
+    shared, hot = every[order][head][keep], n[keep] > HOT_DOCUMENTS
     for batch, own in zip(table.column("batch").to_pylist(), parts, strict=True):
         own = own[member(own, shared)]
         if len(own):
@@ -244,28 +249,32 @@ def earlier_windows(texts: list[bytes], docs: np.ndarray) -> np.ndarray:
 
 
 def answer_items(table: pa.Table):
-    """(batch, payload) answers of a bucket: number in the batch, anchor, hot, first document and mask of each item."""
+    """(batch, payload) answers of a bucket: the number and mask of each of the batch's items.
+
+    A mask holds the windows that a document before the batch's first with the item has.
+    """
     index: dict[bytes, int] = {}
     first: list[int] = []
     rows = []
-    for batch, docs, lengths, numbers, hashes, hot, data in zip(*(table.column(c).to_pylist() for c in ("batch", "docs", "lengths", "numbers", "hashes", "hot", "data")), strict=True):
-        docs, data, at, own = np.frombuffer(docs, np.int64), zlib.decompress(data), 0, []
-        for doc, n in zip(docs.tolist(), np.frombuffer(lengths, np.uint16).tolist(), strict=True):
-            k = index.setdefault(data[at : at + n], len(index))
-            at += n
+    for batch, n, head, data in zip(*(table.column(c).to_pylist() for c in ("batch", "n", "head", "data")), strict=True):
+        head, data, at, own = zlib.decompress(head), zlib.decompress(data), 0, []
+        docs, numbers, lengths = np.frombuffer(head, np.int64, n), np.frombuffer(head, np.uint32, n, 8 * n), np.frombuffer(head, np.uint16, n, 12 * n)
+        for doc, size in zip(docs.tolist(), lengths.tolist(), strict=True):
+            k = index.setdefault(data[at : at + size], len(index))
+            at += size
             if k == len(first):
                 first.append(doc)
             elif doc < first[k]:
                 first[k] = doc
             own.append(k)
-        rows.append((batch, np.array(own, np.int64), numbers, hashes, hot))
+        rows.append((batch, np.array(own, np.int64), docs, numbers))
     firsts = np.array(first, np.int64)
     order = np.argsort(firsts, kind="stable")
     texts = list(index)
     masks = np.zeros(len(texts), np.uint32)
     masks[order] = earlier_windows([texts[i] for i in order.tolist()], firsts[order])
-    for batch, own, numbers, hashes, hot in rows:
-        yield batch, np.int64(len(own)).tobytes() + hashes + firsts[own].tobytes() + numbers + masks[own].tobytes() + hot
+    for batch, own, docs, numbers in rows:
+        yield batch, zlib.compress(numbers.tobytes() + np.where(firsts[own] < docs, ALL, masks[own]).tobytes(), 1)
 
 
 def _answers(rows, kind: int) -> pa.Table:
@@ -273,69 +282,54 @@ def _answers(rows, kind: int) -> pa.Table:
     return pa.table({"batch": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([kind] * len(rows), pa.int32()), "payload": pa.array([r[1] for r in rows], pa.binary())})
 
 
-def _read(replies: pa.Table):
-    """(copies, shared, hot, answers) from the rows a batch got."""
-    copies, shared, hot = [], [np.empty(0, np.uint64)], [np.empty(0, bool)]
-    found = [[np.empty(0, t)] for t in (np.uint64, np.int64, np.uint32, np.uint32, bool)]
-    for kind, payload in zip(replies.column("kind").to_pylist(), replies.column("payload").to_pylist(), strict=True):
-        if kind == COPIES:
-            copies.append(np.frombuffer(payload, ">i8"))
-        elif kind == SHARED:
-            n = len(payload) // 9
-            shared.append(np.frombuffer(payload, np.uint64, n))
-            hot.append(np.frombuffer(payload, bool, n, 8 * n))
-        else:
-            n, at = int(np.frombuffer(payload, np.int64, 1)[0]), 8
-            for column in found:
-                column.append(np.frombuffer(payload, column[0].dtype, n, at))
-                at += n * column[0].itemsize
-    shared, hot = np.concatenate(shared), np.concatenate(hot)
-    hashes, firsts, numbers, masks, item_hot = (np.concatenate(c) for c in found)
-    if len(hashes):
-        shared, at = np.unique(hashes, return_index=True)
-        hot = item_hot[at]
-    order = np.argsort(shared)
-    return set(np.concatenate(copies).tolist()) if copies else set(), shared[order], shared[order][hot[order]], (numbers, firsts, masks)
+def _payloads(replies: pa.Table, kind: int) -> list[bytes]:
+    return [x for k, x in zip(replies.column("kind").to_pylist(), replies.column("payload").to_pylist(), strict=True) if k == kind]
+
+
+def _batch(left: pa.Table, right: pa.Table) -> Batch:
+    return Batch(left, {int.from_bytes(x, "big", signed=True) for x in _payloads(right, COPIES)})
 
 
 def _send_anchors(left: pa.Table, right: pa.Table, buckets: int) -> pa.Table:
-    rows = []
-    if left.num_rows:
-        rows = list(Batch(left, _read(right)[0]).anchor_rows(left.column("__batch")[0].as_py(), buckets))
-    return pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate((("bucket", pa.int64()), ("batch", pa.int64()), ("hashes", pa.binary()), ("flags", pa.binary())))})
+    rows = list(_batch(left, right).anchor_rows(left.column("__batch")[0].as_py(), buckets)) if left.num_rows else []
+    return pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate((("bucket", pa.int64()), ("batch", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())))})
 
 
 def _send_items(left: pa.Table, right: pa.Table, buckets: int) -> pa.Table:
-    out = {c: [] for c in ("bucket", "batch", "docs", "lengths", "numbers", "hashes", "hot", "data")}
-    copies, shared, hot, _ = _read(right)
-    if left.num_rows and len(shared):
-        texts, hashes, docs, *_ = Batch(left, copies).items(shared, hot)
-        single = member(hashes, hot)
+    out = {c: [] for c in ("bucket", "batch", "n", "head", "data")}
+    got = _payloads(right, SHARED)
+    if left.num_rows and got:
+        shared = np.concatenate([np.frombuffer(x, np.uint64, len(x) // 9) for x in got])
+        hot = np.concatenate([np.frombuffer(x, bool, len(x) // 9, len(x) // 9 * 8) for x in got])
+        texts, hashes, numbers, docs, *_ = _batch(left, right).items(np.sort(shared), np.sort(shared[hot]))
         dealt = hashes.copy()
-        for i in np.flatnonzero(single).tolist():
+        for i in np.flatnonzero((numbers & np.uint32(63)) != WHOLE).tolist():
             dealt[i] = xxhash.xxh3_64_intdigest(texts[i])
         order = np.argsort(dealt, kind="stable")
         for bucket, lo, hi in by_bucket(dealt[order], buckets):
             own = order[lo:hi]
             some = [texts[i] for i in own.tolist()]
-            row = (bucket, left.column("__batch")[0].as_py(), docs[own].tobytes(), np.array([len(x) for x in some], np.uint16).tobytes(), own.astype(np.uint32).tobytes(), hashes[own].tobytes(), single[own].tobytes(), zlib.compress(b"".join(some), 1))
-            for c, v in zip(out, row, strict=True):
+            head = docs[own].tobytes() + numbers[own].tobytes() + np.array([len(x) for x in some], np.uint16).tobytes()
+            for c, v in zip(out, (bucket, left.column("__batch")[0].as_py(), len(own), zlib.compress(head, 1), zlib.compress(b"".join(some), 1)), strict=True):
                 out[c].append(v)
-    return pa.table({c: pa.array(v, pa.int64() if c in ("bucket", "batch") else pa.binary()) for c, v in out.items()})
+    return pa.table({c: pa.array(v, pa.binary() if c in ("head", "data") else pa.int64()) for c, v in out.items()})
 
 
 def _removed(left: pa.Table, right: pa.Table) -> tuple[Batch, np.ndarray]:
     """The batch and which of its bytes go."""
-    copies, shared, hot, (numbers, firsts, masks) = _read(right)
-    batch = Batch(left, copies)
-    if not len(numbers):
+    batch, got = _batch(left, right), [zlib.decompress(x) for x in _payloads(right, FOUND)]
+    if not got:
         return batch, batch.covered(np.empty(0, np.int64))
-    texts, _, _, item, start, doc = batch.items(shared, hot)
-    first_of, mask_of = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.uint32)
-    first_of[numbers], mask_of[numbers] = firsts, masks
+    numbers = np.concatenate([np.frombuffer(x, np.uint32, len(x) // 8) for x in got])
+    masks = np.concatenate([np.frombuffer(x, np.uint32, len(x) // 8, len(x) // 2) for x in got])
+    # the answers tell which anchors were shared, and the numbers which were hot
+    anchor, single = batch.hash[numbers >> np.uint32(6)], (numbers & np.uint32(63)) != WHOLE
+    texts, _, own, firsts, item, start, doc = batch.items(np.unique(anchor), np.unique(anchor[single]))
+    order = np.argsort(numbers)
+    mask_of = masks[order][np.searchsorted(numbers[order], own)]
     n = np.array([len(x) for x in texts], np.int64)[item] - WINDOW + 1
     offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    later = np.repeat(batch.ids[doc] > first_of[item], n)
+    later = np.repeat(batch.ids[doc] > firsts[item], n)
     bit = np.repeat(mask_of[item], n) >> offset.astype(np.uint32) & np.uint32(1)
     return batch, batch.covered((np.repeat(start, n) + offset)[later | (bit == 1)])
 
@@ -384,9 +378,9 @@ def _plan(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataF
     def asked(fn, schema, replies):
         return base.groupBy("__batch").cogroup(replies.groupBy("batch")).applyInArrow(fn, schema)
 
-    sent = asked(lambda left, right: _send_anchors(left, right, buckets), "bucket long, batch long, hashes binary, flags binary", copies)
+    sent = asked(lambda left, right: _send_anchors(left, right, buckets), "bucket long, batch long, hashes binary, counts binary", copies)
     shared = sent.groupBy("bucket").applyInArrow(lambda t: _answers(shared_anchors(t), SHARED), REPLY)
-    items = asked(lambda left, right: _send_items(left, right, buckets), "bucket long, batch long, docs binary, lengths binary, numbers binary, hashes binary, hot binary, data binary", copies.union(shared))
+    items = asked(lambda left, right: _send_items(left, right, buckets), "bucket long, batch long, n long, head binary, data binary", copies.union(shared))
     found = items.groupBy("bucket").applyInArrow(lambda t: _answers(answer_items(t), FOUND), REPLY)
     return base, copies.union(found)
 
