@@ -43,7 +43,7 @@ SKETCH_MATCHES = 159
 ROUND_LEAVES = 0.7
 MAX_ROUNDS = 6
 #: Rows of a list that one task compares with as many others.
-BLOCK = 1024
+BLOCK = 512
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _rng = np.random.default_rng(20240501)
@@ -142,7 +142,7 @@ def _agree(batches):
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Pairs of a block of a list with another block of it that are candidates and meet in this list first."""
+    """Pairs of a block of a list with another block of it that are candidates and meet in this list first: one row, if any."""
     node, root, size, block = (np.asarray(table.column(c)) for c in ("node", "root", "size", "block"))
     keys, ranks, sketch = _rows(table.column("keys"), np.uint32, COORDINATES), _rows(table.column("ranks"), np.uint8, COORDINATES), _rows(table.column("sketch"), np.uint8, SKETCH)
     here = int((keys[0] == np.uint32(table.column("key")[0].as_py() & 0xFFFFFFFF)).argmax())
@@ -163,16 +163,29 @@ def _meet(table: pa.Table) -> pa.Table:
         use = (same.sum(1) >= MATCHES) & (np.where(same, ranks[i], 255).argmin(1) == here)
         out.append(np.stack([node[i[use]], node[j[use]]], 1))
     pairs = np.concatenate(out)
-    return pa.table({"a": pa.array(pairs.min(1)), "b": pa.array(pairs.max(1))})
+    some = [0] * (len(pairs) > 0)
+    own = {c: table.column(c).take(pa.array(some, pa.int64())) for c in ("key", "lo", "hi")}
+    return pa.table(own | {"nodes": pa.array([np.unique(pairs)] * len(some), pa.list_(pa.int64())), "pairs": pa.array([pairs.tobytes()] * len(some), pa.binary())})
+
+
+def _verify(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Of a block's candidate pairs (left), those that are links by the sets of its nodes (right)."""
+    sets = {node: np.frombuffer(x, np.uint64) for node, x in zip(right.column("node").to_pylist(), right.column("set").to_pylist(), strict=True)}
+    out = [(a, b) for row in left.column("pairs").to_pylist() for a, b in np.frombuffer(row, np.int64).reshape(-1, 2).tolist() if a in sets and b in sets and similar(sets[a], sets[b])]
+    return pa.table({"a": pa.array([min(x) for x in out], pa.int64()), "b": pa.array([max(x) for x in out], pa.int64())})
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets, as sorted arrays, have a similarity of 0.75 or more."""
+    if 4 * min(len(x), len(y)) < 3 * max(len(x), len(y)):
+        return False
+    both = np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y)
+    return bool(100 * both >= 75 * (len(x) + len(y) - both))
 
 
 def _similar(batches):
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True)) if 4 * min(len(x), len(y)) >= 3 * max(len(x), len(y)) else 0
-            keep.append(100 * both >= 75 * (len(x) + len(y) - both))
+        keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -205,9 +218,8 @@ def _join_sides(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
     return pairs
 
 
-def _links(pairs: DataFrame, sets: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """The candidates (a, b) that are links, as pairs of roots."""
-    links = _join_sides(materialize(pairs, "candidates"), sets, "set").mapInArrow(_similar, "a long, b long")
+def _of_roots(links: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Links (a, b) of nodes as links of their roots."""
     if roots is not None:
         for side in "ab":
             links = links.join(roots.select(F.col("node").alias(side), F.col("root").alias("r")), side, "left").withColumn(side, F.coalesce("r", side)).drop("r")
@@ -245,12 +257,17 @@ def link_components(postings: DataFrame, members: DataFrame, sets: DataFrame) ->
         rank = F.xxhash64("key", F.lit(turn)) if turn else F.col("n")  # one list a node: the longest first, then any
         chosen = labelled.join(pivots, "key").where("root != q").groupBy("node").agg(F.max(F.struct(rank.alias("o"), F.col("p"))).alias("s"))
         pairs = chosen.select(F.least("node", "s.p").alias("a"), F.greatest("node", "s.p").alias("b")).distinct()
-        roots = _moved(roots, _links(_join_sides(pairs, members, "sketch").mapInArrow(_agree, "a long, b long"), sets, roots))
+        candidates = materialize(_join_sides(pairs, members, "sketch").mapInArrow(_agree, "a long, b long"), "candidates")
+        roots = _moved(roots, _of_roots(_join_sides(candidates, sets, "set").mapInArrow(_similar, "a long, b long"), roots))
     blocks = F.ceil(F.col("n") / BLOCK).cast("long")
     own = labelled.join(open_lists.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
     dealt = own.join(members, "node").withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "root", "size", "keys", "ranks", "sketch")
-    return _moved(roots, _links(dealt.groupBy("key", "lo", "hi").applyInArrow(_meet, "a long, b long"), sets, roots))
+    found = materialize(dealt.groupBy("key", "lo", "hi").applyInArrow(_meet, "key long, lo long, hi long, nodes array<long>, pairs binary"), "candidates")
+    # a node's set goes once to a block, not once to a pair
+    needed = found.select(F.col("key").alias("k"), F.col("lo").alias("l"), F.col("hi").alias("h"), F.explode("nodes").alias("node")).join(sets, "node")
+    links = found.groupBy("key", "lo", "hi").cogroup(needed.groupBy("k", "l", "h")).applyInArrow(_verify, "a long, b long")
+    return _moved(roots, _of_roots(links, roots))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
