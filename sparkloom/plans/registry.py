@@ -1,11 +1,329 @@
-"""Names of the document-search queries and their DuckDB counterparts."""
+"""The document-search queries by name, each with DuckDB SQL over the same tables where SQL can express it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import fingerprint
+from ..functions.text import contextual_snippet, distinct_trigrams, snippet, trigrams, utf8, words
+from ..operators import postings as post
+from ..operators.search import Engine, hamming_pairs, lsh_clusters, scan_candidates, word_trigrams
+from ..sources import corpus
 
-def oracle_sql():
-    return {}
+SEARCH = "ation ouer nder"
+WORD = "tion"
+TITLED = "letter 4217"
+SPAN = (b"the", b"ing")
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _docs(spark, sf):
+    return Engine(corpus.documents(spark, sf), corpus.AS_OF)
+
+
+def _letters(spark, sf):
+    return Engine(corpus.invoices(spark, sf), corpus.AS_OF)
+
+
+def _rounded(found: DataFrame) -> DataFrame:
+    return found.select("path", F.round("score", 6).alias("score"))
+
+
+def normalize_text(spark, sf):
+    return corpus.documents(spark, sf).select("doc_id", F.md5("norm").alias("norm_md5"), F.length("norm").cast("long").alias("n"))
+
+
+def word_tokens(spark, sf):
+    w = words(F.col("text"))
+    return corpus.documents(spark, sf).select("doc_id", F.size(w).cast("long").alias("n_words"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"))
+
+
+def snippets(spark, sf):
+    return corpus.documents(spark, sf).select("doc_id", F.md5(snippet(F.col("text"))).alias("snippet_md5"))
+
+
+def doc_trigram_count(spark, sf):
+    data = utf8(F.col("norm"))
+    return corpus.documents(spark, sf).select("doc_id", F.size(distinct_trigrams(data)).cast("long").alias("n_trigrams"), F.size(trigrams(data)).cast("long").alias("n_positions"))
+
+
+def _hex(trigram):
+    return F.lpad(F.hex(trigram), 6, "0")
+
+
+def trigram_postings(spark, sf):
+    built = post.build(corpus.documents(spark, sf))
+    return built.select(_hex("trigram").alias("trigram"), "doc_id", F.col("tf").cast("long").alias("tf"), F.array_min("positions").cast("long").alias("first"), F.array_max("positions").cast("long").alias("last"))
+
+
+def trigram_df_topk(spark, sf):
+    counted = post.document_frequencies(post.build(corpus.documents(spark, sf)))
+    return counted.orderBy(F.desc("df"), F.desc("tf"), "trigram").limit(50).select(_hex("trigram").alias("trigram"), "df", "tf")
+
+
+def trigram_candidates_one_word(spark, sf):
+    return scan_candidates(corpus.documents(spark, sf), WORD).select("doc_id")
+
+
+def trigram_candidates_multi_word(spark, sf):
+    return post.candidates(post.build(corpus.documents(spark, sf)), word_trigrams(SEARCH))
+
+
+def search_score_topk(spark, sf):
+    return _rounded(_docs(spark, sf).search(SEARCH, 20))
+
+
+def search_index_topk(spark, sf):
+    docs = corpus.documents(spark, sf)
+    return _rounded(Engine(docs, corpus.AS_OF, post.build(docs)).search(SEARCH, 20))
+
+
+def search_title_boost(spark, sf):
+    return _rounded(_letters(spark, sf).search(TITLED, 20))
+
+
+def contextual_snippets(spark, sf):
+    docs = corpus.documents(spark, sf)
+    return docs.select("doc_id", F.md5(contextual_snippet(F.col("text"), f"zz {WORD} ation", F.lit("none"), 40)).alias("snippet_md5"))
+
+
+def min_span_pair(spark, sf):
+    return post.min_span_of_postings(post.build(corpus.documents(spark, sf)), list(SPAN)).select("doc_id", F.col("span").cast("long").alias("span"))
+
+
+def meta_doc_type(spark, sf):
+    return corpus.invoices(spark, sf).groupBy(F.coalesce("doc_type", F.lit("-")).alias("doc_type")).agg(F.count("*").alias("n"))
+
+
+def meta_dates(spark, sf):
+    return corpus.invoices(spark, sf).select("doc_id", F.explode("dates").alias("d")).select("doc_id", F.date_format("d", "yyyy-MM-dd").alias("d"))
+
+
+def meta_amounts(spark, sf):
+    return corpus.invoices(spark, sf).select("doc_id", F.explode("amounts").alias("amount"))
+
+
+def meta_emails(spark, sf):
+    return corpus.invoices(spark, sf).select("doc_id", F.explode("emails").alias("email"))
+
+
+def meta_entities(spark, sf):
+    return corpus.invoices(spark, sf).select("doc_id", F.explode("entities").alias("entity"))
+
+
+def _query(expression: str, docs=_letters) -> Query:
+    return lambda spark, sf: _rounded(docs(spark, sf).query(expression, 25))
+
+
+def recent_topk(spark, sf):
+    return _rounded(_docs(spark, sf).recent("60d", 20))
+
+
+def _numbers(spark, sf):
+    """A fingerprint that both engines can compute."""
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", (F.col("n_chars") * 2654435761 + F.col("doc_id") % 7).alias("simhash"))
+
+
+def lsh_bands(spark, sf):
+    return _numbers(spark, sf).select("doc_id", F.explode(fingerprint.bands(F.col("simhash"), 8)).alias("b")).select("doc_id", F.col("b.band").cast("long").alias("band"), "b.value")
+
+
+def lsh_cluster_sets(spark, sf):
+    return lsh_clusters(_numbers(spark, sf), 4).select(F.col("size").cast("long").alias("size"), F.md5(F.array_join(F.transform("members", lambda x: x.cast("string")), ",")).alias("members_md5"))
+
+
+def hamming_near(spark, sf):
+    return hamming_pairs(_numbers(spark, sf).where("doc_id is not null"), 2, 3).select("a", "b", F.col("distance").cast("long").alias("distance"))
+
+
+def simhash_fingerprint(spark, sf):
+    return corpus.documents(spark, sf).select("doc_id", "simhash")
+
+
+def similar_topk(spark, sf):
+    engine = _docs(spark, sf)
+    return _rounded(engine.similar("/corpus/src0/doc_0.txt", limit=20))
+
+
+def clusters_docs(spark, sf):
+    return _docs(spark, sf).clusters(4).select("size", F.array_join("members", ",").alias("members"), "more")
+
+
+def index_diff_status(spark, sf):
+    """What an update would do if ids divisible by 7 were new, by 11 gone, by 5 touched and by 10 changed."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.xxhash64("text").alias("h"))
+    stored = docs.where("doc_id % 7 != 0").select("doc_id", F.lit(1).alias("t0"))
+    walked = docs.where("doc_id % 11 != 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, 2).otherwise(1).alias("t1"))
+    status = (
+        F.when(F.col("t0").isNull(), "added").when(F.col("t1").isNull(), "removed").when((F.col("t0") != F.col("t1")) & (F.col("doc_id") % 10 == 0), "added").otherwise("skipped")
+    )
+    return walked.join(stored, "doc_id", "full_outer").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        normalize_text, word_tokens, snippets, doc_trigram_count, trigram_postings, trigram_df_topk, trigram_candidates_one_word, trigram_candidates_multi_word, search_score_topk, search_index_topk, search_title_boost,
+        contextual_snippets, min_span_pair, meta_doc_type, meta_dates, meta_amounts, meta_emails, meta_entities, recent_topk, lsh_bands, lsh_cluster_sets, hamming_near, simhash_fingerprint, similar_topk, clusters_docs,
+        index_diff_status,
+    )
+} | {
+    "query_type": _query("type:contract"),
+    "query_path": _query("path:src3", _docs),
+    "query_amount_range": _query("amount:>300K amount:<=310,000"),
+    "query_date_year": _query("date:>=1995 date:<1996-01-01"),
+    "query_email": _query("email:desk42@"),
+    "query_since": _query("since:2w"),
+    "query_not": _query("NOT type:invoice NOT type:contract"),
+    "query_or": _query("type:invoice OR amount:<2000"),
+    "query_mixed_text": _query('agreement "sum is" AND (type:contract OR NOT amount:>100K)'),
+}
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+_WS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_DOCS = f"""docs AS (
+  SELECT doc_id, '/corpus/' || source || '/doc_' || doc_id || '.txt' AS path, 1704067200 - doc_id % 730 * 86400 AS mtime, text,
+         trim(regexp_replace(lower(text), '{_WS}', ' ', 'g'), ' ') AS norm
+  FROM documents WHERE text IS NOT NULL)"""
+
+
+def _grams(source: str) -> str:
+    """CTEs of the byte trigrams and postings of a source with doc_id and norm."""
+    return f"""byte AS (
+  SELECT doc_id, unnest(regexp_extract_all(hex(encode(norm)), '..')) AS b, generate_subscripts(regexp_extract_all(hex(encode(norm)), '..'), 1) - 1 AS i FROM {source}),
+gram AS (
+  SELECT doc_id, i, b || lead(b, 1) OVER w || lead(b, 2) OVER w AS t FROM byte WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+post AS (SELECT t AS trigram, doc_id, count(*) AS tf, min(i) AS first, max(i) AS last FROM gram WHERE t IS NOT NULL GROUP BY t, doc_id)"""
+
+
+_GRAMS = f"{_DOCS}, {_grams('docs')}"
+_MONTHS = "January February March April May June July August September October November December".split()
+_MON = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*"
+_LETTERS = """letter AS (
+  SELECT o_orderkey AS doc_id, '/orders/' || o_orderpriority[1] || '/letter_' || o_orderkey || '.txt' AS path, 'Letter ' || o_orderkey AS title, 1704067200 - o_orderkey % 730 * 86400 AS mtime,
+    CASE o_orderkey % 3 WHEN 0 THEN 'Invoice number ' WHEN 1 THEN 'This agreement has the number ' ELSE 'Note ' END || o_orderkey || ' dated ' ||
+    CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%m/%d/%Y') WHEN 2 THEN strftime(o_orderdate, '%d %B %Y') ELSE strftime(o_orderdate, '%B %d, %Y') END || '. The sum is $' || format('{:,.2f}', round(o_totalprice, 2)) ||
+    ' for Mister Customer Number, limit $' || (o_orderkey % 50 + 1) || 'K. Write to Desk' || (o_custkey % 100) || '@Example.com or office@example.org.' AS text
+  FROM orders JOIN customer ON o_custkey = c_custkey)"""
+
+
+def _numbered_months(column: str) -> str:
+    for i, m in enumerate(_MONTHS, 1):
+        column = f"replace({column}, '{m}', '{i:02d}')"
+    for i, m in enumerate(_MONTHS, 1):
+        column = f"replace({column}, '{m[:3]}', '{i:02d}')"
+    return f"replace({column}, ',', '')"
+
+
+_META = f"""{_LETTERS}, meta AS (
+  SELECT *, CASE WHEN contains(lower(text), 'this agreement') THEN 'contract' WHEN contains(lower(text), 'invoice number') THEN 'invoice' END AS doc_type,
+    list_distinct(list_transform(regexp_extract_all(text, '[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{{2,}}'), lambda x: lower(x))) AS emails,
+    list_distinct(regexp_extract_all(text, '[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+')) AS entities,
+    list_distinct(list_transform(list_zip(
+      regexp_extract_all(text, '(?i)\\$\\s*(\\d{{1,3}}(?:,\\d{{3}})*(?:\\.\\d{{2}})?)\\s*(million|M|billion|B|thousand|K)?', 1),
+      regexp_extract_all(text, '(?i)\\$\\s*(\\d{{1,3}}(?:,\\d{{3}})*(?:\\.\\d{{2}})?)\\s*(million|M|billion|B|thousand|K)?', 2)),
+      lambda x: replace(x[1], ',', '')::DOUBLE * CASE lower(coalesce(x[2], '')) WHEN 'million' THEN 1e6 WHEN 'm' THEN 1e6 WHEN 'billion' THEN 1e9 WHEN 'b' THEN 1e9 WHEN 'thousand' THEN 1e3 WHEN 'k' THEN 1e3 ELSE 1e0 END)) AS amounts,
+    list_distinct(list_filter(list_transform(
+      regexp_extract_all(text, '\\d{{4}}-\\d{{2}}-\\d{{2}}|\\d{{1,2}}/\\d{{1,2}}/\\d{{4}}|\\d{{1,2}}\\s+{_MON}\\s+\\d{{4}}|{_MON}\\s+\\d{{1,2}},?\\s+\\d{{4}}'),
+      lambda x: coalesce(try_strptime(x, '%Y-%m-%d'), try_strptime(x, '%m/%d/%Y'), try_strptime({_numbered_months("x")}, '%d %m %Y'), try_strptime({_numbered_months("x")}, '%m %d %Y'))::DATE), lambda d: d IS NOT NULL)) AS dates
+  FROM letter)"""
+
+
+def _trigrams_sql(text: str) -> list[str]:
+    return [t.hex().upper() for w in word_trigrams(text) for t in w]
+
+
+def _candidates_sql(text: str) -> str:
+    parts = []
+    for word in word_trigrams(text):
+        own = ", ".join(f"'{t.hex().upper()}'" for t in word)
+        parts.append(f"SELECT doc_id FROM post WHERE trigram IN ({own}) GROUP BY doc_id HAVING count(*) = {len(word)}")
+    return " UNION ".join(parts)
+
+
+def _recency(column: str = "mtime") -> str:
+    return f"exp(-(1704067200 - {column}) / 15552000e0)"
+
+
+def _search_sql(text: str, ctes: str = _GRAMS, source: str = "docs", predicate: str = "true", more: str = "0e0", limit: int = 20) -> str:
+    wanted = list(dict.fromkeys(_trigrams_sql(text)))
+    return f"""WITH {ctes}, cand AS ({_candidates_sql(text)}),
+    feature AS (SELECT doc_id, count(*) AS m, sum(tf) AS p FROM post WHERE trigram IN ({", ".join(f"'{t}'" for t in wanted)}) GROUP BY doc_id),
+    scored AS (SELECT path, 0.45e0 * (m / {len(wanted)}e0 * 0.7e0 + (1e0 + ln(p)) / (2e0 + ln(p)) * 0.3e0) + 0.10e0 * {_recency()} + {more} AS s
+      FROM cand JOIN feature USING (doc_id) JOIN {source} USING (doc_id) WHERE {predicate})
+    SELECT path, round(s, 6) AS score FROM scored ORDER BY s DESC, path LIMIT {limit}"""
+
+
+def _query_sql(predicate: str, structural: str, source: str = "meta", limit: int = 25) -> str:
+    ctes = _META if source == "meta" else _DOCS
+    return f"""WITH {ctes}, scored AS (SELECT path, 0.10e0 * {_recency()} + 0.20e0 * ({structural}) AS s FROM {source} WHERE {predicate})
+    SELECT path, round(s, 6) AS score FROM scored ORDER BY s DESC, path LIMIT {limit}"""
+
+
+_FP = "(n_chars * 2654435761 + doc_id % 7)"
+_NUMBERS = f"fp AS (SELECT doc_id, {_FP} AS h FROM documents WHERE {_FP} != 0)"
+
+
+def _bands_sql(n: int) -> str:
+    width = 64 // n
+    mask = (1 << width) - 1
+    return " UNION ALL ".join(f"SELECT doc_id, h, {i} AS band, (h >> {i * width}) & {mask} AS value FROM fp" for i in range(n))
+
+
+_LETTER_GRAMS = f"{_META}, normal AS (SELECT *, trim(regexp_replace(lower(text), '{_WS}', ' ', 'g'), ' ') AS norm FROM meta), {_grams('normal')}"
+_CONTRACT, _LARGE = "coalesce(doc_type = 'contract', false)", "len(list_filter(amounts, lambda a: a > 100000)) > 0"
+
+ORACLE_SQL: dict[str, str] = {
+    "search_title_boost": _search_sql(TITLED, _LETTER_GRAMS, "normal", more="0.05e0 * (contains(lower(title), 'letter') OR contains(lower(title), '4217'))::INT"),
+    "query_mixed_text": _search_sql("agreement sum is", _LETTER_GRAMS, "normal", f"({_CONTRACT} OR NOT {_LARGE})", f"0.20e0 * (({_CONTRACT})::INT + (NOT {_LARGE})::INT) / 2e0", 25),
+    "normalize_text": f"WITH {_DOCS} SELECT doc_id, md5(norm) AS norm_md5, length(norm) AS n FROM docs",
+    "word_tokens": f"WITH {_DOCS}, w AS (SELECT doc_id, list_filter(string_split(norm, ' '), lambda x: x <> '') AS l FROM docs) SELECT doc_id, len(l)::BIGINT AS n_words, len(list_distinct(l))::BIGINT AS n_distinct FROM w",
+    "snippets": "SELECT doc_id, md5(left(text, 256)) AS snippet_md5 FROM documents WHERE text IS NOT NULL",
+    "doc_trigram_count": f"WITH {_GRAMS} SELECT d.doc_id, count(p.trigram) AS n_trigrams, coalesce(sum(tf), 0)::BIGINT AS n_positions FROM docs d LEFT JOIN post p USING (doc_id) GROUP BY d.doc_id",
+    "trigram_postings": f"WITH {_GRAMS} SELECT trigram, doc_id, tf, first, last FROM post",
+    "trigram_df_topk": f"WITH {_GRAMS} SELECT trigram, count(*) AS df, sum(tf)::BIGINT AS tf FROM post GROUP BY trigram ORDER BY df DESC, 3 DESC, trigram LIMIT 50",
+    "trigram_candidates_one_word": f"WITH {_GRAMS} {_candidates_sql(WORD)}",
+    "trigram_candidates_multi_word": f"WITH {_GRAMS} {_candidates_sql(SEARCH)}",
+    "search_score_topk": _search_sql(SEARCH),
+    "search_index_topk": _search_sql(SEARCH),
+    "contextual_snippets": f"""WITH a AS (SELECT doc_id, text, CASE WHEN instr(lower(text), '{WORD}') > 0 THEN instr(lower(text), '{WORD}') WHEN instr(lower(text), 'ation') > 0 THEN instr(lower(text), 'ation') END AS p FROM documents WHERE text IS NOT NULL),
+      b AS (SELECT *, greatest(p - 41, 0) AS s, least(p + 39, length(text)) AS e FROM a)
+      SELECT doc_id, md5(CASE WHEN p IS NULL THEN 'none' ELSE CASE WHEN s > 0 THEN '...' ELSE '' END || replace(regexp_replace(substring(text, s + 1, e - s), '^{_WS}|{_WS}$', '', 'g'), chr(10), ' ')
+      || CASE WHEN e < length(text) THEN '...' ELSE '' END END) AS snippet_md5 FROM b""",
+    "min_span_pair": f"""WITH {_GRAMS}, pos AS (SELECT doc_id, i, t FROM gram WHERE t IN ('{SPAN[0].hex().upper()}', '{SPAN[1].hex().upper()}')),
+      back AS (SELECT doc_id, i, max(CASE WHEN t = '{SPAN[0].hex().upper()}' THEN i END) OVER w AS a, max(CASE WHEN t = '{SPAN[1].hex().upper()}' THEN i END) OVER w AS b FROM pos WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+      SELECT doc_id, min(i - least(a, b)) AS span FROM back WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY doc_id""",
+    "meta_doc_type": f"WITH {_META} SELECT coalesce(doc_type, '-') AS doc_type, count(*) AS n FROM meta GROUP BY 1",
+    "meta_dates": f"WITH {_META} SELECT doc_id, strftime(unnest(dates), '%Y-%m-%d') AS d FROM meta",
+    "meta_amounts": f"WITH {_META} SELECT doc_id, unnest(amounts) AS amount FROM meta",
+    "meta_emails": f"WITH {_META} SELECT doc_id, unnest(emails) AS email FROM meta",
+    "meta_entities": f"WITH {_META} SELECT doc_id, unnest(entities) AS entity FROM meta",
+    "query_type": _query_sql("doc_type = 'contract'", "1e0"),
+    "query_path": _query_sql("contains(lower(path), 'src3')", "1e0", "docs"),
+    "query_amount_range": _query_sql("len(list_filter(amounts, lambda a: a > 300000)) > 0 AND len(list_filter(amounts, lambda a: a <= 310000)) > 0", "1e0"),
+    "query_date_year": _query_sql("len(list_filter(dates, lambda d: d >= DATE '1995-01-01')) > 0 AND len(list_filter(dates, lambda d: d < DATE '1996-01-01')) > 0", "1e0"),
+    "query_email": _query_sql("len(list_filter(emails, lambda e: contains(e, 'desk42@'))) > 0", "1e0"),
+    "query_since": _query_sql("mtime >= 1704067200 - 14 * 86400", "1e0"),
+    "query_not": _query_sql("doc_type IS NULL", "1e0"),
+    "query_or": _query_sql("coalesce(doc_type = 'invoice', false) OR len(list_filter(amounts, lambda a: a < 2000)) > 0", "(coalesce(doc_type = 'invoice', false)::INT + (len(list_filter(amounts, lambda a: a < 2000)) > 0)::INT) / 2e0"),
+    "recent_topk": f"WITH {_DOCS}, page AS (SELECT path, mtime FROM docs WHERE mtime >= 1704067200 - 60 * 86400 ORDER BY mtime DESC, path LIMIT 20) SELECT path, round(mtime / max(mtime) OVER ()::DOUBLE, 6) AS score FROM page",
+    "lsh_bands": f"WITH {_NUMBERS} SELECT doc_id, band::BIGINT AS band, value FROM ({_bands_sql(8)})",
+    "lsh_cluster_sets": f"""WITH {_NUMBERS}, sets AS (SELECT DISTINCT list(doc_id ORDER BY doc_id) AS m FROM ({_bands_sql(4)}) GROUP BY band, value HAVING count(*) > 1)
+      SELECT len(m)::BIGINT AS size, md5(array_to_string(m, ',')) AS members_md5 FROM sets""",
+    "hamming_near": f"""WITH {_NUMBERS}, b AS ({_bands_sql(2)}) SELECT DISTINCT x.doc_id AS a, y.doc_id AS b, bit_count(xor(x.h, y.h))::BIGINT AS distance FROM b x JOIN b y ON x.band = y.band AND x.value = y.value AND x.doc_id < y.doc_id
+      WHERE bit_count(xor(x.h, y.h)) <= 3""",
+    "index_diff_status": """SELECT CASE WHEN doc_id % 7 = 0 THEN 'added' WHEN doc_id % 11 = 0 THEN 'removed' WHEN doc_id % 10 = 0 THEN 'added' ELSE 'skipped' END AS status, count(*) AS n
+      FROM documents WHERE doc_id % 7 != 0 OR doc_id % 11 != 0 GROUP BY 1""",
+}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLE_SQL)
