@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .text import let, words
 
@@ -29,7 +30,7 @@ def shingle_hashes(text: Column) -> Column:
     return F.transform(let(words(text), shingles), lambda s: xxh64(s))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def bit_vote(hashes: pd.Series) -> pd.Series:
     """The majority of each bit over an array of hashes; a tie is 0, and so is an empty array."""
 
