@@ -39,7 +39,7 @@ def words_of(text: str) -> list[str]:
 
 
 def grams(word: str, n: int) -> list[str]:
-    edged = f"\x02{word}\x03"
+    edged = f"\x02{word}\x03" if n > 1 else word  # an edge alone tells nothing
     return [edged[i : i + n] for i in range(len(edged) - n + 1)]
 
 
@@ -68,7 +68,7 @@ def log_frequencies(counts: dict[str, np.ndarray], n_langs: int) -> tuple[dict[s
     keys = {k: i for i, k in enumerate(counts)}
     table = np.array(list(counts.values()), np.float64).reshape(len(keys), n_langs)
     scores = np.log(table + 0.5) - np.log(table.sum(0) + 0.5 * max(1, len(keys)))
-    return keys, (scores - scores.mean(1, keepdims=True)).astype(np.float32)
+    return keys, (scores - scores.mean(1, keepdims=True) if n_langs else scores).astype(np.float32)
 
 
 def build_model(rows: list[tuple[str, str, int]], min_count: int = 2) -> LanguageModel:
