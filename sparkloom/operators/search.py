@@ -150,24 +150,43 @@ class Engine:
         live = self.docs.where("simhash != 0")
         if under_path is not None:
             live = live.where(under(F.col("path"), under_path))
-        sets = lsh_clusters(live.select("path", "simhash"), bands, "path")
-        sets = sets.orderBy(F.desc("size"), "members")
+        posted, sets = lsh_sets(live.select("path", "simhash"), bands, "path")
+        sets = sets.orderBy(F.desc("size"), "first", "set")
         sets = sets if limit is None else sets.limit(limit)
-        if shown is None:
-            return sets.withColumn("more", F.lit(0))
-        return sets.select("size", F.slice("members", 1, shown).alias("members"), F.greatest(F.col("size") - shown, F.lit(0)).alias("more")).orderBy(F.desc("size"), "members")
+        members = posted.join(sets, "b").select("set", "size", "first", "id")
+        if shown is not None:
+            rank = F.row_number().over(Window.partitionBy("set").orderBy("id"))
+            members = members.withColumn("_k", rank).where(F.col("_k") <= shown)
+        lists = members.groupBy("size", "first", "set").agg(F.sort_array(F.collect_list("id")).alias("members"))
+        more = F.col("size") - F.size("members")
+        return lists.orderBy(F.desc("size"), "first", "set").select(F.col("size").cast("int").alias("size"), "members", more.cast("int").alias("more"))
 
 
-def lsh_clusters(docs: DataFrame, bands: int, id_col: str = "doc_id", hash_col: str = "simhash") -> DataFrame:
-    """(size, members): the distinct member sets of the buckets with two documents or more."""
+def lsh_sets(docs: DataFrame, bands: int, id_col: str = "doc_id", hash_col: str = "simhash") -> tuple[DataFrame, DataFrame]:
+    """(postings, sets): (id, b) of every document and bucket; (b, set, size, first, last) of the distinct sets of two or more.
+
+    Equal sets are told by their size and two sums of hashes of their members, which
+    combine before the shuffle, so no set is gathered; ``b`` is one of its buckets.
+    """
     posted = docs.where(F.col(hash_col) != 0).select(F.col(id_col).alias("id"), F.explode(fingerprint.bands(F.col(hash_col), bands)).alias("b"))
-    # most buckets hold one document and go before any set is gathered
-    several = posted.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select("b")
-    return posted.join(several, "b").groupBy("b").agg(F.sort_array(F.collect_set("id")).alias("members")).where(F.size("members") > 1).select("members").distinct().select(F.size("members").alias("size"), "members")
+    mark = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    buckets = posted.groupBy("b").agg(F.count("*").alias("size"), mark.alias("set"), F.min("id").alias("first"), F.max("id").alias("last")).where("size > 1")
+    return posted, buckets.groupBy("set", "size", "first", "last").agg(F.min("b").alias("b"))
+
+
+def lsh_clusters(docs: DataFrame, bands: int, id_col: str = "doc_id", hash_col: str = "simhash") -> DataFrame:
+    """(set, size, id): a row a member of each distinct set of documents that share a bucket."""
+    posted, sets = lsh_sets(docs, bands, id_col, hash_col)
+    return posted.join(sets.select("b", "set", "size"), "b").select("set", "size", "id")
 
 
 def hamming_pairs(docs: DataFrame, bands: int, threshold: int, id_col: str = "doc_id", hash_col: str = "simhash") -> DataFrame:
-    """(a, b, distance) of documents that share a band and differ in at most ``threshold`` bits."""
-    posted = docs.where(F.col(hash_col) != 0).select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"), F.explode(fingerprint.bands(F.col(hash_col), bands)).alias("b"))
-    pairs = posted.alias("x").join(posted.alias("y"), "b").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), fingerprint.hamming(F.col("x.h"), F.col("y.h")).alias("distance"))
+    """(a, b, distance, n_a, n_b): fingerprints that share a band and differ in at most ``threshold`` bits.
+
+    A fingerprint goes by the smallest id that has it, with the number of its
+    documents, so copies make no pairs. With more bands than ``threshold`` no such pair is missed.
+    """
+    values = docs.where(F.col(hash_col) != 0).groupBy(F.col(hash_col).alias("h")).agg(F.min(id_col).alias("id"), F.count("*").alias("n"))
+    posted = values.select("id", "n", "h", F.explode(fingerprint.bands(F.col("h"), bands)).alias("b"))
+    pairs = posted.alias("x").join(posted.alias("y"), "b").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), fingerprint.hamming(F.col("x.h"), F.col("y.h")).alias("distance"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
     return pairs.where(F.col("distance") <= threshold).distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fingerprint
 from ..functions.text import contextual_snippet, distinct_trigrams, snippet, trigrams, utf8, words
 from ..operators import postings as post
-from ..operators.search import Engine, hamming_pairs, lsh_clusters, scan_candidates, word_trigrams
+from ..operators.search import Engine, hamming_pairs, lsh_clusters, lsh_sets, scan_candidates, word_trigrams
 from ..sources import corpus
 
 SEARCH = "ation ouer nder"
@@ -133,11 +133,16 @@ def lsh_bands(spark, sf):
 
 
 def lsh_cluster_sets(spark, sf):
-    return lsh_clusters(_numbers(spark, sf), 4).select(F.col("size").cast("long").alias("size"), F.md5(F.array_join(F.transform("members", lambda x: x.cast("string")), ",")).alias("members_md5"))
+    return lsh_sets(_numbers(spark, sf), 4)[1].select("size", "first", "last")
+
+
+def lsh_cluster_members(spark, sf):
+    """How many sets of each size a document is in."""
+    return lsh_clusters(_numbers(spark, sf), 4).groupBy(F.col("id").alias("doc_id"), "size").agg(F.count("*").alias("n"))
 
 
 def hamming_near(spark, sf):
-    return hamming_pairs(_numbers(spark, sf).where("doc_id is not null"), 2, 3).select("a", "b", F.col("distance").cast("long").alias("distance"))
+    return hamming_pairs(_numbers(spark, sf), 4, 3).select("a", "b", F.col("distance").cast("long").alias("distance"), "n_a", "n_b")
 
 
 def simhash_fingerprint(spark, sf):
@@ -168,7 +173,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         normalize_text, word_tokens, snippets, doc_trigram_count, trigram_postings, trigram_df_topk, trigram_candidates_one_word, trigram_candidates_multi_word, search_score_topk, search_index_topk, search_title_boost,
-        contextual_snippets, min_span_pair, meta_doc_type, meta_dates, meta_amounts, meta_emails, meta_entities, recent_topk, lsh_bands, lsh_cluster_sets, hamming_near, simhash_fingerprint, similar_topk, clusters_docs,
+        contextual_snippets, min_span_pair, meta_doc_type, meta_dates, meta_amounts, meta_emails, meta_entities, recent_topk, lsh_bands, lsh_cluster_sets, lsh_cluster_members, hamming_near, simhash_fingerprint, similar_topk, clusters_docs,
         index_diff_status,
     )
 } | {
@@ -278,6 +283,7 @@ def _bands_sql(n: int) -> str:
     return " UNION ALL ".join(f"SELECT doc_id, h, {i} AS band, (h >> {i * width}) & {mask} AS value FROM fp" for i in range(n))
 
 
+_SETS = f"sets AS (SELECT DISTINCT list(doc_id ORDER BY doc_id) AS m FROM ({_bands_sql(4)}) GROUP BY band, value HAVING count(*) > 1)"
 _LETTER_GRAMS = f"{_META}, normal AS (SELECT *, trim(regexp_replace(lower(text), '{_WS}', ' ', 'g'), ' ') AS norm FROM meta), {_grams('normal')}"
 _CONTRACT, _LARGE = "coalesce(doc_type = 'contract', false)", "len(list_filter(amounts, lambda a: a > 100000)) > 0"
 
@@ -316,10 +322,10 @@ ORACLE_SQL: dict[str, str] = {
     "query_or": _query_sql("coalesce(doc_type = 'invoice', false) OR len(list_filter(amounts, lambda a: a < 2000)) > 0", "(coalesce(doc_type = 'invoice', false)::INT + (len(list_filter(amounts, lambda a: a < 2000)) > 0)::INT) / 2e0"),
     "recent_topk": f"WITH {_DOCS}, page AS (SELECT path, mtime FROM docs WHERE mtime >= 1704067200 - 60 * 86400 ORDER BY mtime DESC, path LIMIT 20) SELECT path, round(mtime / max(mtime) OVER ()::DOUBLE, 6) AS score FROM page",
     "lsh_bands": f"WITH {_NUMBERS} SELECT doc_id, band::BIGINT AS band, value FROM ({_bands_sql(8)})",
-    "lsh_cluster_sets": f"""WITH {_NUMBERS}, sets AS (SELECT DISTINCT list(doc_id ORDER BY doc_id) AS m FROM ({_bands_sql(4)}) GROUP BY band, value HAVING count(*) > 1)
-      SELECT len(m)::BIGINT AS size, md5(array_to_string(m, ',')) AS members_md5 FROM sets""",
-    "hamming_near": f"""WITH {_NUMBERS}, b AS ({_bands_sql(2)}) SELECT DISTINCT x.doc_id AS a, y.doc_id AS b, bit_count(xor(x.h, y.h))::BIGINT AS distance FROM b x JOIN b y ON x.band = y.band AND x.value = y.value AND x.doc_id < y.doc_id
-      WHERE bit_count(xor(x.h, y.h)) <= 3""",
+    "lsh_cluster_sets": f"""WITH {_NUMBERS}, {_SETS} SELECT len(m)::BIGINT AS size, m[1] AS first, m[-1] AS last FROM sets""",
+    "lsh_cluster_members": f"""WITH {_NUMBERS}, {_SETS} SELECT doc_id, size, count(*) AS n FROM (SELECT unnest(m) AS doc_id, len(m)::BIGINT AS size FROM sets) GROUP BY doc_id, size""",
+    "hamming_near": f"""WITH {_NUMBERS}, v AS (SELECT h, min(doc_id) AS id, count(*) AS n FROM fp GROUP BY h) SELECT x.id AS a, y.id AS b, bit_count(xor(x.h, y.h))::BIGINT AS distance, x.n AS n_a, y.n AS n_b
+      FROM v x JOIN v y ON x.id < y.id WHERE bit_count(xor(x.h, y.h)) <= 3""",
     "index_diff_status": """SELECT CASE WHEN doc_id % 7 = 0 THEN 'added' WHEN doc_id % 11 = 0 THEN 'removed' WHEN doc_id % 10 = 0 THEN 'added' ELSE 'skipped' END AS status, count(*) AS n
       FROM documents WHERE doc_id % 7 != 0 OR doc_id % 11 != 0 GROUP BY 1""",
 }

@@ -195,6 +195,12 @@ def test_no_index(tmp_path, monkeypatch):
 
 
 def test_clusters_count_equal_sets_once(spark):
-    rows = spark.createDataFrame([(1, 5), (2, 5), (3, 0), (4, 0), (5, 1 << 40)], "doc_id long, simhash long")
-    found = {tuple(r["members"]) for r in lsh_clusters(rows, 2).collect()}
-    assert found == {(1, 2)}
+    rows = spark.createDataFrame([(1, 5), (2, 5), (3, 0), (4, 0), (5, 1 << 40), (6, 5 + (1 << 40))], "doc_id long, simhash long")
+    found = {}
+    for r in lsh_clusters(rows, 2).collect():
+        found.setdefault(r["set"], set()).add(r["id"])
+    assert sorted(map(sorted, found.values())) == [[1, 2], [1, 2, 6], [5, 6]]
+    many = spark.createDataFrame([(f"/d/{i:02d}", 9) for i in range(12)] + [("/e/x", 9)], "path string, simhash long")
+    shown = Engine(many).clusters(2, "/d").collect()
+    assert [(r["size"], r["members"], r["more"]) for r in shown] == [(12, [f"/d/{i:02d}" for i in range(5)], 7)]
+    assert Engine(many).clusters(2, shown=None).first()["more"] == 0
