@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, documents
+from .common import Memo, documents, held, materialize
 from .langid import share_model
 from .tokens import LOWER_WORD, UNSAFE, resolve
 
@@ -303,7 +303,10 @@ def count_words(docs: DataFrame, tokenizer: str, text_col: str = "text", flush:
 
 
 def build_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", size: int = LEXICON_WORDS) -> bytes:
-    """Compile the ``size`` most frequent words of all documents (ties: by the word)."""
+    """Compile the most frequent words of all documents, at most ``size``; words that occur once are left to the merges.
+
+    Words of like frequency are all in or all out, so that no global sort is needed.
+    """
 
     def merge(batches):
         rules = Rules(tokenizer)
@@ -311,19 +314,24 @@ def build_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", size:
             words = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_pydict({"word": batch.column(0), "ids": pa.array([rules.merge(w) for w in words], pa.list_(pa.int32()))})
 
-    top = count_words(docs, tokenizer, text_col).orderBy(F.desc("n"), "word").limit(size).select("word")
+    counted = materialize(count_words(docs, tokenizer, text_col).where("n > 1"), "words")
+    # the counts above which at most ``size`` words are, from a histogram over steps of a sixteenth of a doubling
+    step = F.floor(F.log2("n") * 16).cast("int")
+    histogram = sorted(((r["s"], r["count"]) for r in counted.groupBy(step.alias("s")).count().collect()), reverse=True)
+    total, least = 0, 1 << 20
+    for s, n in histogram:
+        total += n
+        if total > size:
+            break
+        least = s
+    top = counted.where(step >= least).select("word")
     merged = top.repartition(8).mapInArrow(merge, "word string, ids array<int>")
     return compile_lexicon({r["word"]: list(r["ids"]) for r in merged.collect()})
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec_of(shared) -> Codec:
-    if shared.value["key"] not in _codecs:
-        _codecs.clear()
-        _codecs[shared.value["key"]] = Codec(*shared.value["model"])
-    return _codecs[shared.value["key"]]
+    """One codec a worker process and broadcast lexicon."""
+    return held(shared.value["key"], lambda: Codec(*shared.value["model"]))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

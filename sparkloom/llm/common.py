@@ -31,8 +31,9 @@ def shared_dir(spark: SparkSession) -> str:
     used, which is enough because all tasks then run on it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
+    if root:  # with its scheme, so that a path means the same to Spark and to other readers
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
     if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own:
@@ -76,6 +77,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+_held: dict = {}
+
+
+def held(key, make):
+    """What ``make`` gives, kept in this worker process until another key is asked for.
+
+    Processes outlast tasks and stages, so only one model stays in memory at a time.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def forget() -> None:
+    """Drop what this worker process holds, before work that needs no model."""
+    _held.clear()
+
+
 class Memo(dict):
     """A dict that fills itself from ``make`` and holds two generations of at most ``limit`` / 2 keys.
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, documents, draw
+from .common import crc_mod, documents, draw, held
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -122,7 +122,8 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     counted = (
         rows.where(draw(F.col("i"), share, "langid")).select("lang", "t").mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     )
-    return build_model([tuple(r) for r in counted.collect()])
+    found = counted.toArrow()  # bounded by the sample
+    return build_model(list(zip(*(found.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True)))
 
 
 class Predictor:
@@ -164,15 +165,9 @@ class Predictor:
         return self.model.langs[best], float(p[best] / p.sum())
 
 
-_predictors: dict[int, Predictor] = {}
-
-
 def predictor_of(shared) -> Predictor:
     """One predictor a worker process and broadcast model."""
-    if shared.value["key"] not in _predictors:
-        _predictors.clear()
-        _predictors[shared.value["key"]] = Predictor(shared.value["model"])
-    return _predictors[shared.value["key"]]
+    return held(shared.value["key"], lambda: Predictor(shared.value["model"]))
 
 
 def share_model(spark, model):

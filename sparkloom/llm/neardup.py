@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, documents, materialize
+from .common import Memo, documents, forget, materialize
 
 COORDINATES = 48
 MATCHES = 21
@@ -91,6 +91,7 @@ def _word_memo() -> Memo:
 
 
 def _sign(batches):
+    forget()
     memo = _word_memo()
     for batch in batches:
         n, prints, keys, sketches = [], [], [], []

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, documents, draw
+from .common import crc_mod, documents, draw, held
 from .langid import share_model
 
 NGRAMS = (3, 4, 5)
@@ -118,14 +118,16 @@ def train(texts: list[str], labels: list[int], classes: list[int], bits: int = 1
     rng = np.random.default_rng(seed)
     vectors = ((rng.random((1 << bits, dim), np.float32) - 0.5) / dim).astype(np.float32)
     layer, bias = np.zeros((dim, len(classes)), np.float32), np.zeros(len(classes), np.float32)
-    bags = [bag(t, bits) for t in texts]
+    bags = []
+    for t in texts:
+        at, reps = bag(t, bits)
+        bags.append((at.astype(np.int32), (reps / max(1, reps.sum())).astype(np.float32)))
     steps, step = max(1, epochs * len(bags)), 0
     for _ in range(epochs):
         for i in rng.permutation(len(bags)):
-            at, reps = bags[i]
+            at, weight = bags[i]
             lr = rate * (1 - step / steps)
             step += 1
-            weight = (reps / max(1, reps.sum())).astype(np.float32)
             rows = vectors[at]
             mean = weight @ rows
             z = mean @ layer + bias
@@ -211,14 +213,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train([r["t"] or "" for r in rows], [r["y"] for r in rows], [0, 1])
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def scorer_of(shared) -> Scorer:
-    if shared.value["key"] not in _scorers:
-        _scorers.clear()
-        _scorers[shared.value["key"]] = Scorer(shared.value["model"])
-    return _scorers[shared.value["key"]]
+    """One scorer a worker process and broadcast model."""
+    return held(shared.value["key"], lambda: Scorer(shared.value["model"]))
 
 
 def score(docs: DataFrame, model: SubwordModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

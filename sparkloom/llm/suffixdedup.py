@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import documents, forget, materialize
 
 WINDOW = 50
 GRAM = 20
@@ -287,6 +287,7 @@ def _payloads(replies: pa.Table, kind: int) -> list[bytes]:
 
 
 def _batch(left: pa.Table, right: pa.Table) -> Batch:
+    forget()
     return Batch(left, {int.from_bytes(x, "big", signed=True) for x in _payloads(right, COPIES)})
 
 

@@ -16,6 +16,8 @@ from array import array
 
 import numpy as np
 
+from .common import held
+
 #: Characters on which Python's and the tokenizer's character classes agree and
 #: which normalisation leaves alone: ASCII but for the separators 1C-1F, and the
 #: Latin letters up to U+017F but for the two whose case changes length or folds oddly.
@@ -104,12 +106,6 @@ class WordwiseEncoder:
                 self.memo[w] = array(self.code, e.ids).tobytes()
 
 
-_encoders: dict[str, WordwiseEncoder] = {}
-
-
 def encoder_of(tokenizer: str) -> WordwiseEncoder:
     """One encoder a worker process, so that its memory of words lasts over tasks."""
-    if tokenizer not in _encoders:
-        _encoders.clear()
-        _encoders[tokenizer] = WordwiseEncoder(tokenizer)
-    return _encoders[tokenizer]
+    return held(("tokens", tokenizer), lambda: WordwiseEncoder(tokenizer))
