@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fingerprint
-from ..functions.text import contextual_snippet, distinct_trigrams, snippet, trigrams, utf8, words
+from ..functions.text import contextual_snippet, distinct_trigrams, snippet, utf8, words
 from ..operators import postings as post
 from ..operators.search import Engine, hamming_pairs, lsh_clusters, lsh_sets, scan_candidates, word_trigrams
 from ..sources import corpus
@@ -48,7 +48,7 @@ def snippets(spark, sf):
 
 def doc_trigram_count(spark, sf):
     data = utf8(F.col("norm"))
-    return corpus.documents(spark, sf).select("doc_id", F.size(distinct_trigrams(data)).cast("long").alias("n_trigrams"), F.size(trigrams(data)).cast("long").alias("n_positions"))
+    return corpus.documents(spark, sf).select("doc_id", F.size(distinct_trigrams(data)).cast("long").alias("n_trigrams"), F.greatest(F.octet_length(data) - 2, F.lit(0)).cast("long").alias("n_positions"))
 
 
 def _hex(trigram):
