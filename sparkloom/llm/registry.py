@@ -18,7 +18,7 @@ QUERIES = {
     "op10_permutation_index": "permutation",
 }
 #: query: module whose ORACLE_SQL matches its rows
-ORACLES: dict[str, str] = {"op1_license_scan": "licenses"}
+ORACLES = {"op1_license_scan": "licenses", "op5_exact_top_k": "kdtree", "op6_minhash_near_dedup": "neardup"}
 
 
 def queries():
