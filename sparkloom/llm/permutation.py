@@ -4,7 +4,12 @@ Pivots are rows drawn by a hash. A vector is represented by its ``prefix`` neare
 pivots in order, and posted in the inverted file of each of them with the
 pivot's place. A query reads the files of its own nearest pivots and adds up the footrule
 distance: the differences in place, with ``prefix`` for a pivot that is not among a vector's.
-The vectors with the smallest distance are reranked by their inner product.
+Footrule speaks of direction only, so a shard also keeps the length of each vector and the
+mean cosine at each distance, measured with some pivots as queries. Those with the largest expected
+inner product (mean cosine x length) are reranked first. Their kth score s tells which
+cosine another vector x needs to get into the answer, s / (|q| |x|); the rest of the share goes to the vectors whose
+expected cosine exceeds that by the most, and those that would need more than 1 can't be in the answer.
+Where all lengths are equal this is the order of the footrule distance.
 
 Every row is indexed; only the pivots (``pivots`` rows) are a sample. Recall against
 brute force is measured in the tests and given in the README.
@@ -23,9 +28,20 @@ PREFIX = 48
 #: Reranked of each shard: this share, and so many at least.
 SHARE = 0.25
 LEAST = 1000
+#: Of the reranked, the first part: one in so many.
+FIRST = 4
+#: Pivots that the mean cosine is measured with, and distances that it is kept for.
+MEASURED = 32
+LEVELS = 64
 SHARD_ROWS = 16_384
 
 
+def lengths_of(rows: np.ndarray) -> np.ndarray:
+    """Euclidean lengths, also where squares would leave the range of doubles."""
+    largest = np.abs(rows).max(1, initial=0)
+    return largest * np.linalg.norm(rows / np.where(largest > 0, largest, 1)[:, None], axis=1)
+
+
 def nearest_pivots(rows: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """The pivots of largest cosine, in order, for each row."""
     score = rows @ pivots.T
@@ -38,12 +54,34 @@ def build_index(ids: np.ndarray, rows: np.ndarray, pivots: np.ndarray, prefix: i
     """Rows, pivots and inverted files: for each pivot the rows posted and the pivot's place in them."""
     if not len(ids):
         none = np.empty(0, np.int64)
-        return {"ids": ids, "rows": rows, "pivots": pivots, "starts": np.zeros(len(pivots) + 1, np.int64), "posted": none, "places": none}
+        return {"ids": ids, "rows": rows, "pivots": pivots, "starts": np.zeros(len(pivots) + 1, np.int64), "posted": none, "places": none, "lengths": np.empty(0), "cosines": np.zeros(LEVELS + 1)}
     order = np.concatenate([nearest_pivots(rows[i : i + 2048], pivots, prefix) for i in range(0, len(ids), 2048)])
     posted, places = (x.ravel() for x in np.indices(order.shape))
     by_pivot = np.argsort(order.ravel(), kind="stable")
     starts = np.searchsorted(order.ravel()[by_pivot], np.arange(len(pivots) + 1))
-    return {"ids": ids, "rows": rows, "pivots": pivots, "starts": starts, "posted": posted[by_pivot].astype(np.int32), "places": places[by_pivot].astype(np.int32)}
+    index = {"ids": ids, "rows": rows, "pivots": pivots, "starts": starts, "posted": posted[by_pivot].astype(np.int32), "places": places[by_pivot].astype(np.int32), "lengths": lengths_of(rows)}
+    return index | {"cosines": mean_cosines(index, order.shape[1])}
+
+
+def footrule(index: dict[str, np.ndarray], q: np.ndarray, prefix: int) -> np.ndarray:
+    """Each row's footrule distance from q, less that of rows without a common pivot."""
+    distance = np.zeros(len(index["ids"]), np.int32)
+    for place, pivot in enumerate(nearest_pivots(q[None, :], index["pivots"], prefix)[0].tolist()):
+        a, b = index["starts"][pivot], index["starts"][pivot + 1]
+        distance[index["posted"][a:b]] += np.abs(index["places"][a:b] - place) - prefix
+    return distance
+
+
+def mean_cosines(index: dict[str, np.ndarray], prefix: int) -> np.ndarray:
+    """The mean cosine at ``LEVELS`` + 1 footrule distances, from no common pivot to equal orders; never falling."""
+    total, n = np.zeros(LEVELS + 1), np.zeros(LEVELS + 1, np.int64)
+    lengths = np.where(index["lengths"] > 0, index["lengths"], 1)
+    for pivot in index["pivots"][:: max(1, len(index["pivots"]) // MEASURED)]:
+        level = np.rint(-footrule(index, pivot, prefix) * (LEVELS / prefix**2)).astype(np.int64)
+        total += np.bincount(level, index["rows"] @ pivot / lengths, LEVELS + 1)
+        n += np.bincount(level, minlength=LEVELS + 1)
+    known = np.flatnonzero(n >= min(20, n.max()))
+    return np.maximum.accumulate(np.interp(np.arange(LEVELS + 1), known, total[known] / n[known]))
 
 
 class Shard:
@@ -57,18 +95,25 @@ class Shard:
     def __call__(self, query_id: int, q: np.ndarray, bound: float | None) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.ids):
             return np.empty(0, np.int64), np.empty(0)
-        own = nearest_pivots(q[None, :], self.pivots, self.prefix)[0]
-        distance = np.zeros(len(self.ids), np.int32)
-        for place, pivot in enumerate(own.tolist()):
-            a, b = self.starts[pivot], self.starts[pivot + 1]
-            distance[self.posted[a:b]] += np.abs(self.places[a:b] - place) - self.prefix
-        if self.n_rerank < len(self.ids):
-            near = np.argpartition(distance, self.n_rerank)[: self.n_rerank]
-        else:
-            near = np.arange(len(self.ids))
+        near = self.candidates(query_id, q) if self.n_rerank < len(self.ids) else np.arange(len(self.ids))
         near = near[self.ids[near] != query_id]
         return top_of(self.ids[near], self.rows[near] @ q, self.k)
 
+    def candidates(self, query_id: int, q: np.ndarray) -> np.ndarray:
+        """The ``n_rerank`` rows that are most likely in the answer."""
+        cosine = np.interp(-footrule(self.__dict__, q, self.prefix) * (LEVELS / self.prefix**2), np.arange(LEVELS + 1), self.cosines)
+        n = min(self.n_rerank, max(self.n_rerank // FIRST, self.k + 1))
+        first = np.argpartition(-cosine * self.lengths, n)[:n]
+        scores = self.rows[first[self.ids[first] != query_id]] @ q
+        if n == self.n_rerank or len(scores) < self.k:
+            return np.argpartition(-cosine * self.lengths, self.n_rerank)[: self.n_rerank]
+        kth = np.partition(scores, -self.k)[-self.k]
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            needed = kth / lengths_of(q[None, :])[0] / self.lengths
+        short = np.where(needed > 1 + 1e-9, np.inf, needed - cosine)
+        short[first] = -np.inf
+        return np.argpartition(short, self.n_rerank)[: self.n_rerank]
+
 
 def nearest(vectors: DataFrame, every: int, k: int, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE, least: int = LEAST, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose id is divisible by ``every`` against all other rows.
@@ -79,7 +124,7 @@ def nearest(vectors: DataFrame, every: int, k: int, id_col: str = "vec_id", vec_
     rows = usable(vectors, id_col, vec_col, "exists(v, x -> x != 0)")
     drawn = rows.orderBy(F.xxhash64("vec_id", F.lit("pivot")), "vec_id", "v").limit(pivots).collect()  # bounded by ``pivots``
     chosen = np.unique(np.array([r["v"] for r in drawn], np.float64), axis=0) if drawn else np.empty((0, 0))
-    chosen = chosen / np.linalg.norm(chosen, axis=1, keepdims=True) if len(chosen) else chosen
+    chosen = chosen / lengths_of(chosen)[:, None] if len(chosen) else chosen
     folder, shards = build_shards(rows, shard_rows, lambda ids, x: build_index(ids, x, chosen, prefix), "permutation-index")
     asked = query_rows(rows, every).select("query_id", "v", F.lit(None).cast("double").alias("bound"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
     return best(search(asked, folder, lambda arrays: Shard(arrays, k, prefix, share, least), k, False), k)

@@ -87,6 +87,18 @@ def test_permutation_recall(spark):
     assert all(s == pytest.approx(float(x[q] @ x[i]), rel=1e-12) for q, r in found.items() for i, s in r)
 
 
+@pytest.mark.parametrize("lengths", ["lognormal", "few long", "equal"])
+def test_permutation_recall_with_unequal_lengths(spark, lengths):
+    """The query's share and pivots, without the rows that small shards rerank in any case."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= {"lognormal": rng.lognormal(0, 1, 4000), "few long": np.where(rng.random(4000) < 0.02, 5, 1), "equal": np.ones(4000)}[lengths][:, None]
+    rows = list(enumerate(x.astype(np.float32).astype(np.float64)))
+    found, wanted = got(permutation.nearest(frame(spark, rows), 80, 20, least=1)), brute(rows, 80, 20, False)
+    assert np.mean([len({i for i, _ in found[q]} & {i for i, _ in w}) / len(w) for q, w in wanted.items()]) >= 0.9
+
+
 def test_inverted_files_hold_every_row():
     rng = np.random.default_rng(2)
     rows, pivots = rng.normal(size=(70, 6)), rng.normal(size=(12, 6))
