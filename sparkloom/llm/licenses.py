@@ -1,12 +1,16 @@
 """Licence scans: text units compared with licence templates by Dice over word bigrams.
 
 Text is normalised to its runs of ASCII letters and digits in lower case. The units of a
-document are its lines, its paragraphs (split at two line ends) and the whole text. With A
+document are its lines, its paragraphs (split at two line ends), the whole text, and passages. With A
 and B the distinct word bigrams of a unit and a template, the unit matches if
 2 |A and B| / (|A| + |B|) >= threshold. That bounds the sizes, t / (2 - t) <= |A| / |B| <= (2 - t) / t, so
 only templates of like size are compared (of those that match, the best); and a document whose bigrams hold less
 than t / (2 - t) of a template's can't have a unit that matches it, so most documents
 are done after one pass over their words.
+
+A passage is a run of words, wherever lines and paragraphs end, with at most (2 - t) / t times as
+many word bigrams as a template has, repeats counted. All that match are found. Of those that share half of the longer
+one only the best count (several if they tie), and none that so shares with a line, paragraph or text that matches.
 """
 
 from __future__ import annotations
@@ -15,17 +19,19 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents
+from .licensetexts import TEXTS
 
 WORD = re.compile("[A-Za-z0-9]+")
 #: Hundredths.
 THRESHOLD = 80
 
-# Names and notices of public licences.
+# Names and notices of public licences. ORACLE_SQL has these; the scan has TEXTS besides.
 TEMPLATES: list[tuple[str, str]] = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -100,7 +106,9 @@ class Templates:
     """Templates in order of size; templates without a bigram can't match and are left out."""
 
     def __init__(self, templates: list[tuple[str, str]], threshold: int):
-        sets = [(name, bigrams(words_of(text))) for name, text in templates]
+        words = [(name, words_of(text)) for name, text in templates]
+        sets = [(name, bigrams(w)) for name, w in words]
+        self.longest = {(name, frozenset(bigrams(w))): (len(w) - 1) * (200 - threshold) // threshold for name, w in words}
         self.sets = sorted(((name, b) for name, b in sets if b), key=lambda x: (len(x[1]), x[0]))
         self.sizes, self.t = [len(b) for _, b in self.sets], threshold
         self.every = set().union(*[b for _, b in self.sets]) if self.sets else set()
@@ -119,27 +127,75 @@ class Templates:
         best = max(found, default=(0.0, ""))[0]
         return {(name, dice) for dice, name in found if dice == best}
 
+    def passages(self, words: list[str], units: list[tuple[int, int]]) -> dict[str, float]:
+        """For each licence in a passage: the best Dice. ``units`` are the words (from, to) of the units that match."""
+        pairs, t = list(zip(words, words[1:], strict=False)), self.t
+        last: dict[tuple[str, str], int] = {}
+        before = np.empty(len(pairs), np.int64)  # the place of the same bigram before
+        for i, pair in enumerate(pairs):
+            before[i] = last.get(pair, -1)
+            last[pair] = i
+        found = []
+        for k, (name, b) in enumerate(self.sets):
+            if len(b & last.keys()) * (200 - t) < t * len(b):
+                continue
+            room = self.longest[name, frozenset(b)]
+            inside = np.fromiter((pair in b for pair in pairs), bool, len(pairs))
+            total = np.concatenate([[0], np.cumsum(inside)])
+            starts = np.flatnonzero(inside)  # a passage that starts elsewhere has a better one within
+            near = total[np.minimum(starts + room, len(pairs))] - total[starts]
+            for i in starts[near * (200 - t) >= t * len(b)].tolist():
+                new = before[i : i + room] < i
+                n, both = np.cumsum(new), np.cumsum(new & inside[i : i + room])
+                end = int(np.argmax(both / (n + len(b))))
+                if 200 * both[end] >= t * (n[end] + len(b)):
+                    found.append((2 * both[end] / (n[end] + len(b)), k, i, i + end + 1))
+        best: dict[str, float] = {}
+        if not found:
+            return best
+        dice, owner, first, end = (np.array(x) for x in zip(*found, strict=True))
+        names = np.array([name for name, _ in self.sets])[owner]
+
+        def like(a: int, b: int) -> np.ndarray:
+            """Passages that share with bigrams a to b half of the longer."""
+            return 2 * (np.minimum(end, b) - np.maximum(first, a)) >= np.maximum(end - first, b - a)
+
+        alive = np.ones(len(dice), bool)
+        for a, b in units:
+            alive &= ~like(a, b - 1)
+        for i in np.lexsort((first, -dice)).tolist():
+            if alive[i]:
+                best[str(names[i])] = max(best.get(str(names[i]), 0.0), float(dice[i]))
+                alive &= ~(like(first[i], end[i]) & ((dice < dice[i]) | (names == names[i])))
+        return best
+
     def scan(self, text: str | None) -> dict[str, tuple[int, float]]:
         """For each licence found: the number of lines that match and the best Dice of any unit."""
         text = text or ""
         words = words_of(text)
         if not self.may_match(self.every.intersection(zip(words, words[1:], strict=False))):
             return {}
-        lines, best = defaultdict(int), defaultdict(float)
-        for line in text.split("\n"):
-            for name, dice in self.compare(line):
-                best[name] = max(best[name], dice)
-                lines[name] += 1
-        for unit in (*text.split("\n\n"), text):
-            for name, dice in self.compare(unit):
-                best[name] = max(best[name], dice)
+        lines, best, units = defaultdict(int), defaultdict(float), []
+        for kind, parts in (("line", text.split("\n")), ("paragraph", text.split("\n\n")), ("text", [text])):
+            at = 0
+            for unit in parts:
+                end = at + len(words_of(unit))
+                found = self.compare(unit)
+                for name, dice in found:
+                    best[name] = max(best[name], dice)
+                    lines[name] += kind == "line"
+                if found:
+                    units.append((at, end))
+                at = end
+        for name, dice in self.passages(words, units).items():
+            best[name] = max(best[name], dice)
         return {name: (lines[name], dice) for name, dice in best.items()}
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES + TEXTS, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, license_id, n_lines, dice) for each licence that a whole text holds; documents without one have no row.
 
-    Null and empty texts hold none. Rows that repeat an id are scanned each.
+    A licence that only paragraphs, the text or passages hold has n_lines 0. Null and empty texts hold none. Rows that repeat an id are scanned each.
     """
 
     def run(batches):

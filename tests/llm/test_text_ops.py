@@ -48,6 +48,19 @@ def test_full_license_text(spark):
         assert name in found and found[name][1] > 0.9, name
 
 
+def test_licenses_within_longer_documents():
+    t, rng = licenses.Templates(licenses.TEMPLATES + licenses.TEXTS, licenses.THRESHOLD), random.Random(3)
+    prose = [" ".join(f"{rng.choice('river stone cloud field house'.split())}{rng.randrange(50)}" for _ in range(200)) for _ in range(2)]
+    mit = max((text for name, text in licenses.TEMPLATES if name == "MIT"), key=len).replace(" The above", "\n\nThe above").replace(" THE SOFTWARE IS", "\n\nTHE SOFTWARE IS")
+    assert t.scan(f"{prose[0]}\n\n{mit}\n\n{prose[1]}") == {"MIT": (0, 1.0)}
+    assert t.scan("We like it. Licensed under the Apache License, Version 2.0. Please enjoy.") == {"Apache-2.0": (0, 1.0)}
+    assert t.scan(f"{prose[0]} This work is licensed under the GNU General Public License, version 3. {prose[1]}") == {"GPL-3.0": (0, 1.0)}
+    for name, text in licenses.TEXTS:
+        words = text.split()
+        wrapped = "\n".join(" ".join(words[i : i + 12]) + "\n" * (i % 5 == 0) for i in range(0, len(words), 12))
+        assert set(t.scan(f"{prose[0]}\n{wrapped}\n{prose[1]}")) == {name}
+
+
 def test_license_pruning_loses_nothing():
     rng, vocabulary = random.Random(2), "released under the mit license a b version of this work is licensed gnu".split()
     t = licenses.Templates(licenses.TEMPLATES, licenses.THRESHOLD)
