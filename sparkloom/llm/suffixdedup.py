@@ -25,7 +25,7 @@ batch; the three passes over them share that exchange.
 from __future__ import annotations
 
 import zlib
-from hashlib import sha256
+from hashlib import md5, sha256
 
 import numpy as np
 import pyarrow as pa
@@ -79,9 +79,12 @@ def anchors(buf: np.ndarray) -> np.ndarray:
 
 
 class Batch:
-    """The documents of a batch in ascending order, concatenated; the items of its anchors."""
+    """The documents of a batch in ascending order, concatenated; the items of its anchors.
 
-    def __init__(self, table: pa.Table, copies: set[int]):
+    ``copies`` has a row's id, eight bytes with the highest first, and its text's MD5; an id alone stands for all its rows.
+    """
+
+    def __init__(self, table: pa.Table, copies: set[bytes]):
         ids = np.asarray(table.column("__id"))
         self.order = np.argsort(ids, kind="stable")
         texts = table.column("__text").to_pylist()
@@ -91,7 +94,9 @@ class Batch:
         self.starts = self.ends - [len(x) for x in raw]
         self.data = b"".join(raw)
         self.buf = np.frombuffer(self.data, np.uint8)
-        self.copy = np.fromiter((int(i) in copies for i in self.ids), bool, len(self.ids))
+        known = {x[:8] for x in copies}
+        keys = (int(i).to_bytes(8, "big", signed=True) for i in self.ids)
+        self.copy = np.fromiter((key in known and (key in copies or key + md5(x, usedforsecurity=False).digest() in copies) for key, x in zip(keys, raw, strict=True)), bool, len(self.ids))
         self._runs()
 
     def _runs(self) -> None:
@@ -288,7 +293,7 @@ def _payloads(replies: pa.Table, kind: int) -> list[bytes]:
 
 def _batch(left: pa.Table, right: pa.Table) -> Batch:
     forget()
-    return Batch(left, {int.from_bytes(x, "big", signed=True) for x in _payloads(right, COPIES)})
+    return Batch(left, set(_payloads(right, COPIES)))
 
 
 def _send_anchors(left: pa.Table, right: pa.Table, buckets: int) -> pa.Table:
@@ -372,8 +377,8 @@ def _plan(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataF
     base = internal.withColumn("__batch", F.pmod(F.xxhash64("__id"), F.lit(batches)))
     prints = internal.where(F.octet_length("__text") >= WINDOW).select("__id", F.md5("__text").alias("p"))
     firsts = prints.groupBy("p").agg(F.min("__id").alias("m"), F.max("__id").alias("x")).where("m < x").select("p", "m")
-    # the payload of a copy is its id, eight bytes with the highest first
-    copies = prints.join(firsts, "p").where("__id > m").select(F.pmod(F.xxhash64("__id"), F.lit(batches)).alias("batch"), F.lit(COPIES).alias("kind"), F.unhex(F.lpad(F.hex("__id"), 16, "0")).alias("payload"))
+    # the payload of a copy is its id, eight bytes with the highest first, and its print: an id may have other texts
+    copies = prints.join(firsts, "p").where("__id > m").select(F.pmod(F.xxhash64("__id"), F.lit(batches)).alias("batch"), F.lit(COPIES).alias("kind"), F.unhex(F.concat(F.lpad(F.hex("__id"), 16, "0"), "p")).alias("payload"))
     copies = materialize(copies, "copies")
 
     def asked(fn, schema, replies):

@@ -218,6 +218,16 @@ def test_removal_of_odd_rows(spark):
     assert texts[1] == {None} and texts[2] == {""} and texts[5] == {"x" * 49} and texts[7] == {"a"} and texts[9] == {"z"} and texts[10] == {""}
 
 
+def test_removal_where_an_id_has_a_copy_and_another_text(spark):
+    """Only the copy goes whole; the other text stays, and its passages are found in later documents."""
+    rng = random.Random(4)
+    a, b, c = ("".join(rng.choice("abcdefghij klmnop") for _ in range(120)) for _ in range(3))
+    rows = [(-7, a), (1, a), (2, a), (2, b), (3, c + b), (-5, c), (-5, a)]
+    assert sorted(tuple(r) for r in suffixdedup.removal_digest(frame(spark, rows)).collect()) == brute_removal(rows)
+    cut = sorted((r["doc_id"], r["text"]) for r in suffixdedup.without_repeats(frame(spark, rows)).collect())
+    assert cut == [(-7, a), (-5, ""), (-5, c), (1, ""), (2, ""), (2, b), (3, "")]
+
+
 # --- the pipeline
 
 
