@@ -16,6 +16,7 @@ TEXT_PHRASES = [
     ("this agreement", "contract"), ("hereby agree", "contract"), ("terms and conditions", "contract"), ("invoice number", "invoice"), ("amount due", "invoice"), ("bill to", "invoice"),
     ("executive summary", "report"), ("table of contents", "report"), ("non-disclosure", "nda"), ("confidentiality agreement", "nda"), ("lease agreement", "lease"), ("rental agreement", "lease"),
 ]
+# The months by their short and full names.
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 MONTH_NAMES = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
 _MONTH = "(?:" + "|".join(MONTHS) + ")[a-z]*"

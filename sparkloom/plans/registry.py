@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import fingerprint
-from ..functions.text import contextual_snippet, distinct_trigrams, snippet, utf8, words
+from ..functions import fingerprint, meta
+from ..functions.text import WS, contextual_snippet, distinct_trigrams, snippet, utf8, words
 from ..operators import postings as post
 from ..operators.search import Engine, hamming_pairs, lsh_clusters, lsh_sets, scan_candidates, word_trigrams
 from ..sources import corpus
@@ -193,10 +193,9 @@ def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
 
-_WS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _DOCS = f"""docs AS (
   SELECT doc_id, '/corpus/' || source || '/doc_' || doc_id || '.txt' AS path, 1704067200 - doc_id % 730 * 86400 AS mtime, text,
-         trim(regexp_replace(lower(text), '{_WS}', ' ', 'g'), ' ') AS norm
+         trim(regexp_replace(lower(text), '{WS}', ' ', 'g'), ' ') AS norm
   FROM documents WHERE text IS NOT NULL)"""
 
 
@@ -210,8 +209,6 @@ post AS (SELECT t AS trigram, doc_id, count(*) AS tf, min(i) AS first, max(i) AS
 
 
 _GRAMS = f"{_DOCS}, {_grams('docs')}"
-_MONTHS = "January February March April May June July August September October November December".split()
-_MON = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*"
 _LETTERS = """letter AS (
   SELECT o_orderkey AS doc_id, '/orders/' || o_orderpriority[1] || '/letter_' || o_orderkey || '.txt' AS path, 'Letter ' || o_orderkey AS title, 1704067200 - o_orderkey % 730 * 86400 AS mtime,
     CASE o_orderkey % 3 WHEN 0 THEN 'Invoice number ' WHEN 1 THEN 'This agreement has the number ' ELSE 'Note ' END || o_orderkey || ' dated ' ||
@@ -221,23 +218,20 @@ _LETTERS = """letter AS (
 
 
 def _numbered_months(column: str) -> str:
-    for i, m in enumerate(_MONTHS, 1):
-        column = f"replace({column}, '{m}', '{i:02d}')"
-    for i, m in enumerate(_MONTHS, 1):
-        column = f"replace({column}, '{m[:3]}', '{i:02d}')"
+    for names in (meta.MONTH_NAMES, meta.MONTHS):
+        for i, m in enumerate(names, 1):
+            column = f"replace({column}, '{m}', '{i:02d}')"
     return f"replace({column}, ',', '')"
 
 
+_UNITS = " ".join(f"WHEN '{u}' THEN {n}" for u, n in (("million", "1e6"), ("m", "1e6"), ("billion", "1e9"), ("b", "1e9"), ("thousand", "1e3"), ("k", "1e3")))
 _META = f"""{_LETTERS}, meta AS (
   SELECT *, CASE WHEN contains(lower(text), 'this agreement') THEN 'contract' WHEN contains(lower(text), 'invoice number') THEN 'invoice' END AS doc_type,
-    list_distinct(list_transform(regexp_extract_all(text, '[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{{2,}}'), lambda x: lower(x))) AS emails,
-    list_distinct(regexp_extract_all(text, '[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+')) AS entities,
-    list_distinct(list_transform(list_zip(
-      regexp_extract_all(text, '(?i)\\$\\s*(\\d{{1,3}}(?:,\\d{{3}})*(?:\\.\\d{{2}})?)\\s*(million|M|billion|B|thousand|K)?', 1),
-      regexp_extract_all(text, '(?i)\\$\\s*(\\d{{1,3}}(?:,\\d{{3}})*(?:\\.\\d{{2}})?)\\s*(million|M|billion|B|thousand|K)?', 2)),
-      lambda x: replace(x[1], ',', '')::DOUBLE * CASE lower(coalesce(x[2], '')) WHEN 'million' THEN 1e6 WHEN 'm' THEN 1e6 WHEN 'billion' THEN 1e9 WHEN 'b' THEN 1e9 WHEN 'thousand' THEN 1e3 WHEN 'k' THEN 1e3 ELSE 1e0 END)) AS amounts,
-    list_distinct(list_filter(list_transform(
-      regexp_extract_all(text, '\\d{{4}}-\\d{{2}}-\\d{{2}}|\\d{{1,2}}/\\d{{1,2}}/\\d{{4}}|\\d{{1,2}}\\s+{_MON}\\s+\\d{{4}}|{_MON}\\s+\\d{{1,2}},?\\s+\\d{{4}}'),
+    list_distinct(list_transform(regexp_extract_all(text, '{meta.EMAIL}'), lambda x: lower(x))) AS emails,
+    list_distinct(regexp_extract_all(text, '{meta.ENTITY}')) AS entities,
+    list_distinct(list_transform(list_zip(regexp_extract_all(text, '{meta.AMOUNT}', 1), regexp_extract_all(text, '{meta.AMOUNT}', 2)),
+      lambda x: replace(x[1], ',', '')::DOUBLE * CASE lower(coalesce(x[2], '')) {_UNITS} ELSE 1e0 END)) AS amounts,
+    list_distinct(list_filter(list_transform(regexp_extract_all(text, '{meta.DATE}'),
       lambda x: coalesce(try_strptime(x, '%Y-%m-%d'), try_strptime(x, '%m/%d/%Y'), try_strptime({_numbered_months("x")}, '%d %m %Y'), try_strptime({_numbered_months("x")}, '%m %d %Y'))::DATE), lambda d: d IS NOT NULL)) AS dates
   FROM letter)"""
 
@@ -284,7 +278,7 @@ def _bands_sql(n: int) -> str:
 
 
 _SETS = f"sets AS (SELECT DISTINCT list(doc_id ORDER BY doc_id) AS m FROM ({_bands_sql(4)}) GROUP BY band, value HAVING count(*) > 1)"
-_LETTER_GRAMS = f"{_META}, normal AS (SELECT *, trim(regexp_replace(lower(text), '{_WS}', ' ', 'g'), ' ') AS norm FROM meta), {_grams('normal')}"
+_LETTER_GRAMS = f"{_META}, normal AS (SELECT *, trim(regexp_replace(lower(text), '{WS}', ' ', 'g'), ' ') AS norm FROM meta), {_grams('normal')}"
 _CONTRACT, _LARGE = "coalesce(doc_type = 'contract', false)", "len(list_filter(amounts, lambda a: a > 100000)) > 0"
 
 ORACLE_SQL: dict[str, str] = {
@@ -302,7 +296,7 @@ ORACLE_SQL: dict[str, str] = {
     "search_index_topk": _search_sql(SEARCH),
     "contextual_snippets": f"""WITH a AS (SELECT doc_id, text, CASE WHEN instr(lower(text), '{WORD}') > 0 THEN instr(lower(text), '{WORD}') WHEN instr(lower(text), 'ation') > 0 THEN instr(lower(text), 'ation') END AS p FROM documents WHERE text IS NOT NULL),
       b AS (SELECT *, greatest(p - 41, 0) AS s, least(p + 39, length(text)) AS e FROM a)
-      SELECT doc_id, md5(CASE WHEN p IS NULL THEN 'none' ELSE CASE WHEN s > 0 THEN '...' ELSE '' END || replace(regexp_replace(substring(text, s + 1, e - s), '^{_WS}|{_WS}$', '', 'g'), chr(10), ' ')
+      SELECT doc_id, md5(CASE WHEN p IS NULL THEN 'none' ELSE CASE WHEN s > 0 THEN '...' ELSE '' END || replace(regexp_replace(substring(text, s + 1, e - s), '^{WS}|{WS}$', '', 'g'), chr(10), ' ')
       || CASE WHEN e < length(text) THEN '...' ELSE '' END END) AS snippet_md5 FROM b""",
     "min_span_pair": f"""WITH {_GRAMS}, pos AS (SELECT doc_id, i, t FROM gram WHERE t IN ('{SPAN[0].hex().upper()}', '{SPAN[1].hex().upper()}')),
       back AS (SELECT doc_id, i, max(CASE WHEN t = '{SPAN[0].hex().upper()}' THEN i END) OVER w AS a, max(CASE WHEN t = '{SPAN[1].hex().upper()}' THEN i END) OVER w AS b FROM pos WINDOW w AS (PARTITION BY doc_id ORDER BY i))
