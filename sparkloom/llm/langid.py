@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,12 +30,16 @@ UNKNOWN = "und"
 MAX_N = 5
 #: A document's mean word score counts as so many words at most in its confidence.
 CONFIDENT_WORDS = 40
-MAX_LANGS = 500
 
 
 def words_of(text: str) -> list[str]:
-    """Maximal runs of letters of the lower-cased text."""
-    return WORD.findall(text.lower())
+    """Maximal runs of letters, characters of a Unicode category L, of the lower-cased text."""
+    found = WORD.findall(text.lower())
+    if text.isascii() or "".join(found).isalpha():
+        return found
+    # of alphanumeric characters that are no decimal digits, some are other numbers, such as circled ones
+    letters = ("".join(c if c.isalpha() else " " for c in w).split(" ") for w in found)
+    return [w for own in letters for w in own if w]
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -43,53 +47,69 @@ def grams(word: str, n: int) -> list[str]:
     return [edged[i : i + n] for i in range(len(edged) - n + 1)]
 
 
+@dataclass
+class Table:
+    """Log frequencies of keys by language, as sparse rows: what a language's score for any key is, and what is added for a key in the languages that have it.
+
+    Row i is ``langs`` and ``more`` from ``starts[i]`` to ``starts[i + 1]``; its size follows the languages that have the
+    key, however many languages there are.
+    """
+
+    keys: dict[str, int]
+    base: np.ndarray
+    starts: np.ndarray
+    langs: np.ndarray
+    more: np.ndarray
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = self.starts[i], self.starts[i + 1]
+        return self.langs[a:b], self.more[a:b]
+
+
+def log_frequencies(counts: dict[str, dict[int, float]], n_langs: int) -> Table:
+    """Add-half smoothed log frequencies."""
+    langs = np.array([lang for row in counts.values() for lang in row], np.int32)
+    values = np.array([n for row in counts.values() for n in row.values()], np.float64)
+    base = math.log(0.5) - np.log(np.bincount(langs, values, n_langs) + 0.5 * max(1, len(counts)))
+    starts = np.concatenate([[0], np.cumsum([len(row) for row in counts.values()], dtype=np.int64)]).astype(np.int64)
+    return Table({k: i for i, k in enumerate(counts)}, base, starts, langs, np.log(2 * values + 1).astype(np.float32))
+
+
 @dataclass
 class LanguageModel:
-    """langs; words and n-grams by length, each with its row of per-language log frequencies."""
+    """langs in order; the tables of the words and of the n-grams from the longest on."""
 
     langs: list[str]
-    words: dict[str, int]
-    word_scores: np.ndarray
-    gram_ids: list[dict[str, int]]
-    gram_scores: list[np.ndarray]
-
-    def score_unseen(self, word: str) -> np.ndarray:
-        """Back off through shorter n-grams; a word with none known says nothing."""
-        for n in range(MAX_N, 0, -1):
-            ids, scores = self.gram_ids[MAX_N - n], self.gram_scores[MAX_N - n]
-            known = [ids[g] for g in grams(word, n) if g in ids]
-            if known:
-                return scores[known].mean(0)
-        return np.zeros(len(self.langs), np.float32)
+    tables: list[Table]
 
+    @property
+    def words(self) -> dict[str, int]:
+        return self.tables[0].keys
 
-def log_frequencies(counts: dict[str, np.ndarray], n_langs: int) -> tuple[dict[str, int], np.ndarray]:
-    """Add-half smoothed log frequencies, each row centred so that it only ranks languages."""
-    keys = {k: i for i, k in enumerate(counts)}
-    table = np.array(list(counts.values()), np.float64).reshape(len(keys), n_langs)
-    scores = np.log(table + 0.5) - np.log(table.sum(0) + 0.5 * max(1, len(keys)))
-    return keys, (scores - scores.mean(1, keepdims=True) if n_langs else scores).astype(np.float32)
+    def unseen(self, word: str) -> tuple[int, np.ndarray, np.ndarray]:
+        """(table, languages, what is added): back off through shorter n-grams; a word with none known says nothing (table -1)."""
+        for k, n in enumerate(range(MAX_N, 0, -1), 1):
+            table = self.tables[k]
+            known = [table.row(table.keys[g]) for g in grams(word, n) if g in table.keys]
+            if known:
+                return k, np.concatenate([x for x, _ in known]), np.concatenate([x for _, x in known]) / np.float32(len(known))
+        return -1, np.empty(0, np.int32), np.empty(0, np.float32)
 
 
 def build_model(rows: list[tuple[str, str, int]], min_count: int = 2) -> LanguageModel:
     """rows: (language, word, count). Words below min_count only feed the n-grams."""
     langs = sorted({lang for lang, _, _ in rows})
     at = {lang: i for i, lang in enumerate(langs)}
-    by_word: dict[str, np.ndarray] = {}
-    by_gram: list[dict[str, np.ndarray]] = [{} for _ in range(MAX_N)]
+    by_word: dict[str, dict[int, float]] = defaultdict(lambda: defaultdict(float))
+    by_gram: list[dict[str, dict[int, float]]] = [defaultdict(lambda: defaultdict(float)) for _ in range(MAX_N)]
     for lang, word, n in sorted(rows):
-        by_word.setdefault(word, np.zeros(len(langs)))[at[lang]] += n
+        by_word[word][at[lang]] += n
         weight = 1 + math.log(n)
         for table, size in zip(by_gram, range(MAX_N, 0, -1), strict=True):
             for g in grams(word, size):
-                row = table.get(g)
-                if row is None:
-                    row = table[g] = np.zeros(len(langs))
-                row[at[lang]] += weight
-    known = {w: row for w, row in by_word.items() if row.sum() >= min_count}
-    words, word_scores = log_frequencies(known, len(langs))
-    tables = [log_frequencies(t, len(langs)) for t in by_gram]
-    return LanguageModel(langs, words, word_scores, [t[0] for t in tables], [t[1] for t in tables])
+                table[g][at[lang]] += weight
+    known = {w: row for w, row in by_word.items() if sum(row.values()) >= min_count}
+    return LanguageModel(langs, [log_frequencies(t, len(langs)) for t in (known, *by_gram)])
 
 
 def _count_words(batches):
@@ -105,59 +125,79 @@ def _count_words(batches):
 
 
 def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 1000) -> LanguageModel:
-    """Learn from rows with text and language, about ``docs_per_lang`` of each language.
+    """Learn from rows with text and language, about ``docs_per_lang`` of each language, however many there are.
 
     Rows with a null id, text or language are not learned from. Without any row
     the model knows no language and calls every document ``und``.
     """
     rows = train.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t")).where("i is not null and lang is not null and t is not null")
-    sizes = rows.groupBy("lang").count().limit(MAX_LANGS + 1).collect()
-    if len(sizes) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages to learn")
+    sizes = [(r["lang"], min(1.0, docs_per_lang / r["count"])) for r in rows.groupBy("lang").count().collect()]  # as many as there are languages
     if not sizes:
         return build_model([])
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, docs_per_lang / r["count"]))).otherwise(share)
+    shares = train.sparkSession.createDataFrame(sizes, "lang string, share double")
+    rows = rows.join(F.broadcast(shares), "lang").where(draw(F.col("i"), F.col("share"), "langid"))
     counted = (
-        rows.where(draw(F.col("i"), share, "langid")).select("lang", "t").mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+        rows.select("lang", "t").mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     )
     found = counted.toArrow()  # bounded by the sample
     return build_model(list(zip(*(found.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True)))
 
 
 class Predictor:
-    """Scores texts with a model; scores of unseen words are remembered up to ``limit``."""
+    """Scores texts with a model; what unseen words add is remembered for up to ``limit`` words and ``room`` numbers."""
+
+    def __init__(self, model: LanguageModel, limit: int = 200_000, room: int = 4_000_000):
+        self.model, words = model, model.tables[0]
+        self.bases = np.vstack([*(t.base for t in model.tables), np.zeros(len(model.langs))])
+        self.n_words, self.n_numbers = len(words.keys), len(words.langs)
+        self.starts = np.concatenate([words.starts, np.empty(limit, np.int64)])
+        self.table = np.concatenate([np.zeros(self.n_words, np.int64), np.empty(limit, np.int64)])
+        self.langs, self.more = (np.concatenate([x, np.empty(room, x.dtype)]) for x in (words.langs, words.more))
+        self.reset()
 
-    def __init__(self, model: LanguageModel, limit: int = 200_000):
-        self.model, self.limit = model, limit
-        self.base = len(model.words)
-        self.rows = dict(model.words)
-        self.scores = np.zeros((self.base + limit, len(model.langs)), np.float32)
-        self.scores[: self.base] = model.word_scores
+    def reset(self) -> None:
+        """Forget the unseen words."""
+        self.rows = dict(self.model.words)
 
     def row(self, word: str) -> int:
+        """The word's row; -1 where there's no room for it."""
         at = self.rows.get(word)
         if at is None:
             at = len(self.rows)
-            self.scores[at] = self.model.score_unseen(word)
+            if at == len(self.table):
+                return -1
+            table, langs, more = self.model.unseen(word)
+            a, b = self.starts[at], self.starts[at] + len(langs)
+            if b > len(self.langs):
+                return -1
+            self.starts[at + 1], self.table[at], self.langs[a:b], self.more[a:b] = b, table, langs, more
             self.rows[word] = at
         return at
 
+    def total(self, words: list[str], reps: np.ndarray) -> np.ndarray:
+        """The sum of the scores of words that occur so often."""
+        at = np.fromiter(map(self.row, words), np.int64, len(words))
+        good = at >= 0
+        own, n = at[good], reps[good]
+        first = self.starts[own]
+        size = self.starts[own + 1] - first
+        place = np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
+        out = np.bincount(self.table[own] % len(self.bases), n, len(self.bases)) @ self.bases
+        out += np.bincount(self.langs[place], self.more[place] * np.repeat(n, size), len(out))
+        for k in np.flatnonzero(~good).tolist():  # words beyond the room left
+            table, langs, more = self.model.unseen(words[k])
+            out += reps[k] * (np.bincount(langs, more, len(out)) + self.bases[table])
+        if len(own) < len(at):
+            self.reset()
+        return out
+
     def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, confidence); ``und`` and 0 for null, letterless texts or an empty model."""
+        """(language, confidence); ``und`` and 0 for null, letterless texts or an empty model. Ties go to the first language in order of name."""
         counts = Counter(words_of(text or ""))
         if not counts or not self.model.langs:
             return UNKNOWN, 0.0
-        total = np.zeros(len(self.model.langs))
-        words, reps = list(counts), np.fromiter(counts.values(), np.float64, len(counts))
-        for start in range(0, len(words), self.limit):
-            part = words[start : start + self.limit]
-            if len(self.rows) + len(part) > len(self.scores):
-                self.rows = dict(self.model.words)
-            row = self.row
-            at = np.fromiter((row(w) for w in part), np.int64, len(part))
-            total += reps[start : start + self.limit] @ self.scores[at]
+        reps = np.fromiter(counts.values(), np.float64, len(counts))
+        total = self.total(list(counts), reps)
         n = reps.sum()
         logit = total / n * min(n, CONFIDENT_WORDS)
         p = np.exp(logit - logit.max())

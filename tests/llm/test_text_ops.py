@@ -1,7 +1,10 @@
 """Licences, language, BPE, quality, token files, packing."""
 
+import math
 import random
+import re
 import zlib
+from collections import Counter, defaultdict
 from hashlib import sha256
 
 import duckdb
@@ -59,6 +62,9 @@ def test_licenses_within_longer_documents():
         words = text.split()
         wrapped = "\n".join(" ".join(words[i : i + 12]) + "\n" * (i % 5 == 0) for i in range(0, len(words), 12))
         assert set(t.scan(f"{prose[0]}\n{wrapped}\n{prose[1]}")) == {name}
+        assert set(t.scan(f"{prose[0]}\n{wrapped}\n{prose[1]}".replace("\n", "\r\n"))) == {name}
+    for text in (mit, mit.replace("\n", "\r\n"), f"Title\r\n\r\n{mit}".replace("\n", "\r\n")):
+        assert t.scan(text)["MIT"][1] > 0.95
 
 
 def test_license_pruning_loses_nothing():
@@ -109,6 +115,64 @@ def test_language_backs_off():
     assert predict("qqq")[1] == pytest.approx(0.5)
 
 
+def test_letters_are_of_category_l():
+    model = langid.build_model([("xx", "abc", 5), ("yy", "zoz", 5)])
+    for text in ("①② ½", "²", "Ⅷ", "٣ 5", "_", "〇"):
+        assert langid.Predictor(model).predict(text) == ("und", 0.0), text
+    assert langid.words_of("a①b Ⅷc ªx ﬁ 日本") == ["a", "b", "c", "ªx", "ﬁ", "日本"]
+
+
+def test_many_languages(spark):
+    words = {f"l{i:03d}": [f"{chr(97 + i % 26)}{chr(97 + i // 26)}{x}" for x in ("ka", "lo", "mi")] for i in range(600)}
+    docs = spark.createDataFrame([(k, " ".join(own * 3), lang) for k, (lang, own) in enumerate(words.items())], "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, langid.fit(docs)).collect()}
+    assert [found[k] for k in range(600)] == list(words)
+
+
+def test_language_query_equals_brute_force(spark):
+    """Dense tables of add-half log frequencies, counted from all documents of the training split."""
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    cut = lambda t: re.findall(r"(?:(?![\d_])\w)+", (t or "").lower())
+    train = [(cut(t), lang) for i, t, lang in docs if lang and t and zlib.crc32(str(i).encode()) % 5]
+    langs = sorted({lang for _, lang in train})
+    count = {lang: Counter(w for own, x in train if x == lang for w in own) for lang in langs}
+    vocabulary = {w for c in count.values() for w in c if sum(d[w] for d in count.values()) >= 2}
+
+    def grams(w, n):
+        w = f"\x02{w}\x03" if n > 1 else w
+        return [w[i : i + n] for i in range(len(w) - n + 1)]
+
+    tables = {0: {lang: {w: n for w, n in c.items() if w in vocabulary} for lang, c in count.items()}}
+    for n in range(1, 6):
+        tables[n] = {lang: defaultdict(float) for lang in langs}
+        for lang, c in count.items():
+            for w, k in c.items():
+                for g in grams(w, n):
+                    tables[n][lang][g] += 1 + math.log(k)
+    keys = {n: set().union(*t.values()) for n, t in tables.items()}
+    size = {n: {lang: sum(t[lang].values()) + len(keys[n]) / 2 for lang in langs} for n, t in tables.items()}
+    score = lambda n, key: np.array([math.log(tables[n][lang].get(key, 0) + 0.5) - math.log(size[n][lang]) for lang in langs])
+
+    def predict(text):
+        own, total = cut(text), np.zeros(len(langs))
+        for w in own:
+            if w in keys[0]:
+                total += score(0, w)
+                continue
+            for n in range(5, 0, -1):
+                if known := [g for g in grams(w, n) if g in keys[n]]:
+                    total += np.mean([score(n, g) for g in known], 0)
+                    break
+        if not own:
+            return "und", 0.0
+        p = np.exp((total - total.max()) / len(own) * min(len(own), 40))
+        return langs[int(p.argmax())], p.max() / p.sum()
+
+    wanted = {i: predict(t) for i, t, _ in docs}
+    for r in langid.op2_language_id(spark, SF).collect():
+        assert r["lang_pred"] == wanted[r["doc_id"]][0] and r["score"] == pytest.approx(wanted[r["doc_id"]][1], abs=1e-4)
+
+
 def test_language_of_odd_rows(odd, none):
     empty = langid.fit(none)
     assert {r["lang_pred"] for r in langid.identify(odd, empty).collect()} == {"und"}
