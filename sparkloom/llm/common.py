@@ -12,10 +12,15 @@ Conventions of every operator here
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,14 +91,37 @@ def held(key, make):
     Processes outlast tasks and stages, so only one model stays in memory at a time.
     """
     if key not in _held:
-        _held.clear()
+        forget()
         _held[key] = make()
     return _held[key]
 
 
 def forget() -> None:
-    """Drop what this worker process holds, before work that needs no model."""
+    """Drop what this worker process holds, before work that needs no model, and give free memory back to the system."""
     _held.clear()
+    trim()
+
+
+def trim() -> None:
+    """Give memory that is free but still this process's back to the system.
+
+    Workers outlast stages; what a stage has freed would else stay with them beside what the next one needs.
+    """
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library: nothing to do
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def slices(batch: pa.RecordBatch, column: int, size: int = 2 << 20):
+    """The batch in parts of about ``size`` bytes of a text column, at least a row each, so that a part's Python objects stay few."""
+    if batch.num_rows == 0:
+        yield batch
+        return
+    lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(lengths, dtype=np.int64) // size
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield batch.slice(a, b - a)
 
 
 class Memo(dict):

@@ -1,27 +1,30 @@
 """Near-duplicate documents by an inverted join over MinHash coordinates.
 
 1. A document's set is its distinct word shingles, hashed to 64 bits. Documents with
-   equal sets are one node from here on, named by their smallest id.
+   equal sets are one node from here on.
 2. A node has ``COORDINATES`` MinHash values and is posted under each coordinate-value pair.
    Two nodes of similarity s collide in a binomial number of coordinates with mean
    COORDINATES * s; pairs with at least ``MATCHES`` collisions are candidates. At s = 0.75 the mean
-   is 36 of 48, and fewer than 21 happen about twice in a million pairs.
+   is 36 of 48, and fewer than 17 happen for 1.5 in 10^9 pairs.
 3. Counting with prefix and skip: postings that hold one node can't collide and go
    first. A node with m postings left joins only under its m - MATCHES + 1 rarest ones: any pair with enough
    collisions meets there, in the order by (length, key) that all nodes share. The longest
    lists, such as those of a passage in a third of all documents, are skipped; their
-   collisions only count for pairs that meet elsewhere.
-4. Candidates must also agree in ``SKETCH_MATCHES`` of ``SKETCH`` further coordinates, of which a node
-   keeps a byte each (at 0.75, fewer agree about once in a million pairs), and are then confirmed on
-   the full sets.
+   collisions only count for pairs that meet elsewhere. Within a block of a list the same is done again: a node's
+   shortest lists there are merged and counted, the longest are only looked up for the pairs found.
+4. Candidates must also agree in ``SKETCH_MATCHES`` of ``SKETCH`` coordinates (the first ones among them), of which a node
+   keeps a byte each (at 0.75, fewer agree for 6 in 10^10 pairs), and are then confirmed on the full sets.
 5. Groups of thousands of copies must not give all their pairs. So first every node is
    compared with one pivot of a list; what that joins into one component needs no more
    pairs. When that has done what it can, the nodes of different components that meet in a list
    are compared there, in blocks, and only pairs that pass 2 and 4 come out, each from
-   the rarest list that they share. So no link that matters for the components is lost.
+   the rarest list that they share. So no link that matters for the components is lost. A list too long for that is
+   first split by the next list that a pair has in common.
 
-No list, group or partner count is capped. Tables between steps are written to
-the shared folder; components are found by star contractions on DataFrames.
+Sets travel by the node to the blocks in which they are compared, never with a pair. No list, group or partner
+count is capped. Tables between steps are written to the shared folder; components are found by star
+contractions on DataFrames. Nodes have numbers of their own; links and components are of document ids, where an
+id with several texts is linked with the smallest id of each of them.
 """
 
 from __future__ import annotations
@@ -32,23 +35,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, documents, forget, materialize
+from .common import Memo, documents, forget, materialize, slices
 
 COORDINATES = 48
-MATCHES = 21
+MATCHES = 17
 SHINGLE = 5
 SKETCH = 256
-SKETCH_MATCHES = 159
+SKETCH_MATCHES = 148
 #: Pivot rounds end when a round leaves more than this share of the pairs it found.
 ROUND_LEAVES = 0.7
 MAX_ROUNDS = 6
-#: Rows of a list that one task compares with as many others.
+#: Rows of a list that one task compares with as many others, and shingles in the sets of a block, about.
 BLOCK = 512
+BLOCK_SHINGLES = 1 << 20
+#: Lists of more nodes are split by the next list in common.
+SPLIT = 1 << 14
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _rng = np.random.default_rng(20240501)
-_FACTORS = _rng.integers(1, 1 << 63, COORDINATES + SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
-_TAGS = _rng.integers(1, 1 << 63, COORDINATES + SKETCH, np.uint64)
+_FACTORS = _rng.integers(1, 1 << 63, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
+_TAGS = _rng.integers(1, 1 << 63, SKETCH, np.uint64)
 _WORDS = _rng.integers(1, 1 << 63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
 _CHUNK = 256
 
@@ -77,13 +83,13 @@ def shingles(text: str | None, memo: Memo) -> np.ndarray:
 
 
 def signature(found: np.ndarray) -> tuple[bytes, bytes]:
-    """A 64-bit coordinate-value key a coordinate, and a byte each of the sketch's coordinates."""
+    """A 64-bit coordinate-value key for each of the first coordinates, and a byte for each of all."""
     least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
     for start in range(0, len(found), _CHUNK):
         part = found[start : start + _CHUNK]
         np.minimum(least, (part[None, :] * _FACTORS[:, None]).min(1), out=least)
     keys = mix(least + _TAGS)
-    return keys[:COORDINATES].tobytes(), keys[COORDINATES:].astype(np.uint8).tobytes()
+    return keys[:COORDINATES].tobytes(), keys.astype(np.uint8).tobytes()
 
 
 def _word_memo() -> Memo:
@@ -94,15 +100,16 @@ def _sign(batches):
     forget()
     memo = _word_memo()
     for batch in batches:
-        n, prints, keys, sketches = [], [], [], []
-        for text in batch.column(1).to_pylist():
-            found = shingles(text, memo)
-            own = signature(found) if len(found) else (b"", b"")
-            n.append(len(found))
-            prints.append(xxhash.xxh3_128_digest(found.tobytes()))
-            keys.append(own[0])
-            sketches.append(own[1])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (prints, keys, sketches))], ["doc_id", "n_shingles", "print", "keys", "sketch"])
+        for part in slices(batch, 1):
+            n, prints, keys, sketches = [], [], [], []
+            for text in part.column(1).to_pylist():
+                found = shingles(text, memo)
+                own = signature(found) if len(found) else (b"", b"")
+                n.append(len(found))
+                prints.append(xxhash.xxh3_128_digest(found.tobytes()))
+                keys.append(own[0])
+                sketches.append(own[1])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (prints, keys, sketches))], ["doc_id", "n_shingles", "print", "keys", "sketch"])
 
 
 def _post(batches):
@@ -113,9 +120,18 @@ def _post(batches):
 
 
 def _sets(batches):
+    """The sets of the rows whose print is the one wanted, from (text, print, node, id); a node once a batch."""
     memo = _word_memo()
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, memo).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["node", "set"])
+        for part in slices(batch, 0):
+            known, out = set(), []
+            for text, wanted, node, own in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+                if node not in known:
+                    found = shingles(text, memo).tobytes()
+                    if xxhash.xxh3_128_digest(found) == wanted:  # an id may have other texts
+                        known.add(node)
+                        out.append((node, own, found))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["node", "id", "set"])
 
 
 def _members(batches):
@@ -126,8 +142,9 @@ def _members(batches):
             own, place = np.frombuffer(own, np.int64), {k: i for i, k in enumerate(lists)}
             ranks.append(np.array([place.get(k, 255) for k in own.tolist()], np.uint8).tobytes())
             keys.append(own.astype(np.uint32).tobytes())
-        rest = [batch.column(c) for c in ("node", "size", "sketch")]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(keys, pa.binary()), pa.array(ranks, pa.binary())], ["node", "size", "sketch", "keys", "ranks"])
+        names = ["node", "id", "print", "lists", "size", "sketch"]
+        rest = [batch.column(c) for c in names]
+        yield pa.RecordBatch.from_arrays([*rest, pa.array(keys, pa.binary()), pa.array(ranks, pa.binary())], [*names, "keys", "ranks"])
 
 
 def _rows(column, kind, width: int) -> np.ndarray:
@@ -135,47 +152,97 @@ def _rows(column, kind, width: int) -> np.ndarray:
 
 
 def _agree(batches):
-    """Pairs whose sketches agree enough."""
+    """Pairs with enough collisions whose sketches agree enough. Both are counted from a byte a coordinate, which can only add candidates."""
     for batch in batches:
         if batch.num_rows:
-            a, b = (_rows(batch.column(c), np.uint8, SKETCH) for c in ("sketch_a", "sketch_b"))
-            yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(1) >= SKETCH_MATCHES))
+            same = _rows(batch.column("sketch_a"), np.uint8, SKETCH) == _rows(batch.column("sketch_b"), np.uint8, SKETCH)
+            good = (same[:, :COORDINATES].sum(1) >= MATCHES) & (same.sum(1) >= SKETCH_MATCHES)
+            yield batch.select(["a", "b", "size"]).filter(pa.array(good))
+
+
+def collisions(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of rows of keys that collide in ``MATCHES`` columns or more, by merging lists.
+
+    A column's equal keys in ``second`` are a list. Of a row's lists, all but the MATCHES - 1 longest are merged: a
+    pair with enough collisions is in one of them. The longest are skipped; they are looked up for pairs that have been found.
+    """
+    n, m = first.shape[0], second.shape[0]
+    order = np.argsort(second, axis=0, kind="stable")
+    start, end = np.empty(first.shape, np.int64), np.empty(first.shape, np.int64)
+    for c in range(COORDINATES):
+        own = second[order[:, c], c]
+        start[:, c], end[:, c] = np.searchsorted(own, first[:, c], "left"), np.searchsorted(own, first[:, c], "right")
+    by_length = np.argsort(end - start, axis=1, kind="stable")
+    out_i, out_j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    step = max(1, (1 << 20) // max(1, m * (COORDINATES - MATCHES + 1)))
+    for a in range(0, n, step):
+        rows = np.arange(a, min(n, a + step))[:, None]
+        merged, skipped = by_length[rows[:, 0], : COORDINATES - MATCHES + 1], by_length[rows[:, 0], COORDINATES - MATCHES + 1 :]
+        size = (end[rows, merged] - start[rows, merged]).ravel()
+        if not size.any():
+            continue
+        place = np.arange(size.sum()) + np.repeat(start[rows, merged].ravel() - (np.cumsum(size) - size), size)
+        column = np.repeat(merged.ravel(), size)
+        owner = np.repeat(np.repeat(rows[:, 0] - a, merged.shape[1]), size)
+        counts = np.bincount(owner * m + order[place, column], minlength=len(rows) * m)
+        found = np.flatnonzero(counts)
+        i, j = found // m, found % m
+        total = counts[found] + (first[(i + a)[:, None], skipped[i]] == second[j[:, None], skipped[i]]).sum(1)
+        good = total >= MATCHES
+        out_i.append(i[good] + a)
+        out_j.append(j[good])
+    return np.concatenate(out_i), np.concatenate(out_j)
 
 
 def _meet(table: pa.Table) -> pa.Table:
     """Pairs of a block of a list with another block of it that are candidates and meet in this list first: one row, if any."""
     node, root, size, block = (np.asarray(table.column(c)) for c in ("node", "root", "size", "block"))
-    keys, ranks, sketch = _rows(table.column("keys"), np.uint32, COORDINATES), _rows(table.column("ranks"), np.uint8, COORDINATES), _rows(table.column("sketch"), np.uint8, SKETCH)
-    here = int((keys[0] == np.uint32(table.column("key")[0].as_py() & 0xFFFFFFFF)).argmax())
     lo, hi = (table.column(c)[0].as_py() for c in ("lo", "hi"))
     first, second = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-    out = [np.empty((0, 2), np.int64)]
-    step = max(1, (1 << 17) // max(1, len(second)))
-    for start in range(0, len(first), step):
-        i, j = (x.ravel() for x in np.meshgrid(first[start : start + step], second, indexing="ij"))
+    pairs = np.empty((0, 2), np.int64)
+    if len(first) and len(second) and (root[first].min() != root[second].max() or root[first].max() != root[second].min()):
+        keys, ranks, sketch = _rows(table.column("keys"), np.uint32, COORDINATES), _rows(table.column("ranks"), np.uint8, COORDINATES), _rows(table.column("sketch"), np.uint8, SKETCH)
+        here = [int((keys == np.uint32(table.column(c)[0].as_py() & 0xFFFFFFFF)).all(0).argmax()) for c in ("key", "next")]
+        i, j = collisions(keys[first], keys[second])
+        i, j = first[i], second[j]
         use = root[i] != root[j]
         use &= (4 * size[i] >= 3 * size[j]) & (4 * size[j] >= 3 * size[i])
         if lo == hi:
             use &= node[i] < node[j]
         i, j = i[use], j[use]
-        use = (sketch[i] == sketch[j]).sum(1) >= SKETCH_MATCHES
-        i, j = i[use], j[use]
-        same = keys[i] == keys[j]
-        use = (same.sum(1) >= MATCHES) & (np.where(same, ranks[i], 255).argmin(1) == here)
-        out.append(np.stack([node[i[use]], node[j[use]]], 1))
-    pairs = np.concatenate(out)
+        kept = [np.empty(0, bool)]
+        for a in range(0, len(i), 1 << 14):
+            x, y = i[a : a + (1 << 14)], j[a : a + (1 << 14)]
+            rank = np.sort(np.where(keys[x] == keys[y], ranks[x], 255), 1)
+            good = rank[:, 0] == ranks[x, here[0]]
+            if here[1] != here[0]:
+                good &= rank[:, 1] == ranks[x, here[1]]
+            kept.append(good & ((sketch[x] == sketch[y]).sum(1) >= SKETCH_MATCHES))
+        good = np.concatenate(kept)
+        pairs = np.stack([node[i[good]], node[j[good]]], 1)
     some = [0] * (len(pairs) > 0)
-    own = {c: table.column(c).take(pa.array(some, pa.int64())) for c in ("key", "lo", "hi")}
+    own = {c: table.column(c).take(pa.array(some, pa.int64())) for c in ("key", "next", "lo", "hi")}
     return pa.table(own | {"nodes": pa.array([np.unique(pairs)] * len(some), pa.list_(pa.int64())), "pairs": pa.array([pairs.tobytes()] * len(some), pa.binary())})
 
 
-def _verify(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Of a block's candidate pairs (left), those that are links by the sets of its nodes (right)."""
-    sets = {node: np.frombuffer(x, np.uint64) for node, x in zip(right.column("node").to_pylist(), right.column("set").to_pylist(), strict=True)}
-    out = [(a, b) for row in left.column("pairs").to_pylist() for a, b in np.frombuffer(row, np.int64).reshape(-1, 2).tolist() if a in sets and b in sets and similar(sets[a], sets[b])]
+def _links(out: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array([min(x) for x in out], pa.int64()), "b": pa.array([max(x) for x in out], pa.int64())})
 
 
+def _verify(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Of a block's candidate pairs (left), those that are links by the sets of its nodes (right), as ids."""
+    sets = {node: (own, np.frombuffer(x, np.uint64)) for node, own, x in zip(*(right.column(c).to_pylist() for c in ("node", "id", "set")), strict=True)}
+    return _links([(sets[a][0], sets[b][0]) for row in left.column("pairs").to_pylist() for a, b in np.frombuffer(row, np.int64).reshape(-1, 2).tolist() if similar(sets[a][1], sets[b][1])])
+
+
+def _verify_pivot(table: pa.Table) -> pa.Table:
+    """Of the nodes of a block of a pivot's candidates, those that are linked with it, as ids."""
+    nodes, ids = (table.column(c).to_pylist() for c in ("node", "id"))
+    sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+    pivot = nodes.index(table.column("pivot")[0].as_py())
+    return _links([(own, ids[pivot]) for k, (own, x) in enumerate(zip(ids, sets, strict=True)) if k != pivot and similar(x, sets[pivot])])
+
+
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
     """Whether two sets, as sorted arrays, have a similarity of 0.75 or more."""
     if 4 * min(len(x), len(y)) < 3 * max(len(x), len(y)):
@@ -184,12 +251,6 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return bool(100 * both >= 75 * (len(x) + len(y) - both))
 
 
-def _similar(batches):
-    for batch in batches:
-        keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)]
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for nodes of edges (a, b) that aren't the smallest of their component.
 
@@ -213,14 +274,8 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _join_sides(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
-    for side in "ab":
-        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col(column).alias(f"{column}_{side}")), side)
-    return pairs
-
-
 def _of_roots(links: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Links (a, b) of nodes as links of their roots."""
+    """Links (a, b) of ids as links of their roots."""
     if roots is not None:
         for side in "ab":
             links = links.join(roots.select(F.col("node").alias(side), F.col("root").alias("r")), side, "left").withColumn(side, F.coalesce("r", side)).drop("r")
@@ -236,14 +291,29 @@ def _moved(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     return materialize(roots.join(again, "root", "left").select("node", F.coalesce("r", "root").alias("root")).union(moved), "roots")
 
 
-def link_components(postings: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, root) of all nodes in a component of several, but for the roots."""
-    roots, before = None, None
+def _pivot_links(pairs: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) of ids of those pairs (a node, its pivot b) that are similar."""
+    for side in "ab":
+        pairs = pairs.join(members.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}"), *([F.col("size")] if side == "a" else [])), side)
+    found = materialize(pairs.mapInArrow(_agree, "a long, b long, size long"), "candidates")
+    # a pivot may have candidates without number: they are dealt to blocks, each of which gets the pivot's set once
+    blocks = found.groupBy("b").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
+    dealt = found.join(blocks, "b").select(F.col("b").alias("pivot"), F.pmod(F.xxhash64("a"), F.col("blocks")).alias("block"), "a")
+    needed = dealt.select("pivot", "block", F.col("a").alias("node")).union(dealt.select("pivot", "block", F.col("pivot").alias("node")).distinct())
+    return needed.join(sets, "node").groupBy("pivot", "block").applyInArrow(_verify_pivot, "a long, b long")
+
+
+def link_components(postings: DataFrame, members: DataFrame, sets: DataFrame, roots: DataFrame | None = None) -> DataFrame | None:
+    """(node, root) of all ids in a component of several, but for the roots; from what ``roots`` has joined on.
+
+    postings: (node, id, key); members: (node, size, sketch, keys, ranks); sets: (node, id, set).
+    """
+    before = None
     for turn in range(MAX_ROUNDS + 1):
         if roots is None:
-            labelled = postings.withColumn("root", F.col("node"))
+            labelled = postings.withColumn("root", F.col("id"))
         else:
-            labelled = materialize(postings.join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root")), "labelled")
+            labelled = materialize(postings.join(roots.withColumnRenamed("node", "id"), "id", "left").select("node", "id", "key", F.coalesce("root", "id").alias("root")), "labelled")
         by_root = labelled.groupBy("key", "root").agg(F.count("*").alias("n"))
         open_lists = by_root.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).where("n * n > same").select("key", "n", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs"))
         if turn:
@@ -253,47 +323,81 @@ def link_components(postings: DataFrame, members: DataFrame, sets: DataFrame) ->
             if turn == MAX_ROUNDS or before is not None and left > ROUND_LEAVES * before:
                 break
             before = left
-        order = F.xxhash64("node", "key", F.lit(turn)) if turn else F.col("node")
+        order = F.xxhash64("node", "key", F.lit(turn)) if turn else F.col("id")
         pivots = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(order.alias("o"), F.col("node").alias("p"), F.col("root").alias("q"))).alias("s")).select("key", "n", "s.p", "s.q")
         rank = F.xxhash64("key", F.lit(turn)) if turn else F.col("n")  # one list a node: the longest first, then any
         chosen = labelled.join(pivots, "key").where("root != q").groupBy("node").agg(F.max(F.struct(rank.alias("o"), F.col("p"))).alias("s"))
-        pairs = chosen.select(F.least("node", "s.p").alias("a"), F.greatest("node", "s.p").alias("b")).distinct()
-        candidates = materialize(_join_sides(pairs, members, "sketch").mapInArrow(_agree, "a long, b long"), "candidates")
-        roots = _moved(roots, _of_roots(_join_sides(candidates, sets, "set").mapInArrow(_similar, "a long, b long"), roots))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-    own = labelled.join(open_lists.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
-    dealt = own.join(members, "node").withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "root", "size", "keys", "ranks", "sketch")
-    found = materialize(dealt.groupBy("key", "lo", "hi").applyInArrow(_meet, "key long, lo long, hi long, nodes array<long>, pairs binary"), "candidates")
+        pairs = chosen.select(F.col("node").alias("a"), F.col("s.p").alias("b"))
+        roots = _moved(roots, _of_roots(_pivot_links(pairs, members, sets), roots))
+    found = _candidates_of_blocks(labelled, open_lists, members)
     # a node's set goes once to a block, not once to a pair
-    needed = found.select(F.col("key").alias("k"), F.col("lo").alias("l"), F.col("hi").alias("h"), F.explode("nodes").alias("node")).join(sets, "node")
-    links = found.groupBy("key", "lo", "hi").cogroup(needed.groupBy("k", "l", "h")).applyInArrow(_verify, "a long, b long")
+    block = ["key", "next", "lo", "hi"]
+    needed = found.select(*[F.col(c).alias(f"_{c}") for c in block], F.explode("nodes").alias("node")).join(sets, "node")
+    links = found.groupBy(*block).cogroup(needed.groupBy(*[f"_{c}" for c in block])).applyInArrow(_verify, "a long, b long")
     return _moved(roots, _of_roots(links, roots))
 
 
+def _candidates_of_blocks(labelled: DataFrame, open_lists: DataFrame, members: DataFrame) -> DataFrame:
+    """(key, next, lo, hi, nodes, pairs): candidate pairs of different components, by the blocks of the list in which they meet first.
+
+    Lists of more than ``SPLIT`` nodes are split by ``next``, the list in which a pair meets second; of others it is the list itself.
+    """
+    own = labelled.join(open_lists.select("key", "n"), "key").select("key", "n", "node", "root")
+    few = own.where(f"n <= {SPLIT}").select("key", F.col("key").alias("next"), "node", "root")
+    at = F.array_position("lists", F.col("key")).cast("int")
+    after = F.slice("lists", at + 1, F.size("lists") - MATCHES + 2 - at)
+    many = own.where(f"n > {SPLIT}").join(members.select("node", "lists"), "node").select("key", F.explode(after).alias("next"), "node", "root")
+    posted = few.union(many)
+    size = posted.join(members.select("node", "size"), "node").groupBy("key", "next")
+    blocks = size.agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("long").alias("blocks")).where("n > 1")
+    dealt = posted.join(blocks, ["key", "next"]).withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks"))).join(members, "node")
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    dealt = dealt.select("key", "next", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "root", "size", "keys", "ranks", "sketch")
+    return materialize(dealt.groupBy("key", "next", "lo", "hi").applyInArrow(_meet, "key long, next long, lo long, hi long, nodes array<long>, pairs binary"), "candidates")
+
+
+def _sets_of(rows: DataFrame, members: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """(node, id, set) of the members, from a text that has the node's print."""
+    wanted = members.select("print", "node", "id")
+    sets = materialize(rows.join(wanted, rows["doc_id"] == wanted["id"]).select("text", "print", "node", "id").mapInArrow(_sets, "node long, id long, set binary"), "sets")
+    if repeated is None:
+        return sets
+    ids = repeated.select(F.col("doc_id").alias("id"))
+    again = sets.join(ids, "id", "left_semi").groupBy("node", "id").agg(F.first("set").alias("set"))
+    return materialize(sets.join(ids, "id", "left_anti").select("node", "id", "set").union(again), "sets")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row with a non-null id.
 
     ``component_id`` is the smallest id reachable over links of similarity 0.75 or
     more; texts without words link with nothing. Rows that repeat an id are one
-    node for the links of each of their texts.
+    document for the links of all their texts, and get one component.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     signed = materialize(rows.mapInArrow(_sign, "doc_id long, n_shingles long, print binary, keys binary, sketch binary"), "signed")
-    nodes = materialize(signed.where("n_shingles > 0").groupBy("print", "n_shingles", "keys", "sketch").agg(F.min("doc_id").alias("node")).withColumnRenamed("n_shingles", "size"), "nodes")
+    full = signed.where("n_shingles > 0")
+    nodes = full.groupBy("print", "n_shingles", "keys", "sketch").agg(F.min("doc_id").alias("id")).withColumnRenamed("n_shingles", "size")
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     posted = nodes.select("node", "keys").mapInArrow(_post, "node long, key long")
     lengths = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     own = posted.join(lengths, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("lists"))  # COORDINATES at most
-    enough = materialize(own.where(F.size("lists") >= MATCHES).select("node", F.col("lists.key").alias("lists")), "lists")
-    postings = materialize(enough.select("node", F.explode(F.expr(f"slice(lists, 1, size(lists) - {MATCHES} + 1)")).alias("key")), "postings")
-    members = materialize(enough.join(nodes.select("node", "size", "keys", "sketch"), "node").mapInArrow(_members, "node long, size long, sketch binary, keys binary, ranks binary"), "members")
-    wanted = enough.select(F.col("node").alias("doc_id"))
-    sets = materialize(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "node long, set binary"), "sets")
-    roots = link_components(postings, members, sets)
-    named = nodes.join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("root"))
-    out = signed.select("doc_id", "n_shingles", "print").join(named, "print", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
-    return out.select("*", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    enough = own.where(F.size("lists") >= MATCHES).select("node", F.col("lists.key").alias("lists"))
+    schema = "node long, id long, print binary, lists array<long>, size long, sketch binary, keys binary, ranks binary"
+    members = materialize(enough.join(nodes, "node").mapInArrow(_members, schema), "members")
+    postings = members.select("node", "id", F.explode(F.expr(f"slice(lists, 1, size(lists) - {MATCHES} + 1)")).alias("key"))
+    # ids of several rows: linked with the smallest id of each of their texts
+    repeated, roots = materialize(signed.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated"), None
+    if repeated.isEmpty():
+        repeated = None
+    else:
+        roots = _moved(None, full.select("doc_id", "print").join(repeated, "doc_id").join(nodes.select("print", "id"), "print").select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
+    roots = link_components(postings, members, _sets_of(rows, members, repeated), roots)
+    named = nodes.select("print", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("print", F.coalesce("root", "id").alias("component_id"))
+    linked = full.join(named, "print").select("doc_id", "n_shingles", "component_id")
+    empty = signed.where("n_shingles = 0").select("doc_id", "n_shingles")
+    empty = empty.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    return linked.union(empty).select("*", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

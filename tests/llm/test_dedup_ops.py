@@ -73,13 +73,34 @@ def near_rows(seed):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("seed, block", [(1, 512), (2, 16)])
-def test_near_duplicates(spark, seed, block, monkeypatch):
+@pytest.mark.parametrize("seed, block, split, rounds", [(1, 512, 1 << 14, 6), (2, 16, 1 << 14, 1), (3, 16, 10, 0)])
+def test_near_duplicates(spark, seed, block, split, rounds, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "SPLIT", split)
+    monkeypatch.setattr(neardup, "MAX_ROUNDS", rounds)
     rows = near_rows(seed)
     assert sorted(tuple(r) for r in neardup.near_duplicates(frame(spark, rows)).collect()) == brute_components(rows)
 
 
+@pytest.mark.parametrize("seed, rounds", [(1, 6), (2, 1), (4, 0)])
+def test_near_duplicates_where_ids_repeat_with_several_texts(spark, seed, rounds, monkeypatch):
+    """An id's texts are one document: it joins what each of them is linked with, also an empty one."""
+    monkeypatch.setattr(neardup, "MAX_ROUNDS", rounds)
+    rows = [(i // 3, t) for i, t in near_rows(seed)] + [(0, ""), (7, None), (500, ""), (500, "one two three")]
+    assert sorted(tuple(r) for r in neardup.near_duplicates(frame(spark, rows)).collect()) == brute_components(rows)
+
+
+def test_collisions_equal_brute_force():
+    rng = np.random.default_rng(4)
+    for n, m, values in ((40, 50, 3), (1, 9, 2), (30, 30, 40)):
+        a, b = (rng.integers(0, values, (k, neardup.COORDINATES)).astype(np.uint32) for k in (n, m))
+        a[:, :8] = b[:, :8] = 5  # lists that all are in
+        b[: min(n, m)][::2, 8:30] = a[: min(n, m)][::2, 8:30]
+        found = neardup.collisions(a, b)
+        same = (a[:, None] == b[None]).sum(2)
+        assert set(zip(*(x.tolist() for x in found), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(same >= neardup.MATCHES)), strict=True))
+
+
 def test_near_duplicates_of_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     rows = [(5, None), (6, ""), (7, " \t\n"), (8, "one two"), (9, "ONE\ttwo"), (10, "one two three"), (11, long), (12, long + " x"), (13, long), (13, long), (13, "other text of six whole words"), (3, "É é a b c d"), (4, "é é a b c d")]
