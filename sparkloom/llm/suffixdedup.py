@@ -1,4 +1,4 @@
-"""Repeated passages by a logarithmic family of sparse suffix arrays.
+"""Repeated passages by a logarithmic family of suffix arrays.
 
 Every byte covered by a ``WINDOW``-byte string that also starts in a document with a
 smaller id is removed. Matches never cross documents; all strings are judged on the input.
@@ -9,9 +9,10 @@ smaller id is removed. Matches never cross documents; all strings are judged on
 * Deal 1. Batches of documents send their anchor hashes, without repeats, to hash buckets, which
   answer with those that several documents have. All other windows are unique and done.
 * Deal 2. The batches send the items of shared anchors, without repeats, to the buckets. A bucket
-  takes its items by ascending document in batches: each gets a suffix array of its windows, is
-  merge-scanned against the arrays of earlier batches, and becomes a level; levels of
-  like size are merged, so few are left. The answer to a batch has, for each of its items, the first document that has
+  joins its items by ascending document to one text and takes that in batches: each gets a suffix array, its
+  positions in the order of what they start with, built by doubling the compared length. The array is
+  merge-scanned against those of earlier batches, the levels, for matches of a window's length and becomes a level;
+  levels of like size are merged in one linear pass, so few are left. A level holds positions, never strings. The answer to a batch has, for each of its items, the first document that has
   it and which of its windows are in documents before that.
 * The batches remove what is covered.
 
@@ -25,6 +26,7 @@ batch; the three passes over them share that exchange.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from hashlib import md5, sha256
 
 import numpy as np
@@ -46,7 +48,9 @@ DENSITY = 2 / (SPAN + 1)
 #: An anchor of more documents than this (counted up to 255 a batch) is dealt window by window.
 HOT_DOCUMENTS = 20_000
 #: Windows of one suffix array before merging.
-BATCH_WINDOWS = 1 << 18
+BATCH_WINDOWS = 1 << 16
+#: Positions of each of two arrays that are merged at a time.
+MERGE = 1 << 15
 _BLOCK = 1 << 19
 _B = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _POS = np.uint64((1 << 28) - 1)
@@ -196,57 +200,121 @@ def shared_anchors(table: pa.Table):
             yield batch, own.tobytes() + hot[np.searchsorted(shared, own)].tobytes()
 
 
+def windows_at(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The windows that start at these positions, as strings."""
+    return np.lib.stride_tricks.sliding_window_view(text, WINDOW)[at].view(f"S{WINDOW}").ravel()
+
+
+def suffix_array(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The positions ``at`` ordered by the window that starts there (ties: as given), and for each whether its window is a new one.
+
+    Ranks of all positions by 8, 16, 32 and then 50 bytes, each from two ranks of the length before.
+    """
+
+    def dense(key: np.ndarray) -> np.ndarray:
+        order = np.argsort(key, kind="stable")
+        new = np.empty(len(key), bool)
+        new[:1], new[1:] = False, key[order][1:] != key[order][:-1]
+        out = np.empty(len(key), np.int64)
+        out[order] = np.cumsum(new)
+        return out
+
+    padded = np.concatenate([text, np.zeros(WINDOW, np.uint8)]).astype(np.uint64)
+    key = np.zeros(len(padded) - 7, np.uint64)
+    for k in range(8):
+        key = key << np.uint64(8) | padded[k : k + len(key)]
+    rank = dense(key)
+    for length in (8, 16, 32):
+        step = min(length, WINDOW - length)
+        rank = dense(rank[: len(rank) - step] * len(padded) + rank[step:])
+    own = rank[at]
+    order = np.argsort(own, kind="stable")
+    new = np.ones(len(at), bool)
+    new[1:] = own[order][1:] != own[order][:-1]
+    return at[order], new
+
+
+def merged(text: np.ndarray, a: np.ndarray, b: np.ndarray):
+    """A merge scan of two suffix arrays: (positions in order, whether a window equals the one before), in parts; of equal windows a's comes first.
+
+    Each part is cut at the same window in both, and a stable sort of two ascending runs merges them.
+    """
+    i = j = 0
+    window = lambda p: text[p : p + WINDOW].tobytes()
+    while i < len(a) or j < len(b):
+        ends = [window(x[min(k + MERGE, len(x)) - 1]) for x, k in ((a, i), (b, j)) if k < len(x)]
+        cut = min(ends)
+        m = bisect_right(a, cut, i, min(i + MERGE, len(a)), key=window)
+        n = bisect_right(b, cut, j, min(j + MERGE, len(b)), key=window)
+        part = np.concatenate([a[i:m], b[j:n]])
+        strings = windows_at(text, part)
+        order = np.argsort(strings, kind="stable")
+        strings = strings[order]
+        same = np.zeros(len(part), bool)
+        same[1:] = strings[1:] == strings[:-1]
+        yield part[order], same
+        i, j = m, n
+
+
 class SuffixFamily:
-    """Levels of suffix arrays; each level has distinct windows in order and the first document of each."""
+    """Levels of suffix arrays over one text: distinct windows in order, each by the first position that has it.
+
+    ``docs`` has the document of each item and ``ends`` where its text ends; documents ascend along the text.
+    """
+
+    def __init__(self, text: np.ndarray, ends: np.ndarray, docs: np.ndarray):
+        self.text, self.ends, self.docs = text, ends, docs
+        self.levels: list[np.ndarray] = []
 
-    def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+    def doc(self, at: np.ndarray) -> np.ndarray:
+        return self.docs[np.searchsorted(self.ends, at, "right")]
 
-    def add(self, windows: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        """Which windows start in a document before their own, in this batch or a level; adds the batch.
+    def add(self, lo: int, hi: int, at: np.ndarray) -> np.ndarray:
+        """Which of the windows at positions ``at``, all within lo to hi, start in a document before their own; adds them.
 
-        docs may not be before those of earlier batches.
+        Batches come in order along the text.
         """
-        order = np.argsort(windows, kind="stable")
-        ordered = windows[order]
-        head = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        array, group = ordered[head], np.zeros(len(order), np.int64)
-        group[head[1:]] = 1
-        group = np.cumsum(group)
-        first = np.minimum.reduceat(docs[order], head)
-        known = np.zeros(len(array), bool)
-        before = first.copy()
-        for level, level_docs in self.levels:  # both in order: a merge scan
-            at = np.minimum(np.searchsorted(level, array), len(level) - 1)
-            same = level[at] == array
-            known |= same
-            before[same] = np.minimum(before[same], level_docs[at[same]])
-        found = np.empty(len(order), bool)
-        found[order] = before[group] < docs[order]
-        self.levels.append((array[~known], first[~known]))
-        while len(self.levels) > 1 and 2 * len(self.levels[-1][0]) >= len(self.levels[-2][0]):
-            (b, db), (a, da) = self.levels.pop(), self.levels.pop()
-            both, both_docs = np.concatenate([a, b]), np.concatenate([da, db])
-            order = np.argsort(both, kind="stable")
-            self.levels.append((both[order], both_docs[order]))
-        self.levels = [x for x in self.levels if len(x[0])]
+        array, new = suffix_array(self.text[lo:hi], at - lo)
+        array = array.astype(self.ends.dtype) + lo
+        heads = array[new]
+        before = self.doc(heads)
+        known = np.zeros(len(heads), bool)
+        for level in self.levels:
+            done = 0
+            for part, same in merged(self.text, level, heads):
+                k = np.flatnonzero(same)
+                mine = part >= lo
+                number = done + np.cumsum(mine) - 1
+                known[number[k]] = True
+                before[number[k]] = np.minimum(before[number[k]], self.doc(part[k - 1]))
+                done += int(mine.sum())
+        later = before[np.cumsum(new) - 1] < self.doc(array)
+        found = np.empty(len(at), bool)
+        found[np.searchsorted(at, array)] = later
+        self.levels.append(heads[~known])
+        while len(self.levels) > 1 and 2 * len(self.levels[-1]) >= len(self.levels[-2]):
+            b, a = self.levels.pop(), self.levels.pop()
+            self.levels.append(np.concatenate([a[:0], *(part for part, _ in merged(self.text, a, b))]))
+        self.levels = [x for x in self.levels if len(x)]
         return found
 
 
 def earlier_windows(texts: list[bytes], docs: np.ndarray) -> np.ndarray:
     """A bit mask for each item, in ascending order of docs: bit k tells that its k-th window is in a document before."""
-    masks, family, lengths = np.zeros(len(texts), np.uint32), SuffixFamily(), np.array([len(x) for x in texts], np.int64)
+    lengths = np.array([len(x) for x in texts], np.int64)
+    ends = np.cumsum(lengths)
+    if len(ends) and ends[-1] < 1 << 31:
+        ends = ends.astype(np.int32)
+    family, masks = SuffixFamily(np.frombuffer(b"".join(texts), np.uint8), ends, docs), np.zeros(len(texts), np.uint32)
     windows = lengths - WINDOW + 1
     step = np.cumsum(windows)
     lo = 0
     while lo < len(texts):
         hi = max(lo + 1, int(np.searchsorted(step, (step[lo - 1] if lo else 0) + BATCH_WINDOWS, "right")))
-        buf = np.frombuffer(b"".join(texts[lo:hi]), np.uint8)
         n = windows[lo:hi]
-        base = np.cumsum(lengths[lo:hi]) - lengths[lo:hi]
         offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        rows = np.lib.stride_tricks.sliding_window_view(buf, WINDOW)[np.repeat(base, n) + offset]
-        found = family.add(rows.view(f"S{WINDOW}").ravel(), np.repeat(docs[lo:hi], n))
+        at = np.repeat(ends[lo:hi] - lengths[lo:hi], n) + offset
+        found = family.add(int(ends[lo] - lengths[lo]), int(ends[hi - 1]), at)
         bits = found.astype(np.uint32) << offset.astype(np.uint32)
         masks[lo:hi] = np.bitwise_or.reduceat(bits, np.cumsum(n) - n)
         lo = hi

@@ -208,17 +208,40 @@ def test_removal_in_process(monkeypatch, seed, hot, batch_windows, block, batche
     assert in_process(rows, batches, 4) == brute_removal(rows)
 
 
-def test_suffix_family_levels():
-    rng = np.random.default_rng(1)
-    family, seen = suffixdedup.SuffixFamily(), {}
-    for doc in range(40):
-        windows = np.array([bytes([97 + x]) * 3 for x in rng.integers(0, 26, 10)], "S3")
-        found = family.add(windows, np.full(10, doc))
-        assert found.tolist() == [seen.get(w, doc) < doc for w in windows.tolist()]
-        for w in windows.tolist():
+def test_suffix_arrays_and_merge():
+    rng = random.Random(6)
+    text = np.frombuffer("".join(rng.choice("ab\0") * rng.randint(1, 30) for _ in range(200)).encode(), np.uint8)
+    at = np.array(sorted(rng.sample(range(len(text) - 49), 900)))
+    array, new = suffixdedup.suffix_array(text, at)
+    window = lambda p: text[p : p + 50].tobytes()
+    assert array.tolist() == sorted(at.tolist(), key=lambda p: (window(p), p))
+    assert new.tolist() == [True] + [window(p) != window(q) for p, q in zip(array[1:], array, strict=False)]
+    a, b = (suffixdedup.suffix_array(text, x)[0] for x in (at[:500], at[500:]))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(suffixdedup, "MERGE", 7)
+        parts = list(suffixdedup.merged(text, a, b))
+    assert len(parts) > 50
+    assert [window(p) for part, _ in parts for p in part] == [window(p) for p in array]
+
+
+def test_suffix_family_levels(monkeypatch):
+    """Forty batches of one text: what is found, and few levels of falling size that hold each window once."""
+    monkeypatch.setattr(suffixdedup, "MERGE", 16)
+    rng, seen = random.Random(1), {}
+    texts = ["".join(rng.choice(("x" * 20, "y" * 17, "z" * 9)) for _ in range(8)).encode() for _ in range(40)]
+    ends = np.cumsum([len(t) for t in texts])
+    family = suffixdedup.SuffixFamily(np.frombuffer(b"".join(texts), np.uint8), ends, np.arange(40))
+    most = 0
+    for doc, t in enumerate(texts):
+        lo, own = int(ends[doc]) - len(t), [t[k : k + 50] for k in range(len(t) - 49)]
+        found = family.add(lo, int(ends[doc]), lo + np.arange(len(own)))
+        assert found.tolist() == [seen.get(w, doc) < doc for w in own]
+        for w in own:
             seen.setdefault(w, doc)
-        sizes = [len(x) for x, _ in family.levels]
+        sizes = [len(x) for x in family.levels]
+        most = max(most, len(sizes))
         assert sum(sizes) == len(seen) and all(a > 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
+    assert most >= 3
 
 
 def test_removal_query(spark):
