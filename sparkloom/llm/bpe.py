@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, documents, held, materialize
+from .common import Memo, documents, held, materialize, slices
 from .langid import share_model
 from .tokens import LOWER_WORD, UNSAFE, resolve
 
@@ -286,7 +286,7 @@ def count_words(docs: DataFrame, tokenizer: str, text_col: str = "text", flush:
             counts.clear(), chunks.clear()
             return rows
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0)):
             for text in batch.column(0).to_pylist():
                 for k, part in enumerate(rules.split_special.split(text) if rules.split_special else [text]):
                     if k % 2 == 0:
@@ -344,7 +344,7 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: bytes, id_col: str = "doc_i
 
     def run(batches):
         codec = codec_of(shared)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             ids = pa.array([codec.encode(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
 
@@ -368,7 +368,7 @@ def digest(docs: DataFrame, tokenizer: str, lexicon: bytes, id_col: str = "doc_i
 
     def run(batches):
         codec = codec_of(shared)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             found = [codec.digest(t) for t in batch.column(1).to_pylist()]
             columns = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

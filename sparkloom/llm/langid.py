@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, documents, draw, held
+from .common import crc_mod, documents, draw, held, slices
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -113,7 +113,7 @@ def build_model(rows: list[tuple[str, str, int]], min_count: int = 2) -> Languag
 
 
 def _count_words(batches):
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 1, 16 << 20)):
         counts: Counter = Counter()
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             for word, n in Counter(words_of(text)).items():
@@ -223,7 +223,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
     def run(batches):
         predict = predictor_of(shared).predict
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             out = [predict(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -241,7 +241,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text
 
     def run(batches):
         predict = predictor_of(shared).predict
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             found = [predict(t) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found], pa.bool_()))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import documents, materialize, slices
 from .tokens import encoder_of
 
 
@@ -84,7 +84,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col:
 
     def run(batches):
         encode = encoder_of(tokenizer).encode
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             out = {c: [] for c in ("doc_id", "copy", "piece", "start", "length", "ids_crc32")}
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.append(encode(text).astype("<u4"), np.uint32(end_id)).astype("<u4")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, documents, draw, held
+from .common import crc_mod, documents, draw, held, slices
 from .langid import share_model
 
 NGRAMS = (3, 4, 5)
@@ -224,7 +224,7 @@ def score(docs: DataFrame, model: SubwordModel, id_col: str = "doc_id", text_col
 
     def run(batches):
         scorer = scorer_of(shared)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             p = scorer.probabilities(batch.column(1).to_pylist())[:, 1] if batch.num_rows else np.empty(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64())], ["doc_id", "score"])
 
@@ -239,7 +239,7 @@ def keep_good(docs: DataFrame, model: SubwordModel, text_col: str = "text", min_
 
     def run(batches):
         scorer = scorer_of(shared)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             if batch.num_rows:
                 p = scorer.probabilities(batch.column(at).to_pylist())[:, 1]
                 batch = batch.filter(pa.array(p >= min_score))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, scratch_path
+from .common import documents, materialize, scratch_path, slices
 from .tokens import encoder_of
 
 MAGIC = b"SLTOKEN1"
@@ -152,7 +152,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
             _put(folder, f"part-{part:06d}-{shard:06d}.tok", pack_shard(np.array(held, np.int64), ends, np.concatenate(ids)))
             return pa.RecordBatch.from_pydict({"part": [part], "shard": [shard], "n_docs": [len(held)], "n_ids": [int(ends[-1])]}, schema=pa.schema([(c, pa.int64()) for c in ("part", "shard", "n_docs", "n_ids")]))
 
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in slices(whole, 1)):
             for doc, text, part in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):  # noqa: B007
                 held.append(doc)
                 ids += [encode(text), end]

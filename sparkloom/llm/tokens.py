@@ -42,7 +42,7 @@ class WordwiseEncoder:
     default; nothing is added, cut or padded.
     """
 
-    def __init__(self, tokenizer: str, limit: int = 800_000):
+    def __init__(self, tokenizer: str, limit: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
