@@ -61,10 +61,6 @@ class Table:
     langs: np.ndarray
     more: np.ndarray
 
-    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        a, b = self.starts[i], self.starts[i + 1]
-        return self.langs[a:b], self.more[a:b]
-
 
 def log_frequencies(counts: dict[str, dict[int, float]], n_langs: int) -> Table:
     """Add-half smoothed log frequencies."""
@@ -86,14 +82,32 @@ class LanguageModel:
     def words(self) -> dict[str, int]:
         return self.tables[0].keys
 
-    def unseen(self, word: str) -> tuple[int, np.ndarray, np.ndarray]:
-        """(table, languages, what is added): back off through shorter n-grams; a word with none known says nothing (table -1)."""
-        for k, n in enumerate(range(MAX_N, 0, -1), 1):
-            table = self.tables[k]
-            known = [table.row(table.keys[g]) for g in grams(word, n) if g in table.keys]
-            if known:
-                return k, np.concatenate([x for x, _ in known]), np.concatenate([x for _, x in known]) / np.float32(len(known))
-        return -1, np.empty(0, np.int32), np.empty(0, np.float32)
+    def unseen(self, words: list[str]) -> Table:
+        """Rows of words that were never seen: back off through shorter n-grams; ``base`` has each row's table, -1 where none is known and the word says nothing."""
+        tables, n_langs = np.full(len(words), -1, np.int64), len(self.langs)
+        owners: list[list[int]] = [[] for _ in self.tables]
+        rows: list[list[int]] = [[] for _ in self.tables]
+        for i, word in enumerate(words):
+            for k, n in enumerate(range(MAX_N, 0, -1), 1):
+                keys = self.tables[k].keys
+                known = [keys[g] for g in grams(word, n) if g in keys]
+                if known:
+                    tables[i] = k
+                    rows[k] += known
+                    owners[k] += [i] * len(known)
+                    break
+        total = np.zeros(len(words) * n_langs)
+        for table, own, row in zip(self.tables, owners, rows, strict=True):
+            if own:
+                own, row = np.array(own), np.array(row)
+                share = 1 / np.bincount(own, minlength=len(words))[own]
+                first = table.starts[row]
+                size = table.starts[row + 1] - first
+                place = np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
+                total += np.bincount(np.repeat(own * n_langs, size) + table.langs[place], table.more[place] * np.repeat(share, size), len(total))
+        there = np.flatnonzero(total)
+        starts = np.searchsorted(there, np.arange(len(words) + 1) * n_langs)
+        return Table({w: i for i, w in enumerate(words)}, tables, starts, (there % n_langs).astype(np.int32), total[there].astype(np.float32))
 
 
 def build_model(rows: list[tuple[str, str, int]], min_count: int = 2) -> LanguageModel:
@@ -153,56 +167,67 @@ class Predictor:
         self.starts = np.concatenate([words.starts, np.empty(limit, np.int64)])
         self.table = np.concatenate([np.zeros(self.n_words, np.int64), np.empty(limit, np.int64)])
         self.langs, self.more = (np.concatenate([x, np.empty(room, x.dtype)]) for x in (words.langs, words.more))
-        self.reset()
-
-    def reset(self) -> None:
-        """Forget the unseen words."""
-        self.rows = dict(self.model.words)
+        self.rows = dict(words.keys)
 
-    def row(self, word: str) -> int:
-        """The word's row; -1 where there's no room for it."""
-        at = self.rows.get(word)
-        if at is None:
+    def learn(self, words: list[str]) -> None:
+        """Remember the rows of words that aren't known, as far as there's room."""
+        step = max(1, (1 << 20) // len(self.model.langs))
+        for a in range(0, len(words), step):
+            found = self.model.unseen(words[a : a + step])
             at = len(self.rows)
-            if at == len(self.table):
-                return -1
-            table, langs, more = self.model.unseen(word)
-            a, b = self.starts[at], self.starts[at] + len(langs)
-            if b > len(self.langs):
-                return -1
-            self.starts[at + 1], self.table[at], self.langs[a:b], self.more[a:b] = b, table, langs, more
-            self.rows[word] = at
-        return at
-
-    def total(self, words: list[str], reps: np.ndarray) -> np.ndarray:
-        """The sum of the scores of words that occur so often."""
-        at = np.fromiter(map(self.row, words), np.int64, len(words))
-        good = at >= 0
-        own, n = at[good], reps[good]
-        first = self.starts[own]
-        size = self.starts[own + 1] - first
+            b, c = at + len(found.base), self.starts[at] + len(found.langs)
+            if b > len(self.table) or c > len(self.langs):
+                return
+            self.starts[at : b + 1] = found.starts + self.starts[at]
+            self.table[at:b], self.langs[c - len(found.langs) : c], self.more[c - len(found.langs) : c] = found.base, found.langs, found.more
+            self.rows.update(zip(found.keys, range(at, b), strict=True))
+
+    def totals(self, owner: np.ndarray, words: list[str], reps: np.ndarray, n_docs: int) -> np.ndarray:
+        """For each document and language the sum of the scores of its words, which occur so often."""
+        new = [w for w in dict.fromkeys(words) if w not in self.rows]
+        if len(self.rows) + len(new) > len(self.table):
+            self.rows = dict(self.model.words)
+            new = [w for w in dict.fromkeys(words) if w not in self.rows]
+        self.learn(new)
+        at = np.array([self.rows.get(w, -1) for w in words], np.int64)
+        out = self._sum(owner, at, reps, n_docs, self.table, self)
+        left = np.flatnonzero(at < 0)
+        step = max(1, (1 << 20) // len(self.model.langs))
+        for a in range(0, len(left), step):  # beyond the room: looked up once
+            part = left[a : a + step]
+            found = self.model.unseen(list(dict.fromkeys(words[k] for k in part.tolist())))
+            out += self._sum(owner[part], np.array([found.keys[words[k]] for k in part.tolist()]), reps[part], n_docs, found.base, found)
+        if len(left):
+            self.rows = dict(self.model.words)
+        return out
+
+    def _sum(self, owner: np.ndarray, at: np.ndarray, reps: np.ndarray, n_docs: int, table: np.ndarray, rows) -> np.ndarray:
+        n_langs, good = len(self.model.langs), at >= 0
+        own, n, doc = at[good], reps[good], owner[good]
+        first = rows.starts[own]
+        size = rows.starts[own + 1] - first
         place = np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
-        out = np.bincount(self.table[own] % len(self.bases), n, len(self.bases)) @ self.bases
-        out += np.bincount(self.langs[place], self.more[place] * np.repeat(n, size), len(out))
-        for k in np.flatnonzero(~good).tolist():  # words beyond the room left
-            table, langs, more = self.model.unseen(words[k])
-            out += reps[k] * (np.bincount(langs, more, len(out)) + self.bases[table])
-        if len(own) < len(at):
-            self.reset()
+        base = np.bincount(doc * len(self.bases) + table[own] % len(self.bases), n, n_docs * len(self.bases))
+        out = base.reshape(n_docs, -1) @ self.bases
+        out += np.bincount(np.repeat(doc * n_langs, size) + rows.langs[place], rows.more[place] * np.repeat(n, size), n_docs * n_langs).reshape(n_docs, -1)
         return out
 
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, confidence) of each text; ``und`` and 0 for null, letterless texts or an empty model. Ties go to the first language in order of name."""
+        counts = [Counter(words_of(t or "")) for t in texts]
+        words, reps = [w for c in counts for w in c], np.array([n for c in counts for n in c.values()], np.float64)
+        if not words or not self.model.langs:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        owner = np.repeat(np.arange(len(texts)), [len(c) for c in counts])
+        n = np.bincount(owner, reps, len(texts))
+        logit = self.totals(owner, words, reps, len(texts)) * (np.minimum(n, CONFIDENT_WORDS) / np.maximum(n, 1))[:, None]
+        p = np.exp(logit - logit.max(1, keepdims=True))
+        best = p.argmax(1)
+        score = p[np.arange(len(p)), best] / p.sum(1)
+        return [(self.model.langs[k], s) if c else (UNKNOWN, 0.0) for k, s, c in zip(best.tolist(), score.tolist(), counts, strict=True)]
+
     def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, confidence); ``und`` and 0 for null, letterless texts or an empty model. Ties go to the first language in order of name."""
-        counts = Counter(words_of(text or ""))
-        if not counts or not self.model.langs:
-            return UNKNOWN, 0.0
-        reps = np.fromiter(counts.values(), np.float64, len(counts))
-        total = self.total(list(counts), reps)
-        n = reps.sum()
-        logit = total / n * min(n, CONFIDENT_WORDS)
-        p = np.exp(logit - logit.max())
-        best = int(p.argmax())
-        return self.model.langs[best], float(p[best] / p.sum())
+        return self.predict_all([text])[0]
 
 
 def predictor_of(shared) -> Predictor:
@@ -222,9 +247,9 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     shared = share_model(docs.sparkSession, model)
 
     def run(batches):
-        predict = predictor_of(shared).predict
-        for batch in (part for whole in batches for part in slices(whole, 1)):
-            out = [predict(t) for t in batch.column(1).to_pylist()]
+        predict = predictor_of(shared).predict_all
+        for batch in (part for whole in batches for part in slices(whole, 1, 1 << 19)):
+            out = predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
@@ -240,9 +265,9 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text
     at = docs.columns.index(text_col)
 
     def run(batches):
-        predict = predictor_of(shared).predict
-        for batch in (part for whole in batches for part in slices(whole, at)):
-            found = [predict(t) for t in batch.column(at).to_pylist()]
+        predict = predictor_of(shared).predict_all
+        for batch in (part for whole in batches for part in slices(whole, at, 1 << 19)):
+            found = predict(batch.column(at).to_pylist())
             yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
