@@ -21,13 +21,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import best, build_shards, query_rows, search, top_of, usable
+from .vectors import at_most, best, build_shards, lengths_of, query_rows, search, top_of, usable
 
 PIVOTS = 512
 PREFIX = 48
-#: Reranked of each shard: this share, and so many at least.
+#: Reranked of each shard: this share at any size, but for shards of so few rows that it would be less than so many for each one wanted.
 SHARE = 0.25
-LEAST = 1000
+EACH = 8
 #: Of the reranked, the first part: one in so many.
 FIRST = 4
 #: Pivots that the mean cosine is measured with, and distances that it is kept for.
@@ -36,12 +36,6 @@ LEVELS = 64
 SHARD_ROWS = 16_384
 
 
-def lengths_of(rows: np.ndarray) -> np.ndarray:
-    """Euclidean lengths, also where squares would leave the range of doubles."""
-    largest = np.abs(rows).max(1, initial=0)
-    return largest * np.linalg.norm(rows / np.where(largest > 0, largest, 1)[:, None], axis=1)
-
-
 def nearest_pivots(rows: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """The pivots of largest cosine, in order, for each row."""
     score = rows @ pivots.T
@@ -87,10 +81,10 @@ def mean_cosines(index: dict[str, np.ndarray], prefix: int) -> np.ndarray:
 class Shard:
     """Searches one shard's inverted files."""
 
-    def __init__(self, arrays: dict[str, np.ndarray], k: int, prefix: int, share: float, least: int):
+    def __init__(self, arrays: dict[str, np.ndarray], k: int, prefix: int, share: float, each: int):
         self.__dict__.update(arrays)
         self.k, self.prefix = k, min(prefix, len(self.pivots))
-        self.n_rerank = max(least, int(share * len(self.ids)))
+        self.n_rerank = max(each * k, int(share * len(self.ids)))
 
     def __call__(self, query_id: int, q: np.ndarray, bound: float | None) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.ids):
@@ -115,19 +109,20 @@ class Shard:
         return np.argpartition(short, self.n_rerank)[: self.n_rerank]
 
 
-def nearest(vectors: DataFrame, every: int, k: int, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE, least: int = LEAST, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, every: int, k: int, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE, each: int = EACH, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose id is divisible by ``every`` against all other rows.
 
     See ``vectors.usable`` for the rows that take no part; neither do zero vectors.
-    Rows that repeat an id are each a candidate, for other ids only.
+    Rows that repeat an id are each a candidate, for other ids only. Equal scores are ranked by the smaller id; which of equally
+    likely rows are reranked at the edge of the share follows their order by id in the shard.
     """
-    rows = usable(vectors, id_col, vec_col, "exists(v, x -> x != 0)")
+    rows = at_most(usable(vectors, id_col, vec_col, "exists(v, x -> x != 0)"), k)
     drawn = rows.orderBy(F.xxhash64("vec_id", F.lit("pivot")), "vec_id", "v").limit(pivots).collect()  # bounded by ``pivots``
     chosen = np.unique(np.array([r["v"] for r in drawn], np.float64), axis=0) if drawn else np.empty((0, 0))
     chosen = chosen / lengths_of(chosen)[:, None] if len(chosen) else chosen
     folder, shards = build_shards(rows, shard_rows, lambda ids, x: build_index(ids, x, chosen, prefix), "permutation-index")
     asked = query_rows(rows, every).select("query_id", "v", F.lit(None).cast("double").alias("bound"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
-    return best(search(asked, folder, lambda arrays: Shard(arrays, k, prefix, share, least), k, False), k)
+    return best(search(asked, folder, lambda arrays: Shard(arrays, k, prefix, share, each), k, False), k)
 
 
 def op10_permutation_index(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """What the vector searches share: usable rows, shard files, the deal of queries to shards, the merge.
 
-Rows are dealt by a hash to shards of about ``shard_rows``. A task builds a shard's
+Rows are dealt by a hash of id and vector to shards of about ``shard_rows``. A task builds a shard's
 index and puts it as one file into the shared folder, under its own name and then
 renamed, so a repeated attempt leaves one whole file. Each query is sent to each
 shard (the stated query set against all rows, in blocks); tasks take queries in order of shard and
@@ -33,6 +33,21 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str, more: str = "true") ->
     return rows.where(F.size("v") == (lengths[0]["d"] if lengths else 0))
 
 
+def at_most(rows: DataFrame, k: int) -> DataFrame:
+    """The rows, without those of more than k equal ones: no more can be among the k best. So an id that a third of all rows have fills no shard."""
+    ids = materialize(rows.groupBy("vec_id").agg(F.count("*").alias("n")).where(F.col("n") > k).select("vec_id"), "repeated")
+    if ids.isEmpty():
+        return rows
+    few = rows.join(ids, "vec_id", "left_semi").groupBy("vec_id", "v").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
+    return rows.join(ids, "vec_id", "left_anti").union(few.select("vec_id", F.explode(F.array_repeat("v", F.col("n"))).alias("v")))
+
+
+def lengths_of(rows: np.ndarray) -> np.ndarray:
+    """Euclidean lengths, also where squares would leave the range of doubles."""
+    largest = np.abs(rows).max(1, initial=0)
+    return largest * np.linalg.norm(rows / np.where(largest > 0, largest, 1)[:, None], axis=1)
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """A list column whose lists have one length, as rows."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -74,7 +89,7 @@ def build_shards(rows: DataFrame, shard_rows: int, build: Callable[[np.ndarray,
         put_arrays(folder, f"shard-{shard:08d}.npz", build(ids[order], matrix(table.column("v"))[order]))
         return pa.table({"shard": pa.array([shard], pa.int64()), "n": pa.array([len(ids)], pa.int64())})
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("long"))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("long"))
     there = materialize(dealt.groupBy("shard").applyInArrow(run, "shard long, n long"), f"{name}-list")
     if there.count() < shards:  # a hash left a shard empty: rare, and only in small tables
         have = {r["shard"] for r in there.select("shard").collect()}
