@@ -5,15 +5,15 @@
 2. A node has ``COORDINATES`` MinHash values and is posted under each coordinate-value pair.
    Two nodes of similarity s collide in a binomial number of coordinates with mean
    COORDINATES * s; pairs with at least ``MATCHES`` collisions are candidates. At s = 0.75 the mean
-   is 36 of 48, and fewer than 17 happen for 1.5 in 10^9 pairs.
+   is 36 of 48, and fewer than 19 happen for 4 in 10^8 pairs.
 3. Counting with prefix and skip: postings that hold one node can't collide and go
    first. A node with m postings left joins only under its m - MATCHES + 1 rarest ones: any pair with enough
    collisions meets there, in the order by (length, key) that all nodes share. The longest
    lists, such as those of a passage in a third of all documents, are skipped; their
-   collisions only count for pairs that meet elsewhere. Within a block of a list the same is done again: a node's
-   shortest lists there are merged and counted, the longest are only looked up for the pairs found.
+   collisions only count for pairs that meet elsewhere. In a block of nodes that meet, every list, skipped or not, is a bitmap
+   over the block, and a node's counts are the sum of the bitmaps of its lists.
 4. Candidates must also agree in ``SKETCH_MATCHES`` of ``SKETCH`` coordinates (the first ones among them), of which a node
-   keeps a byte each (at 0.75, fewer agree for 6 in 10^10 pairs), and are then confirmed on the full sets.
+   keeps a byte each (at 0.75, fewer agree for 7 in 10^8 pairs), and are then confirmed on the full sets.
 5. Groups of thousands of copies must not give all their pairs. So first every node is
    compared with one pivot of a list; what that joins into one component needs no more
    pairs. When that has done what it can, the nodes of different components that meet in a list
@@ -38,10 +38,10 @@ from pyspark.sql import functions as F
 from .common import Memo, documents, forget, materialize, slices
 
 COORDINATES = 48
-MATCHES = 17
+MATCHES = 19
 SHINGLE = 5
 SKETCH = 256
-SKETCH_MATCHES = 148
+SKETCH_MATCHES = 154
 #: Pivot rounds end when a round leaves more than this share of the pairs it found.
 ROUND_LEAVES = 0.7
 MAX_ROUNDS = 6
@@ -160,38 +160,12 @@ def _agree(batches):
             yield batch.select(["a", "b", "size"]).filter(pa.array(good))
 
 
-def collisions(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of rows of keys that collide in ``MATCHES`` columns or more, by merging lists.
-
-    A column's equal keys in ``second`` are a list. Of a row's lists, all but the MATCHES - 1 longest are merged: a
-    pair with enough collisions is in one of them. The longest are skipped; they are looked up for pairs that have been found.
-    """
-    n, m = first.shape[0], second.shape[0]
-    order = np.argsort(second, axis=0, kind="stable")
-    start, end = np.empty(first.shape, np.int64), np.empty(first.shape, np.int64)
+def collisions(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """How often each row of keys of ``first`` collides with each of ``second``: the bitmaps of its lists over ``second``, added up."""
+    counts = np.zeros((len(first), len(second)), np.uint8)
     for c in range(COORDINATES):
-        own = second[order[:, c], c]
-        start[:, c], end[:, c] = np.searchsorted(own, first[:, c], "left"), np.searchsorted(own, first[:, c], "right")
-    by_length = np.argsort(end - start, axis=1, kind="stable")
-    out_i, out_j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    step = max(1, (1 << 20) // max(1, m * (COORDINATES - MATCHES + 1)))
-    for a in range(0, n, step):
-        rows = np.arange(a, min(n, a + step))[:, None]
-        merged, skipped = by_length[rows[:, 0], : COORDINATES - MATCHES + 1], by_length[rows[:, 0], COORDINATES - MATCHES + 1 :]
-        size = (end[rows, merged] - start[rows, merged]).ravel()
-        if not size.any():
-            continue
-        place = np.arange(size.sum()) + np.repeat(start[rows, merged].ravel() - (np.cumsum(size) - size), size)
-        column = np.repeat(merged.ravel(), size)
-        owner = np.repeat(np.repeat(rows[:, 0] - a, merged.shape[1]), size)
-        counts = np.bincount(owner * m + order[place, column], minlength=len(rows) * m)
-        found = np.flatnonzero(counts)
-        i, j = found // m, found % m
-        total = counts[found] + (first[(i + a)[:, None], skipped[i]] == second[j[:, None], skipped[i]]).sum(1)
-        good = total >= MATCHES
-        out_i.append(i[good] + a)
-        out_j.append(j[good])
-    return np.concatenate(out_i), np.concatenate(out_j)
+        counts += first[:, c, None] == second[None, :, c]
+    return counts
 
 
 def _meet(table: pa.Table) -> pa.Table:
@@ -203,13 +177,13 @@ def _meet(table: pa.Table) -> pa.Table:
     if len(first) and len(second) and (root[first].min() != root[second].max() or root[first].max() != root[second].min()):
         keys, ranks, sketch = _rows(table.column("keys"), np.uint32, COORDINATES), _rows(table.column("ranks"), np.uint8, COORDINATES), _rows(table.column("sketch"), np.uint8, SKETCH)
         here = [int((keys == np.uint32(table.column(c)[0].as_py() & 0xFFFFFFFF)).all(0).argmax()) for c in ("key", "next")]
-        i, j = collisions(keys[first], keys[second])
-        i, j = first[i], second[j]
-        use = root[i] != root[j]
-        use &= (4 * size[i] >= 3 * size[j]) & (4 * size[j] >= 3 * size[i])
+        use = collisions(keys[first], keys[second]) >= MATCHES
+        use &= root[first][:, None] != root[second]
+        use &= (4 * size[first][:, None] >= 3 * size[second]) & (4 * size[second] >= 3 * size[first][:, None])
         if lo == hi:
-            use &= node[i] < node[j]
-        i, j = i[use], j[use]
+            use &= node[first][:, None] < node[second]
+        i, j = np.nonzero(use)
+        i, j = first[i], second[j]
         kept = [np.empty(0, bool)]
         for a in range(0, len(i), 1 << 14):
             x, y = i[a : a + (1 << 14)], j[a : a + (1 << 14)]

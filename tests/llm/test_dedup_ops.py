@@ -95,10 +95,7 @@ def test_collisions_equal_brute_force():
     for n, m, values in ((40, 50, 3), (1, 9, 2), (30, 30, 40)):
         a, b = (rng.integers(0, values, (k, neardup.COORDINATES)).astype(np.uint32) for k in (n, m))
         a[:, :8] = b[:, :8] = 5  # lists that all are in
-        b[: min(n, m)][::2, 8:30] = a[: min(n, m)][::2, 8:30]
-        found = neardup.collisions(a, b)
-        same = (a[:, None] == b[None]).sum(2)
-        assert set(zip(*(x.tolist() for x in found), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(same >= neardup.MATCHES)), strict=True))
+        assert (neardup.collisions(a, b) == (a[:, None] == b[None]).sum(2)).all()
 
 
 def test_near_duplicates_of_odd_rows(spark):
