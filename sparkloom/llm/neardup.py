@@ -32,6 +32,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -366,7 +367,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         repeated = None
     else:
         roots = _moved(None, full.select("doc_id", "print").join(repeated, "doc_id").join(nodes.select("print", "id"), "print").select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
-    roots = link_components(postings, members, _sets_of(rows, members, repeated), roots)
+    # every round joins the sets, so they are kept in their partitions; a lost one comes again from the table
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = _sets_of(rows, members, repeated).repartition(parts, "node").persist(StorageLevel.DISK_ONLY)
+    roots = link_components(postings, members, sets, roots)
+    sets.unpersist()
     named = nodes.select("print", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("print", F.coalesce("root", "id").alias("component_id"))
     linked = full.join(named, "print").select("doc_id", "n_shingles", "component_id")
     empty = signed.where("n_shingles = 0").select("doc_id", "n_shingles")
