@@ -2,18 +2,22 @@
 
 A shard file is, in little-endian order::
 
-    8 bytes   magic "SLTOKEN1"
-    u64 x 5   documents n, ids m, bytes an id, low bits l, select step
-    i64 x n   document ids, ascending
+    8 bytes   magic "SLTOKEN2"
+    u64 x 4   documents n, ids m, bytes an id, select step
+    i64, u64  the first document id, how far the last one is from it
     ids       m ids of 2 or 4 bytes, all documents concatenated
-    low       n * l bits: the low bits of every document's end offset
-    high      n + (m >> l) + 1 bits: unary-coded high parts
-    u64 x k   select samples: the bit position of every step-th one in ``high``
+    EF        every document's end offset, up to m
+    EF        every document's id less the first one
     u32       crc32 of all before
 
-The ends are a non-decreasing sequence bounded by m, so Elias-Fano stores them in
-about 2 + log2(m / n) bits a document. ``ShardReader.end`` answers select queries
-in place: a sample leads near the wanted one bit, a popcount scan finds it.
+EF is a non-decreasing sequence of n numbers up to a bound u by Elias and Fano, in about 2 + log2(u / n) bits each::
+
+    low       n * l bits: the low bits of every number, l the whole part of log2(u / n)
+    high      n + (u >> l) + 1 bits: unary-coded high parts
+    u64 x k   select samples: the bit position of every step-th one in ``high``
+
+``Sequence.__getitem__`` answers select queries in place: a sample leads near the wanted one bit, a popcount scan
+finds it. No table of offsets is unpacked, neither here nor by ``read_documents``.
 
 Documents are range-partitioned by id, a task tokenises its range, and writes
 one file for every ``shard_ids`` ids into a folder of any store that pyarrow can
@@ -35,55 +39,44 @@ from pyspark.sql import functions as F
 from .common import documents, materialize, scratch_path, slices
 from .tokens import encoder_of
 
-MAGIC = b"SLTOKEN1"
-HEAD = struct.Struct("<8s5Q")
+MAGIC = b"SLTOKEN2"
+HEAD = struct.Struct("<8s4QqQ")
 STEP = 64
 SHARD_IDS = 8_000_000
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.int64)
 
 
-def elias_fano(ends: np.ndarray, bound: int) -> tuple[int, bytes, bytes, np.ndarray]:
-    """(low bits l, low part, high part, select samples) of a non-decreasing sequence up to bound."""
-    n = len(ends)
-    low_bits = max(0, (bound // n).bit_length() - 1) if n else 0
-    ends = ends.astype(np.uint64)
-    shifts = np.arange(low_bits, dtype=np.uint64)
-    low = np.packbits(((ends[:, None] >> shifts) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little").tobytes()
-    ones = (ends >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
-    high = np.zeros(n + (bound >> low_bits) + 1, np.uint8)
-    high[ones] = 1
-    return low_bits, low, np.packbits(high, bitorder="little").tobytes(), ones[::STEP].astype("<u8")
+def low_bits(n: int, bound: int) -> int:
+    return max(0, (bound // n).bit_length() - 1) if n else 0
 
 
-def pack_shard(doc_ids: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> bytes:
-    """The bytes of a shard file."""
-    low_bits, low, high, samples = elias_fano(ends, len(ids))
-    body = HEAD.pack(MAGIC, len(doc_ids), len(ids), ids.itemsize, low_bits, STEP) + doc_ids.astype("<i8").tobytes() + ids.astype(f"<u{ids.itemsize}").tobytes() + low + high + samples.tobytes()
-    return body + struct.pack("<I", zlib.crc32(body))
+def elias_fano(values: np.ndarray, bound: int) -> bytes:
+    """The bytes of a non-decreasing sequence up to bound."""
+    n, width = len(values), low_bits(len(values), bound)
+    values = values.astype(np.uint64)
+    shifts = np.arange(width, dtype=np.uint64)
+    low = np.packbits(((values[:, None] >> shifts) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little").tobytes()
+    ones = (values >> np.uint64(width)).astype(np.int64) + np.arange(n)
+    high = np.zeros(n + (bound >> width) + 1, np.uint8)
+    high[ones] = 1
+    return low + np.packbits(high, bitorder="little").tobytes() + ones[::STEP].astype("<u8").tobytes()
 
 
-class ShardReader:
-    """Reads a shard from any buffer, such as a memory-mapped file, without unpacking its boundaries."""
+class Sequence:
+    """Reads numbers of an Elias-Fano sequence in place."""
 
-    def __init__(self, data):
-        data = memoryview(data)
-        magic, self.n, self.m, width, self.low_bits, self.step = HEAD.unpack_from(data)
-        if magic != MAGIC or zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
-            raise ValueError("not a whole token shard")
-        sizes = [8 * self.n, width * self.m, -(-self.n * self.low_bits // 8), -(-(self.n + (self.m >> self.low_bits) + 1) // 8), 8 * -(-self.n // self.step)]
-        at = [HEAD.size]
-        for s in sizes:
-            at.append(at[-1] + s)
-        self.doc_ids = np.frombuffer(data, "<i8", self.n, at[0])
-        self.ids = np.frombuffer(data, f"<u{width}", self.m, at[1])
-        self.low = np.frombuffer(data, np.uint8, sizes[2], at[2])
-        self.high = np.frombuffer(data, np.uint8, sizes[3], at[3])
-        self.samples = np.frombuffer(data, "<u8", sizes[4] // 8, at[4])
+    def __init__(self, data: memoryview, at: int, n: int, bound: int, step: int):
+        self.n, self.width, self.step = n, low_bits(n, bound), step
+        sizes = [-(-n * self.width // 8), -(-(n + (bound >> self.width) + 1) // 8), 8 * -(-n // step)]
+        self.low = np.frombuffer(data, np.uint8, sizes[0], at)
+        self.high = np.frombuffer(data, np.uint8, sizes[1], at + sizes[0])
+        self.samples = np.frombuffer(data, "<u8", sizes[2] // 8, at + sizes[0] + sizes[1])
+        self.end = at + sum(sizes)
 
     def _low(self, i: int) -> int:
-        first, last = i * self.low_bits, (i + 1) * self.low_bits
+        first, last = i * self.width, (i + 1) * self.width
         word = int.from_bytes(self.low[first // 8 : -(-last // 8)].tobytes(), "little")
-        return word >> (first % 8) & ((1 << self.low_bits) - 1)
+        return word >> (first % 8) & ((1 << self.width) - 1)
 
     def _select(self, i: int) -> int:
         """Position of the i-th one (from 0) in the high part."""
@@ -100,15 +93,37 @@ class ShardReader:
             left -= int(part[-1])
             byte += 64
 
+    def __getitem__(self, i: int) -> int:
+        return (self._select(i) - i) << self.width | self._low(i)
+
+
+def pack_shard(doc_ids: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> bytes:
+    """The bytes of a shard file; doc_ids ascend."""
+    first, last = (int(doc_ids[0]), int(doc_ids[-1])) if len(doc_ids) else (0, 0)
+    head = HEAD.pack(MAGIC, len(doc_ids), len(ids), ids.itemsize, STEP, first, last - first)
+    far = doc_ids.astype(np.int64).view(np.uint64) - np.uint64(first % (1 << 64))  # wraps to the true difference
+    body = head + ids.astype(f"<u{ids.itemsize}").tobytes() + elias_fano(ends, len(ids)) + elias_fano(far, last - first)
+    return body + struct.pack("<I", zlib.crc32(body))
+
+
+class ShardReader:
+    """Reads a shard from any buffer, such as a memory-mapped file, without unpacking its boundaries or document ids."""
+
+    def __init__(self, data):
+        data = memoryview(data)
+        magic, self.n, self.m, width, step, self.first, span = HEAD.unpack_from(data)
+        if magic != MAGIC or zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
+            raise ValueError("not a whole token shard")
+        self.ids = np.frombuffer(data, f"<u{width}", self.m, HEAD.size)
+        self._ends = Sequence(data, HEAD.size + width * self.m, self.n, self.m, step)
+        self._ids = Sequence(data, self._ends.end, self.n, span, step)
+
     def end(self, i: int) -> int:
         """Offset after document i's ids."""
-        return (self._select(i) - i) << self.low_bits | self._low(i)
+        return self._ends[i]
 
-    def ends(self) -> np.ndarray:
-        """All ends, decoded at once."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits).astype(np.int64)
-        return (ones - np.arange(self.n)) << self.low_bits | bits @ (1 << np.arange(self.low_bits, dtype=np.int64))
+    def doc_id(self, i: int) -> int:
+        return self.first + self._ids[i]
 
     def document(self, i: int) -> np.ndarray:
         return self.ids[self.end(i - 1) if i else 0 : self.end(i)]
@@ -186,10 +201,13 @@ def read_documents(spark, folder: str, starts: DataFrame) -> DataFrame:
                 store, at = _store(path)
                 with store.open_input_file(at) as f:
                     shard = ShardReader(f.read())
-                ends = shard.ends()
-                begins = np.concatenate([[0], ends[:-1]])
-                crcs = [zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in zip(begins, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids), pa.array(start + begins), pa.array(ends - begins), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                for lo in range(0, shard.n, 4096):
+                    rows, begin = [], shard.end(lo - 1) if lo else 0
+                    for i in range(lo, min(lo + 4096, shard.n)):
+                        end = shard.end(i)
+                        rows.append((shard.doc_id(i), start + begin, end - begin, zlib.crc32(shard.ids[begin:end].astype("<u4").tobytes())))
+                        begin = end
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
