@@ -5,8 +5,9 @@ pattern; bytes as printable characters; an end-of-word suffix) and merges any wo
 exactly. The corpus's most frequent words, counted over all documents, are merged
 once and compiled into a minimal acyclic transducer: words share prefixes and
 suffixes, the outputs along a word's arcs add up to its number, the number leads to
-its ids. The automaton is one read-only block of bytes that every worker process
-memory-maps; words outside it are merged exactly when they come up. A bounded memory
+its ids. The automaton is one read-only file in the shared folder. A worker maps it where the folder is
+a file system of its machine, so that all workers there share its pages; from other stores it maps a copy of
+its own that has no name. Words outside it are merged exactly when they come up. A bounded memory
 of recent words stands before both, so a word that recurs is looked up once.
 """
 
@@ -29,8 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, documents, held, materialize, slices
-from .langid import share_model
+from .common import Memo, documents, held, materialize, scratch_path, slices
 from .tokens import LOWER_WORD, UNSAFE, resolve
 
 MAGIC = b"SLLEXIC1"
@@ -198,10 +198,17 @@ class Lexicon:
         self.data, self.labels = data, at
 
     @classmethod
-    def mapped(cls, data: bytes) -> Lexicon:
-        """Map the bytes from an unlinked file of this machine, so processes keep no copy on their heap."""
-        with tempfile.TemporaryFile() as f:
-            f.write(data)
+    def mapped(cls, uri: str) -> Lexicon:
+        """Map a lexicon file: itself if it is a local file, else an unnamed local copy, never a copy on the heap."""
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(uri)
+        if isinstance(store, fs.LocalFileSystem):
+            with open(path, "rb") as f:
+                return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+        with tempfile.TemporaryFile() as f, store.open_input_stream(path) as source:
+            while part := source.read(1 << 20):
+                f.write(part)
             f.flush()
             return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
@@ -223,8 +230,8 @@ class Lexicon:
 class Codec:
     """Encodes and decodes whole texts by lexicon, then exact merges."""
 
-    def __init__(self, tokenizer: str, lexicon: bytes, limit: int = 600_000):
-        self.rules, self.lexicon = Rules(tokenizer), Lexicon.mapped(lexicon)
+    def __init__(self, tokenizer: str, lexicon: Lexicon, limit: int = 600_000):
+        self.rules, self.lexicon = Rules(tokenizer), lexicon
         self.memo = Memo(self._ids, limit)
         self.digests = Memo(self._digest, limit)
 
@@ -329,9 +336,21 @@ def build_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", size:
     return compile_lexicon({r["word"]: list(r["ids"]) for r in merged.collect()})
 
 
-def codec_of(shared) -> Codec:
-    """One codec a worker process and broadcast lexicon."""
-    return held(shared.value["key"], lambda: Codec(*shared.value["model"]))
+def put_lexicon(spark, lexicon: bytes) -> str:
+    """Write a lexicon as a file into the shared folder; its address."""
+    from pyarrow import fs
+
+    uri = scratch_path(spark, "lexicon")
+    store, path = fs.FileSystem.from_uri(uri)
+    store.create_dir(path, recursive=True)
+    with store.open_output_stream(f"{path}/words.lex") as out:
+        out.write(lexicon)
+    return f"{uri}/words.lex"
+
+
+def codec_of(tokenizer: str, uri: str) -> Codec:
+    """One codec a worker process and lexicon file."""
+    return held((tokenizer, uri), lambda: Codec(tokenizer, Lexicon.mapped(uri)))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -340,10 +359,10 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def encode(docs: DataFrame, tokenizer: str, lexicon: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) of every whole text; null and empty texts have no ids."""
-    shared = share_model(docs.sparkSession, (tokenizer, lexicon))
+    uri = put_lexicon(docs.sparkSession, lexicon)
 
     def run(batches):
-        codec = codec_of(shared)
+        codec = codec_of(tokenizer, uri)
         for batch in (part for whole in batches for part in slices(whole, 1)):
             ids = pa.array([codec.encode(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
@@ -364,10 +383,10 @@ def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col:
 
 def digest(docs: DataFrame, tokenizer: str, lexicon: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode and decode in one pass, keeping only digests."""
-    shared = share_model(docs.sparkSession, (tokenizer, lexicon))
+    uri = put_lexicon(docs.sparkSession, lexicon)
 
     def run(batches):
-        codec = codec_of(shared)
+        codec = codec_of(tokenizer, uri)
         for batch in (part for whole in batches for part in slices(whole, 1)):
             found = [codec.digest(t) for t in batch.column(1).to_pylist()]
             columns = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
