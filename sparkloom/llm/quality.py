@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ from .common import crc_mod, documents, draw, held, slices
 from .langid import share_model
 
 NGRAMS = (3, 4, 5)
+#: Binary logarithm of the number of vectors.
+BITS = 18
 SEGMENT = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -113,15 +116,16 @@ class SubwordModel:
         return (self.vectors @ self.layer).astype(np.float32)
 
 
-def train(texts: list[str], labels: list[int], classes: list[int], bits: int = 18, dim: int = 8, epochs: int = 6, rate: float = 0.5, seed: int = 0) -> SubwordModel:
-    """Stochastic gradient descent on the softmax loss with a linearly falling rate."""
+def train(found: list[tuple[np.ndarray, np.ndarray]], labels: list[int], classes: list[int], bits: int = BITS, dim: int = 8, epochs: int = 6, rate: float = 0.5, seed: int = 0) -> SubwordModel:
+    """Stochastic gradient descent on the softmax loss over bags, with a linearly falling rate.
+
+    A document's vectors take a step of the gradient's direction so long that the mean moves as the rate says, however many
+    features the document has; plain steps would hardly move those of long texts.
+    """
     rng = np.random.default_rng(seed)
     vectors = ((rng.random((1 << bits, dim), np.float32) - 0.5) / dim).astype(np.float32)
     layer, bias = np.zeros((dim, len(classes)), np.float32), np.zeros(len(classes), np.float32)
-    bags = []
-    for t in texts:
-        at, reps = bag(t, bits)
-        bags.append((at.astype(np.int32), (reps / max(1, reps.sum())).astype(np.float32)))
+    bags = [(at, (reps / max(1, reps.sum())).astype(np.float32)) for at, reps in found]
     steps, step = max(1, epochs * len(bags)), 0
     for _ in range(epochs):
         for i in rng.permutation(len(bags)):
@@ -208,9 +212,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # bounded by docs_per_class for each of two classes, so it may be broadcast
     drawn = marks.where(draw(F.col("i"), share, "quality")).select("i", "y")
     texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
-    rows = texts.join(F.broadcast(drawn), "i").select("i", "y", "t").collect()
-    rows.sort(key=lambda r: (r["i"], r["t"] or ""))
-    return train([r["t"] or "" for r in rows], [r["y"] for r in rows], [0, 1])
+    rows = texts.join(F.broadcast(drawn), "i").select("i", "y", "t").mapInArrow(_bags, "i long, y int, print binary, at binary, reps binary").collect()
+    rows.sort(key=lambda r: (r["i"], r["print"]))
+    return train([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["reps"], np.int32)) for r in rows], [r["y"] for r in rows], [0, 1])
+
+
+def _bags(batches):
+    """Texts as bags: at most 2**bits numbers each, however long a text is, go to the driver."""
+    for batch in (part for whole in batches for part in slices(whole, 2)):
+        texts = [t or "" for t in batch.column(2).to_pylist()]
+        bags = [bag(t, BITS) for t in texts]
+        columns = [[xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts], *([x[k].astype(np.int32).tobytes() for x in bags] for k in (0, 1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.binary()) for c in columns)], ["i", "y", "print", "at", "reps"])
 
 
 def scorer_of(shared) -> Scorer:
