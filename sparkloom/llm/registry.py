@@ -1,29 +1,25 @@
-"""The subpackage's queries by name, and DuckDB SQL for those that SQL can express."""
+"""The subpackage's queries by name, and DuckDB SQL for those that SQL can express.
+
+All modules are imported here, so that a missing dependency shows when the subpackage is imported.
+"""
 
 from __future__ import annotations
 
-from importlib import import_module
+from . import bpe, kdtree, langid, licenses, neardup, packing, permutation, quality, suffixdedup, tokenfile
 
-#: query: module of this package that defines it
 QUERIES = {
-    "op1_license_scan": "licenses",
-    "op2_language_id": "langid",
-    "op3_bpe": "bpe",
-    "op4_quality_classifier": "quality",
-    "op5_exact_top_k": "kdtree",
-    "op6_minhash_near_dedup": "neardup",
-    "op7_token_files": "tokenfile",
-    "op8_best_fit_packing": "packing",
-    "op9_suffix_array_dedup": "suffixdedup",
-    "op10_permutation_index": "permutation",
-}
-#: query: module whose ORACLE_SQL matches its rows
-ORACLES = {"op1_license_scan": "licenses", "op5_exact_top_k": "kdtree", "op6_minhash_near_dedup": "neardup"}
+    f.__name__: f
+    for f in (
+        licenses.op1_license_scan, langid.op2_language_id, bpe.op3_bpe, quality.op4_quality_classifier, kdtree.op5_exact_top_k, neardup.op6_minhash_near_dedup, tokenfile.op7_token_files,
+        packing.op8_best_fit_packing, suffixdedup.op9_suffix_array_dedup, permutation.op10_permutation_index,
+    )
+}
+ORACLES = {"op1_license_scan": licenses.ORACLE_SQL, "op5_exact_top_k": kdtree.ORACLE_SQL, "op6_minhash_near_dedup": neardup.ORACLE_SQL}
 
 
 def queries():
-    return {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in QUERIES.items()}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {name: import_module(f"{__package__}.{module}").ORACLE_SQL for name, module in ORACLES.items()}
+    return dict(ORACLES)

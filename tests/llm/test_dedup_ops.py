@@ -304,3 +304,24 @@ def test_pipeline_keeps_clean_documents(spark):
     good = [i for i, q in labels.items() if q == 1]
     bad = [i for i, q in labels.items() if q == 0]
     assert sum(i in kept for i in good) >= 0.99 * len(good) and sum(i in kept for i in bad) <= 0.1 * len(bad)
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Nulls, empty texts, repeated ids, columns that are named like internal ones, no labels; and an empty table."""
+    good = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
+    rows = [(i, t, "en", "s", len(t), "x", 1) for i, t in good] + [(good[0][0], good[0][1], "en", None, 1, None, None), (good[1][0], good[2][1], None, "s", 2, "y", 2)]
+    rows += [(None, good[3][1], "en", "s", 5, "z", 3), (901, None, "en", "s", 0, "z", 3), (902, "", None, None, None, None, None), (903, "①② 123", "fr", "s", 6, "z", 3)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, node string, root int"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/odd/labels.parquet")
+    docs = common.documents(spark, f"{tmp_path}/odd")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.materialize(stage(spark, docs, f"{tmp_path}/odd"), name)
+        assert docs.schema.names == [c.split()[0] for c in schema.split(", ")]
+    left = {r["doc_id"] for r in docs.collect()}
+    assert left <= {i for i, _ in good} and len(left) > 10
+    placed = corpus_pipeline.run(spark, f"{tmp_path}/odd")
+    assert {r["doc_id"] for r in placed.collect()} == left
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0

@@ -203,16 +203,16 @@ def test_bpe_equals_the_library(library):
     texts = ODD + ["".join(rng.choice("aBzé ßÄ'sſŸ\t\n_12.,!$-  tmd日ΣΆ½<|>") for _ in range(rng.randint(1, 60))) for _ in range(2000)]
     rules = bpe.Rules("word_bpe_49k.json")
     known = {w: rules.merge(w) for t in texts[::2] for w in rules.words(t)}
-    codec = bpe.Codec("word_bpe_49k.json", bpe.compile_lexicon(known), limit=50)
+    codec = bpe.Codec("word_bpe_49k.json", bpe.Lexicon(bpe.compile_lexicon(known)), limit=50)
     for t in texts:
         ids = library.encode(t, add_special_tokens=False).ids
         assert codec.encode(t) == ids and codec.decode(ids) == library.decode(ids, skip_special_tokens=False) and codec.digest(t) == wanted_digest(library, t)
 
 
-def test_lexicon_is_minimal_and_exact():
+def test_lexicon_is_minimal_and_exact(spark):
     words = {w: [i, i + 1] for i, w in enumerate(["tap", "taps", "top", "tops", "stop", "stops", "é", "日本"])}
     data = bpe.compile_lexicon(words)
-    lexicon = bpe.Lexicon.mapped(data)
+    lexicon = bpe.Lexicon.mapped(bpe.put_lexicon(spark, data))
     assert all(lexicon.lookup(w) == ids for w, ids in words.items())
     assert all(lexicon.lookup(w) is None for w in ("", "ta", "tapss", "x", "sto"))
     # tap(s), top(s) and stop(s) share their ends: no two states have the same future
@@ -246,10 +246,42 @@ def test_quality_of_held_out_documents(spark):
     assert sum(r["predicted"] == r["quality"] for r in rows) >= 0.93 * len(rows) > 100
 
 
+def test_quality_query_equals_brute_force(spark):
+    """Bags counted feature by feature, the same steps in plain loops, every document scored by itself."""
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    marks = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+    ids = sorted(i for i in marks if i in docs)
+    bags = {i: quality.bag(docs[i], quality.BITS) for i in docs}
+    rng = np.random.default_rng(0)
+    vectors = ((rng.random((1 << quality.BITS, 8), np.float32) - 0.5) / 8).astype(np.float64)
+    layer, bias, step, steps = np.zeros((8, 2)), np.zeros(2), 0, 6 * len(ids)
+
+    def forward(i):
+        at, reps = bags[i]
+        share = reps / max(1, reps.sum())
+        z = (share[:, None] * vectors[at]).sum(0) @ layer + bias
+        return at, share, np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+
+    for _ in range(6):
+        for k in rng.permutation(len(ids)):
+            at, share, p = forward(ids[k])
+            rate = 0.5 * (1 - step / steps)
+            step += 1
+            error = p - np.eye(2)[marks[ids[k]]]
+            mean, back = (share[:, None] * vectors[at]).sum(0), layer @ error
+            layer -= rate * np.outer(mean, error)
+            bias -= 0.05 * rate * error
+            if len(at):
+                vectors[at] -= rate * share[:, None] * back / (share**2).sum()
+    found = quality.op4_quality_classifier(spark, SF).collect()
+    assert len(found) == len(docs)
+    assert all(r["score"] == pytest.approx(forward(r["doc_id"])[2][1], abs=2e-3) for r in found)
+
+
 def test_scorer_equals_single_documents():
     rng = random.Random(4)
     texts = ["".join(rng.choice("ab cÄ\n!") for _ in range(rng.randint(0, 200))) for _ in range(30)] + ["", None, "word " * 200, "x" * 1000]
-    model = quality.train(texts[:20], [i % 2 for i in range(20)], [0, 1], bits=10, dim=3)
+    model = quality.train([quality.bag(t, 10) for t in texts[:20]], [i % 2 for i in range(20)], [0, 1], bits=10, dim=3)
     scorer = quality.Scorer(model)
     for t, p in zip(texts, scorer.probabilities(texts), strict=True):
         at, reps = quality.bag(t or "", 10)
@@ -287,9 +319,12 @@ def test_elias_fano_select():
         ids = rng.integers(0, 50_000, most * 1 + 5).astype("<u2")
         ends = np.sort(rng.integers(0, len(ids) + 1, n))
         ends[-1] = len(ids)
-        data = tokenfile.pack_shard(np.arange(n), ends, ids)
+        docs = np.sort(rng.integers(-(1 << 63) if n == 300 else -50, (1 << 63) - 1 if n == 300 else 1 << 20, n))
+        data = tokenfile.pack_shard(docs, ends, ids)
         shard = tokenfile.ShardReader(data)
-        assert [shard.end(i) for i in range(n)] == ends.tolist() == shard.ends().tolist()
+        assert [shard.end(i) for i in range(n)] == ends.tolist() and [shard.doc_id(i) for i in range(n)] == docs.tolist()
+        if n == 1000:  # an id and a boundary take about 2 + 10 and 2 + 7 bits, not 128
+            assert len(data) - 2 * len(ids) < n * 26 / 8 + 400
         assert shard.document(n - 1).tolist() == ids[ends[-2] if n > 1 else 0 :].tolist()
         with pytest.raises(ValueError):
             tokenfile.ShardReader(data[:-9] + b"x" + data[-8:])
