@@ -405,6 +405,11 @@ def test_packing_query(spark):
     assert check_packing(rows, 4096) <= -(-sum(map(len, ids.values())) // 4096) + 1
 
 
+def test_packing_uses_the_fewest_sequences(spark):
+    rows = packing.op8_best_fit_packing(spark, "/root/testdata/sf0.1").select("length", "sequence_id", "offset").collect()
+    assert len({r["sequence_id"] for r in rows}) == -(-sum(r["length"] for r in rows) // 4096)
+
+
 def test_packing_of_odd_rows(odd, none):
     rows = packing.pack(odd, capacity=8).collect()
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in kept(odd)}
