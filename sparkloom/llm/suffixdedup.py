@@ -10,7 +10,7 @@ smaller id is removed. Matches never cross documents; all strings are judged on
   answer with those that several documents have. All other windows are unique and done.
 * Deal 2. The batches send the items of shared anchors, without repeats, to the buckets. A bucket
   joins its items by ascending document to one text and takes that in batches: each gets a suffix array, its
-  positions in the order of what they start with, built by doubling the compared length. The array is
+  positions in the order of the text that starts there, sorted by more and more of it. The array is
   merge-scanned against those of earlier batches, the levels, for matches of a window's length and becomes a level;
   levels of like size are merged in one linear pass, so few are left. A level holds positions, never strings. The answer to a batch has, for each of its items, the first document that has
   it and which of its windows are in documents before that.
@@ -47,8 +47,9 @@ BUCKET_ANCHORS = 150_000
 DENSITY = 2 / (SPAN + 1)
 #: An anchor of more documents than this (counted up to 255 a batch) is dealt window by window.
 HOT_DOCUMENTS = 20_000
-#: Windows of one suffix array before merging.
+#: Windows of one suffix array before merging, at least, and batches of a bucket, at most.
 BATCH_WINDOWS = 1 << 16
+BATCHES = 8
 #: Positions of each of two arrays that are merged at a time.
 MERGE = 1 << 15
 _BLOCK = 1 << 19
@@ -206,32 +207,33 @@ def windows_at(text: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def suffix_array(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The positions ``at`` ordered by the window that starts there (ties: as given), and for each whether its window is a new one.
+    """The order of the positions ``at`` by the window that starts there (ties: as given), and for each in that order whether its window is a new one.
 
-    Ranks of all positions by 8, 16, 32 and then 50 bytes, each from two ranks of the length before.
+    Sorted by eight bytes; then, again and again, what ties by the next eight.
     """
-
-    def dense(key: np.ndarray) -> np.ndarray:
-        order = np.argsort(key, kind="stable")
-        new = np.empty(len(key), bool)
-        new[:1], new[1:] = False, key[order][1:] != key[order][:-1]
-        out = np.empty(len(key), np.int64)
-        out[order] = np.cumsum(new)
-        return out
-
-    padded = np.concatenate([text, np.zeros(WINDOW, np.uint8)]).astype(np.uint64)
-    key = np.zeros(len(padded) - 7, np.uint64)
+    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
+    key = np.zeros(len(text), np.uint64)
     for k in range(8):
-        key = key << np.uint64(8) | padded[k : k + len(key)]
-    rank = dense(key)
-    for length in (8, 16, 32):
-        step = min(length, WINDOW - length)
-        rank = dense(rank[: len(rank) - step] * len(padded) + rank[step:])
-    own = rank[at]
-    order = np.argsort(own, kind="stable")
+        key = key << np.uint64(8) | padded[k : k + len(text)]
+    own = key[at]
+    order = np.argsort(own)
+    own = own[order]
     new = np.ones(len(at), bool)
-    new[1:] = own[order][1:] != own[order][:-1]
-    return at[order], new
+    new[1:] = own[1:] != own[:-1]
+    for offset in (*range(8, WINDOW - 7, 8), WINDOW - 8, None):
+        ties = ~new
+        ties[:-1] |= ~new[1:]
+        ties = np.flatnonzero(ties)
+        if not len(ties):
+            break
+        mine = order[ties]
+        own = mine if offset is None else key[at[mine] + offset]
+        again = np.lexsort((own, np.cumsum(new)[ties]))
+        order[ties] = mine[again]
+        if offset is not None:
+            own = own[again]
+            new[ties[1:]] |= own[1:] != own[:-1]
+    return order, new
 
 
 def merged(text: np.ndarray, a: np.ndarray, b: np.ndarray):
@@ -269,15 +271,14 @@ class SuffixFamily:
     def doc(self, at: np.ndarray) -> np.ndarray:
         return self.docs[np.searchsorted(self.ends, at, "right")]
 
-    def add(self, lo: int, hi: int, at: np.ndarray) -> np.ndarray:
-        """Which of the windows at positions ``at``, all within lo to hi, start in a document before their own; adds them.
+    def add(self, lo: int, hi: int, at: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Which of the windows at positions ``at`` of ``docs``, all within lo to hi, start in a document before their own; adds them.
 
         Batches come in order along the text.
         """
-        array, new = suffix_array(self.text[lo:hi], at - lo)
-        array = array.astype(self.ends.dtype) + lo
-        heads = array[new]
-        before = self.doc(heads)
+        order, new = suffix_array(self.text[lo:hi], at - lo)
+        first = order[new]
+        heads, before = at[first].astype(self.ends.dtype), docs[first]
         known = np.zeros(len(heads), bool)
         for level in self.levels:
             done = 0
@@ -288,9 +289,8 @@ class SuffixFamily:
                 known[number[k]] = True
                 before[number[k]] = np.minimum(before[number[k]], self.doc(part[k - 1]))
                 done += int(mine.sum())
-        later = before[np.cumsum(new) - 1] < self.doc(array)
         found = np.empty(len(at), bool)
-        found[np.searchsorted(at, array)] = later
+        found[order] = before[np.cumsum(new) - 1] < docs[order]
         self.levels.append(heads[~known])
         while len(self.levels) > 1 and 2 * len(self.levels[-1]) >= len(self.levels[-2]):
             b, a = self.levels.pop(), self.levels.pop()
@@ -308,13 +308,13 @@ def earlier_windows(texts: list[bytes], docs: np.ndarray) -> np.ndarray:
     family, masks = SuffixFamily(np.frombuffer(b"".join(texts), np.uint8), ends, docs), np.zeros(len(texts), np.uint32)
     windows = lengths - WINDOW + 1
     step = np.cumsum(windows)
-    lo = 0
+    lo, most = 0, max(BATCH_WINDOWS, -(-int(windows.sum()) // BATCHES))
     while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(step, (step[lo - 1] if lo else 0) + BATCH_WINDOWS, "right")))
+        hi = max(lo + 1, int(np.searchsorted(step, (step[lo - 1] if lo else 0) + most, "right")))
         n = windows[lo:hi]
         offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         at = np.repeat(ends[lo:hi] - lengths[lo:hi], n) + offset
-        found = family.add(int(ends[lo] - lengths[lo]), int(ends[hi - 1]), at)
+        found = family.add(int(ends[lo] - lengths[lo]), int(ends[hi - 1]), at, np.repeat(docs[lo:hi], n))
         bits = found.astype(np.uint32) << offset.astype(np.uint32)
         masks[lo:hi] = np.bitwise_or.reduceat(bits, np.cumsum(n) - n)
         lo = hi
