@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fingerprint, meta
-from ..functions.text import WS, contextual_snippet, distinct_trigrams, snippet, utf8, words
+from .. import scratch
+from ..functions.score import proximity_score
+from ..functions.text import WS, contextual_snippet, file_name, file_stem, distinct_trigrams, snippet, utf8, words
 from ..operators import postings as post
 from ..operators.search import Engine, hamming_pairs, lsh_clusters, lsh_sets, scan_candidates, word_trigrams
-from ..sources import corpus
+from ..sources import corpus, files
+from ..sources.kinds import kind, language
+from .index import Index
+from .output import render
 
 SEARCH = "ation ouer nder"
 WORD = "tion"
@@ -158,15 +163,87 @@ def clusters_docs(spark, sf):
     return _docs(spark, sf).clusters(4).select("size", F.array_join("members", ",").alias("members"), "more")
 
 
+def _two_states(spark, sf):
+    """An index of all documents, and the files of a later walk with their contents.
+
+    Until then the German documents have moved to another folder, the long ones got a line and a new time, the
+    Spanish ones only a new time, and the French ones can't be parsed any more, those with a new time among them.
+    """
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null").withColumn("lang", F.coalesce("lang", F.lit("-")))
+    long = F.col("n_chars") > 2000
+
+    def state(folder, text, mtime, error):
+        path = F.concat(folder, "source", F.lit("/doc_"), "doc_id", F.lit(".txt"))
+        columns = docs.select(path.alias("path"), F.lit("text").alias("kind"), F.lit(None).cast("string").alias("language"), mtime.alias("mtime"), F.octet_length(text).cast("long").alias("size"), text.alias("text"), error.alias("error"))
+        walked = columns.select("path", "kind", "language", "mtime", "size")
+        ok = F.col("error").isNull()
+        read = columns.select("path", fingerprint.xxh64(F.col("text")).alias("file_hash"), F.when(ok, F.col("text")).alias("text"), F.lit(None).cast("string").alias("title"), "error")
+        return walked, read
+
+    before, after = corpus.mtime_of(F.col("doc_id")), F.lit(corpus.AS_OF)
+    index = Index(spark, scratch.folder(spark, "index"), with_postings=False)
+    walked, read = state(F.lit("/corpus/"), F.col("text"), before, F.lit(None).cast("string"))
+    index.apply(walked, index.diff(walked, "/corpus"), read)
+    moved = F.when(F.col("lang") == "de", "/corpus/moved/").otherwise("/corpus/")
+    later = state(moved, F.when(long, F.concat("text", F.lit("\nmore"))).otherwise(F.col("text")), F.when(long | (F.col("lang") == "es"), after).otherwise(before), F.when(F.col("lang") == "fr", "ParseError"))
+    return index, *later
+
+
 def index_diff_status(spark, sf):
-    """What an update would do if ids divisible by 7 were new, by 11 gone, by 5 touched and by 10 changed."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.xxhash64("text").alias("h"))
-    stored = docs.where("doc_id % 7 != 0").select("doc_id", F.lit(1).alias("t0"))
-    walked = docs.where("doc_id % 11 != 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, 2).otherwise(1).alias("t1"))
-    status = (
-        F.when(F.col("t0").isNull(), "added").when(F.col("t1").isNull(), "removed").when((F.col("t0") != F.col("t1")) & (F.col("doc_id") % 10 == 0), "added").otherwise("skipped")
-    )
-    return walked.join(stored, "doc_id", "full_outer").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+    """What an update finds out from paths and times alone."""
+    index, walked, _ = _two_states(spark, sf)
+    return index.diff(walked, "/corpus").groupBy("status").agg(F.count("*").alias("n"))
+
+
+def index_update_stats(spark, sf):
+    """The counts of the second update."""
+    index, walked, read = _two_states(spark, sf)
+    diff = index.diff(walked, "/corpus")
+    stats = index.apply(walked, diff, read.join(diff.where("status in ('new', 'changed')").select("path"), "path", "left_semi"))
+    return spark.createDataFrame([(stats.added, stats.skipped, stats.removed, stats.errors)], "added long, skipped long, removed long, errors long")
+
+
+def index_two_updates(spark, sf):
+    """The documents after both updates: what came has new ids in order of path, what failed or stayed the same its old record."""
+    index, walked, read = _two_states(spark, sf)
+    diff = index.diff(walked, "/corpus")
+    index.apply(walked, diff, read.join(diff.where("status in ('new', 'changed')").select("path"), "path", "left_semi"))
+    return index.docs().select("doc_id", "path", F.md5("text").alias("text_md5"), F.unix_seconds("mtime").alias("mtime"), F.col("segment").cast("long").alias("segment"))
+
+
+def parsed_files(spark, sf):
+    """Files of every kind with a text form, made from the documents, through the readers."""
+    docs, i = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null"), F.col("doc_id").cast("string")
+    source, lang = F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))
+    text = lambda *x: F.encode(F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x]), "UTF-8")
+    contents = {
+        ".txt": F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8")),
+        ".TEXT": F.concat(text("caf"), F.unhex(F.lit("E9")), text(" ", i)),
+        ".md": text("---\nid: ", i, "\n---\n# Title ", i, " \n\nSee [", source, "](u", i, ") for **", lang, "** and `x` [open\n"),
+        ".py": text("#!/bin/sh\nx = ", i, "  # note\ns = '# in'\n"),
+        ".rs": text("let a = ", i, "; // gone\n/* b\n */let s = \"// in\";\n"),
+        ".pdf": text("%PDF-1.4\n1 0 obj <</Title (Doc ", i, ")>> endobj\n2 0 obj <<>>\nstream\nBT (Hello \\(", i, "\\)) Tj T* [(wor) -20 (ld)] TJ ET\nendstream endobj"),
+        ".go": F.concat(text("bad "), F.unhex(F.lit("FF"))),
+        ".png": text("x"),
+    }
+    made = docs.select(F.explode(F.array(*[F.struct(F.concat(F.lit("/f/d"), i, F.lit(e)).alias("path"), c.alias("content")) for e, c in contents.items()])).alias("f")).select("f.*")
+    read = files.parse_contents(made)
+    return read.select("path", kind(F.col("path")).alias("kind"), F.coalesce(language(F.col("path")), F.lit("-")).alias("language"), F.coalesce(F.md5("text"), F.lit("-")).alias("text_md5"), F.coalesce("title", F.lit("-")).alias("title"), F.coalesce(F.regexp_extract("error", "^[A-Za-z]+", 0), F.lit("-")).alias("error"))
+
+
+def rendered_recent(spark, sf):
+    """The lines of a listing in two output formats."""
+    found = _docs(spark, sf).recent("60d", 20)
+    lines = [(form, k, line) for form in ("plain", "tsv") for k, line in enumerate(render(found.withColumn("snippet", F.lit("a\tb\nc")), form).split("\n"))]
+    return spark.createDataFrame(lines or [("", 0, "")], "form string, n long, line string").where("form != ''")
+
+
+def stems_and_spans(spark, sf):
+    """File names and stems of the documents; the proximity score of a number of their trigrams' spans."""
+    docs = corpus.documents(spark, sf).select("doc_id", "path")
+    spans = post.min_span_of_postings(post.build(corpus.documents(spark, sf)), list(SPAN))
+    rows = docs.join(spans, "doc_id", "left")
+    return rows.select("doc_id", file_name(F.col("path")).alias("name"), file_stem(F.col("path")).alias("stem"), F.round(proximity_score(F.col("span")), 9).alias("proximity"))
 
 
 QUERIES: dict[str, Query] = {
@@ -174,7 +251,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         normalize_text, word_tokens, snippets, doc_trigram_count, trigram_postings, trigram_df_topk, trigram_candidates_one_word, trigram_candidates_multi_word, search_score_topk, search_index_topk, search_title_boost,
         contextual_snippets, min_span_pair, meta_doc_type, meta_dates, meta_amounts, meta_emails, meta_entities, recent_topk, lsh_bands, lsh_cluster_sets, lsh_cluster_members, hamming_near, simhash_fingerprint, similar_topk, clusters_docs,
-        index_diff_status,
+        index_diff_status, index_update_stats, index_two_updates, parsed_files, rendered_recent, stems_and_spans,
     )
 } | {
     "query_type": _query("type:contract"),
@@ -278,6 +355,11 @@ def _bands_sql(n: int) -> str:
 
 
 _SETS = f"sets AS (SELECT DISTINCT list(doc_id ORDER BY doc_id) AS m FROM ({_bands_sql(4)}) GROUP BY band, value HAVING count(*) > 1)"
+_STATES = """first AS (
+  SELECT row_number() OVER (ORDER BY '/corpus/' || source || '/doc_' || doc_id || '.txt') - 1 AS id, '/corpus/' || source || '/doc_' || doc_id || '.txt' AS path, text, coalesce(lang, '-') AS lang, n_chars > 2000 AS long, 1704067200 - doc_id % 730 * 86400 AS mtime,
+    '/doc_' || doc_id || '.txt' AS file, source FROM documents WHERE text IS NOT NULL),
+walk AS (SELECT *, CASE WHEN lang = 'de' THEN 'new' WHEN (long OR lang = 'es') AND mtime != 1704067200 THEN 'changed' ELSE 'same' END AS status,
+  CASE WHEN lang = 'de' THEN '/corpus/moved/' ELSE '/corpus/' END || source || file AS new_path, CASE WHEN long OR lang = 'es' THEN 1704067200 ELSE mtime END AS new_mtime FROM first)"""
 _LETTER_GRAMS = f"{_META}, normal AS (SELECT *, trim(regexp_replace(lower(text), '{WS}', ' ', 'g'), ' ') AS norm FROM meta), {_grams('normal')}"
 _CONTRACT, _LARGE = "coalesce(doc_type = 'contract', false)", "len(list_filter(amounts, lambda a: a > 100000)) > 0"
 
@@ -301,6 +383,10 @@ ORACLE_SQL: dict[str, str] = {
     "min_span_pair": f"""WITH {_GRAMS}, pos AS (SELECT doc_id, i, t FROM gram WHERE t IN ('{SPAN[0].hex().upper()}', '{SPAN[1].hex().upper()}')),
       back AS (SELECT doc_id, i, max(CASE WHEN t = '{SPAN[0].hex().upper()}' THEN i END) OVER w AS a, max(CASE WHEN t = '{SPAN[1].hex().upper()}' THEN i END) OVER w AS b FROM pos WINDOW w AS (PARTITION BY doc_id ORDER BY i))
       SELECT doc_id, min(i - least(a, b)) AS span FROM back WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY doc_id""",
+    "stems_and_spans": f"""WITH {_GRAMS}, pos AS (SELECT doc_id, i, t FROM gram WHERE t IN ('{SPAN[0].hex().upper()}', '{SPAN[1].hex().upper()}')),
+      back AS (SELECT doc_id, i, max(CASE WHEN t = '{SPAN[0].hex().upper()}' THEN i END) OVER w AS a, max(CASE WHEN t = '{SPAN[1].hex().upper()}' THEN i END) OVER w AS b FROM pos WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+      s AS (SELECT doc_id, min(i - least(a, b)) AS span FROM back WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY doc_id)
+      SELECT doc_id, 'doc_' || doc_id || '.txt' AS name, 'doc_' || doc_id AS stem, round(CASE WHEN span IS NULL THEN 0e0 WHEN span = 0 THEN 1e0 ELSE 1 / (1 + greatest(ln(span::DOUBLE), 0e0)) END, 9) AS proximity FROM docs LEFT JOIN s USING (doc_id)""",
     "meta_doc_type": f"WITH {_META} SELECT coalesce(doc_type, '-') AS doc_type, count(*) AS n FROM meta GROUP BY 1",
     "meta_dates": f"WITH {_META} SELECT doc_id, strftime(unnest(dates), '%Y-%m-%d') AS d FROM meta",
     "meta_amounts": f"WITH {_META} SELECT doc_id, unnest(amounts) AS amount FROM meta",
@@ -320,8 +406,26 @@ ORACLE_SQL: dict[str, str] = {
     "lsh_cluster_members": f"""WITH {_NUMBERS}, {_SETS} SELECT doc_id, size, count(*) AS n FROM (SELECT unnest(m) AS doc_id, len(m)::BIGINT AS size FROM sets) GROUP BY doc_id, size""",
     "hamming_near": f"""WITH {_NUMBERS}, v AS (SELECT h, min(doc_id) AS id, count(*) AS n FROM fp GROUP BY h) SELECT x.id AS a, y.id AS b, bit_count(xor(x.h, y.h))::BIGINT AS distance, x.n AS n_a, y.n AS n_b
       FROM v x JOIN v y ON x.id < y.id WHERE bit_count(xor(x.h, y.h)) <= 3""",
-    "index_diff_status": """SELECT CASE WHEN doc_id % 7 = 0 THEN 'added' WHEN doc_id % 11 = 0 THEN 'removed' WHEN doc_id % 10 = 0 THEN 'added' ELSE 'skipped' END AS status, count(*) AS n
-      FROM documents WHERE doc_id % 7 != 0 OR doc_id % 11 != 0 GROUP BY 1""",
+    "index_diff_status": f"WITH {_STATES} SELECT status, count(*) AS n FROM walk GROUP BY status UNION ALL SELECT 'removed', count(*) FROM first WHERE lang = 'de' HAVING count(*) > 0",
+    "index_update_stats": f"""WITH {_STATES} SELECT count(*) FILTER (status != 'same' AND lang != 'fr' AND (lang = 'de' OR long)) AS added,
+      count(*) FILTER (status = 'same' OR status = 'changed' AND lang != 'fr' AND NOT long) AS skipped, count(*) FILTER (lang = 'de') AS removed, count(*) FILTER (lang = 'fr' AND status != 'same') AS errors FROM walk""",
+    "index_two_updates": f"""WITH {_STATES}, came AS (SELECT *, row_number() OVER (ORDER BY new_path) + (SELECT count(*) FROM first) - 1 AS new_id FROM walk WHERE status != 'same' AND lang != 'fr' AND (lang = 'de' OR long))
+      SELECT new_id AS doc_id, new_path AS path, md5(CASE WHEN long THEN text || chr(10) || 'more' ELSE text END) AS text_md5, new_mtime AS mtime, 1::BIGINT AS segment FROM came
+      UNION ALL SELECT id, path, md5(text), mtime, 0 FROM first WHERE lang != 'de' AND path NOT IN (SELECT new_path FROM came)""",
+    "parsed_files": """WITH d AS (SELECT '/f/d' || doc_id AS p, doc_id::VARCHAR AS i, text, coalesce(source, '') AS source, coalesce(lang, '') AS lang, chr(10) AS nl FROM documents WHERE text IS NOT NULL)
+      SELECT p || '.txt' AS path, 'text' AS kind, '-' AS language, md5(text) AS text_md5, '-' AS title, '-' AS error FROM d
+      UNION ALL SELECT p || '.TEXT', 'text', '-', md5('café ' || i), '-', '-' FROM d
+      UNION ALL SELECT p || '.md', 'markdown', '-', md5(nl || 'Title ' || i || nl || nl || 'See ' || source || ' for ' || lang || ' and x [open' || nl), 'Title ' || i, '-' FROM d
+      UNION ALL SELECT p || '.py', 'code', 'python', md5('#!/bin/sh' || nl || 'x = ' || i || nl || 's = ' || chr(39) || '# in' || chr(39)), 'd' || i || '.py', '-' FROM d
+      UNION ALL SELECT p || '.rs', 'code', 'rust', md5('let a = ' || i || '; ' || nl || 'let s = "// in";' || nl), 'd' || i || '.rs', '-' FROM d
+      UNION ALL SELECT p || '.pdf', 'pdf', '-', md5('Hello (' || i || ') world'), 'Doc ' || i, '-' FROM d
+      UNION ALL SELECT p || '.go', 'code', 'go', '-', '-', 'ParseError' FROM d
+      UNION ALL SELECT p || '.png', 'unknown', '-', '-', '-', 'UnsupportedFileType' FROM d""",
+    "rendered_recent": f"""WITH {_DOCS}, page AS (SELECT path, mtime FROM docs WHERE mtime >= 1704067200 - 60 * 86400 ORDER BY mtime DESC, path LIMIT 20),
+      hit AS (SELECT path, mtime / max(mtime) OVER ()::DOUBLE AS score FROM page), ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, path) AS k FROM hit)
+      SELECT 'tsv' AS form, k - 1 AS n, path || chr(9) || format('{{:.6f}}', score) || chr(9) || 'a b c' AS line FROM ranked
+      UNION ALL SELECT 'plain', 2 * k - 2, '[' || k || '] ' || path || ' (score: ' || format('{{:.3f}}', score) || ', type: doc)' FROM ranked
+      UNION ALL SELECT 'plain', 2 * k - 1, '    a' || chr(9) || 'b' FROM ranked""",
 }
 
 
