@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, file_name
+from .text import WS, file_name, let
 
 # Keywords of file names, then phrases of texts, in the order they are tried.
 NAME_KEYWORDS = [
@@ -31,12 +31,15 @@ MAX_ENTITIES = 50
 
 def doc_type(text: Column, path: Column) -> Column:
     """The first keyword that the file name holds, else the first phrase of the text, else null."""
-    name, lower, out = F.lower(file_name(path)), F.lower(text), F.lit(None).cast("string")
-    for phrase, label in reversed(TEXT_PHRASES):
-        out = F.when(F.contains(lower, F.lit(phrase)), label).otherwise(out)
-    for keyword, label in reversed(NAME_KEYWORDS):
-        out = F.when(F.contains(name, F.lit(keyword)), label).otherwise(out)
-    return out
+
+    def first(known: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for source, table in (("lower", reversed(TEXT_PHRASES)), ("name", reversed(NAME_KEYWORDS))):
+            for words, label in table:
+                out = F.when(F.contains(known[source], F.lit(words)), label).otherwise(out)
+        return out
+
+    return let(F.struct(F.lower(file_name(path)).alias("name"), F.lower(text).alias("lower")), first)
 
 
 def parse_date(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +44,40 @@ def build(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "norm").mapInArrow(_windows, SCHEMA)
 
 
+def _codes(text: str | None) -> np.ndarray:
+    """The byte trigrams of a text in order, as integers."""
+    data = np.frombuffer((text or "").encode(), np.uint8).astype(np.int32)
+    return data[:-2] << 16 | data[1:-1] << 8 | data[2:] if len(data) > 2 else np.empty(0, np.int32)
+
+
+def counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_trigrams, n_positions): distinct trigrams of ``norm`` and all."""
+
+    def run(batches):
+        for batch in batches:
+            found = [_codes(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(np.unique(x)) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64())], ["doc_id", "n_trigrams", "n_positions"])
+
+    return docs.select("doc_id", "norm").mapInArrow(run, "doc_id long, n_trigrams long, n_positions long")
+
+
+def hits(text: Column, wanted: list[bytes]) -> Column:
+    """struct(m, p): how many of the trigrams a text has, and how often they occur in all, overlaps too."""
+    asked = np.sort(np.array([code(t) for t in wanted], np.int32))
+
+    def count(own: str) -> tuple[int, int]:
+        codes = _codes(own)
+        at = np.minimum(np.searchsorted(asked, codes), len(asked) - 1)
+        found = at[asked[at] == codes]
+        return len(np.unique(found)), len(found)
+
+    @F.pandas_udf("m int, p int")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([count(t) for t in texts] if len(asked) else [(0, 0)] * len(texts), columns=["m", "p"])
+
+    return run(text)
+
+
 def write(postings: DataFrame, path: str, mode: str = "append") -> None:
     """Sorted by trigram over the whole table, so that a lookup reads few row groups."""
     postings.repartitionByRange("trigram").sortWithinPartitions("trigram", "doc_id").write.mode(mode).parquet(path)

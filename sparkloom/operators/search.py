@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fingerprint, score
-from ..functions.text import contextual_snippet, full_content, let, query_trigrams, split_words, trigrams, under, utf8
+from ..functions.text import contextual_snippet, full_content, let, query_trigrams, split_words, under, utf8
 from . import dsl, postings as post
 
 RESULT = ["path", "score", "type", "snippet", "content"]
@@ -46,10 +46,8 @@ def scan_candidates(docs: DataFrame, text: str) -> DataFrame:
 
 def scan_features(docs: DataFrame, text: str) -> DataFrame:
     """Adds ``matched`` (query trigrams that occur) and ``positions`` (how often, overlaps too)."""
-    wanted = F.array(*[F.lit(t) for t in all_trigrams(text)]) if all_trigrams(text) else F.array().cast("array<binary>")
-    hits = F.filter(trigrams(utf8(F.col("norm"))), lambda t: F.array_contains(wanted, t))
-    counted = let(hits, lambda h: F.struct(F.size(F.array_distinct(h)).alias("m"), F.size(h).alias("p")))
-    return docs.withColumn("_hits", counted).withColumns({"matched": F.col("_hits.m"), "positions": F.col("_hits.p")}).drop("_hits")
+    found = docs.withColumn("_hits", post.hits(F.col("norm"), all_trigrams(text)))
+    return found.withColumns({"matched": F.col("_hits.m"), "positions": F.col("_hits.p")}).drop("_hits")
 
 
 @dataclass(frozen=True)
@@ -151,7 +149,7 @@ class Engine:
         if under_path is not None:
             live = live.where(under(F.col("path"), under_path))
         posted, sets = lsh_sets(live.select("path", "simhash"), bands, "path")
-        sets = sets.orderBy(F.desc("size"), "first", "set")
+        sets = sets.orderBy(F.desc("size"), "first", "last", "set")
         sets = sets if limit is None else sets.limit(limit)
         members = posted.join(sets, "b").select("set", "size", "first", "id")
         if shown is not None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fingerprint, meta
 from .. import scratch
 from ..functions.score import proximity_score
-from ..functions.text import WS, contextual_snippet, file_name, file_stem, distinct_trigrams, snippet, utf8, words
+from ..functions.text import WS, contextual_snippet, file_name, file_stem, snippet, words
 from ..operators import postings as post
 from ..operators.search import Engine, hamming_pairs, lsh_clusters, lsh_sets, scan_candidates, word_trigrams
 from ..sources import corpus, files
@@ -52,8 +52,7 @@ def snippets(spark, sf):
 
 
 def doc_trigram_count(spark, sf):
-    data = utf8(F.col("norm"))
-    return corpus.documents(spark, sf).select("doc_id", F.size(distinct_trigrams(data)).cast("long").alias("n_trigrams"), F.greatest(F.octet_length(data) - 2, F.lit(0)).cast("long").alias("n_positions"))
+    return post.counts(corpus.documents(spark, sf))
 
 
 def _hex(trigram):
@@ -83,8 +82,10 @@ def search_score_topk(spark, sf):
 
 
 def search_index_topk(spark, sf):
-    docs = corpus.documents(spark, sf)
-    return _rounded(Engine(docs, corpus.AS_OF, post.build(docs)).search(SEARCH, 20))
+    """Over stored postings: candidates and frequencies are two reads of the query's trigrams."""
+    docs, path = corpus.documents(spark, sf), scratch.folder(spark, "postings")
+    post.write(post.build(docs), path)
+    return _rounded(Engine(docs, corpus.AS_OF, spark.read.schema(post.SCHEMA).parquet(path)).search(SEARCH, 20))
 
 
 def search_title_boost(spark, sf):
@@ -128,26 +129,26 @@ def recent_topk(spark, sf):
     return _rounded(_docs(spark, sf).recent("60d", 20))
 
 
-def _numbers(spark, sf):
-    """A fingerprint that both engines can compute."""
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", (F.col("n_chars") * 2654435761 + F.col("doc_id") % 7).alias("simhash"))
+def _fingerprinted(spark, sf):
+    """Documents with their SimHash, stored, as an index has them: no request computes it again."""
+    return scratch.stored(corpus.documents(spark, sf).select("doc_id", "path", "doc_type", "simhash"), "fingerprints")
 
 
 def lsh_bands(spark, sf):
-    return _numbers(spark, sf).select("doc_id", F.explode(fingerprint.bands(F.col("simhash"), 8)).alias("b")).select("doc_id", F.col("b.band").cast("long").alias("band"), "b.value")
+    return _fingerprinted(spark, sf).select("doc_id", F.explode(fingerprint.bands(F.col("simhash"), 8)).alias("b")).select("doc_id", F.col("b.band").cast("long").alias("band"), "b.value")
 
 
 def lsh_cluster_sets(spark, sf):
-    return lsh_sets(_numbers(spark, sf), 4)[1].select("size", "first", "last")
+    return lsh_sets(_fingerprinted(spark, sf), 4)[1].select("size", "first", "last")
 
 
 def lsh_cluster_members(spark, sf):
     """How many sets of each size a document is in."""
-    return lsh_clusters(_numbers(spark, sf), 4).groupBy(F.col("id").alias("doc_id"), "size").agg(F.count("*").alias("n"))
+    return lsh_clusters(_fingerprinted(spark, sf), 4).groupBy(F.col("id").alias("doc_id"), "size").agg(F.count("*").alias("n"))
 
 
 def hamming_near(spark, sf):
-    return hamming_pairs(_numbers(spark, sf), 4, 3).select("a", "b", F.col("distance").cast("long").alias("distance"), "n_a", "n_b")
+    return hamming_pairs(_fingerprinted(spark, sf), 4, 3).select("a", "b", F.col("distance").cast("long").alias("distance"), "n_a", "n_b")
 
 
 def simhash_fingerprint(spark, sf):
@@ -155,15 +156,14 @@ def simhash_fingerprint(spark, sf):
 
 
 def similar_topk(spark, sf):
-    engine = _docs(spark, sf)
-    return _rounded(engine.similar("/corpus/src0/doc_0.txt", limit=20))
+    return _rounded(Engine(_fingerprinted(spark, sf), corpus.AS_OF).similar("/corpus/src0/doc_0.txt", limit=20))
 
 
 def clusters_docs(spark, sf):
-    return _docs(spark, sf).clusters(4).select("size", F.array_join("members", ",").alias("members"), "more")
+    return Engine(_fingerprinted(spark, sf), corpus.AS_OF).clusters(4).select("size", F.array_join("members", ",").alias("members"), "more")
 
 
-def _two_states(spark, sf):
+def _two_states(spark, sf, postings=False):
     """An index of all documents, and the files of a later walk with their contents.
 
     Until then the German documents have moved to another folder, the long ones got a line and a new time, the
@@ -181,7 +181,7 @@ def _two_states(spark, sf):
         return walked, read
 
     before, after = corpus.mtime_of(F.col("doc_id")), F.lit(corpus.AS_OF)
-    index = Index(spark, scratch.folder(spark, "index"), with_postings=False)
+    index = Index(spark, scratch.folder(spark, "index"), with_postings=postings)
     walked, read = state(F.lit("/corpus/"), F.col("text"), before, F.lit(None).cast("string"))
     index.apply(walked, index.diff(walked, "/corpus"), read)
     moved = F.when(F.col("lang") == "de", "/corpus/moved/").otherwise("/corpus/")
@@ -205,7 +205,7 @@ def index_update_stats(spark, sf):
 
 def index_two_updates(spark, sf):
     """The documents after both updates: what came has new ids in order of path, what failed or stayed the same its old record."""
-    index, walked, read = _two_states(spark, sf)
+    index, walked, read = _two_states(spark, sf, True)
     diff = index.diff(walked, "/corpus")
     index.apply(walked, diff, read.join(diff.where("status in ('new', 'changed')").select("path"), "path", "left_semi"))
     return index.docs().select("doc_id", "path", F.md5("text").alias("text_md5"), F.unix_seconds("mtime").alias("mtime"), F.col("segment").cast("long").alias("segment"))
@@ -344,14 +344,73 @@ def _query_sql(predicate: str, structural: str, source: str = "meta", limit: int
     SELECT path, round(s, 6) AS score FROM scored ORDER BY s DESC, path LIMIT {limit}"""
 
 
-_FP = "(n_chars * 2654435761 + doc_id % 7)"
-_NUMBERS = f"fp AS (SELECT doc_id, {_FP} AS h FROM documents WHERE {_FP} != 0)"
+# The primes of XXH64.
+_P1, _P2, _P3, _P4, _P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+_U = "18446744073709551616::UHUGEINT"
+
+
+def _turn(x: str, bits: int) -> str:
+    """x, under 2**64, rotated left: a product modulo 2**64 - 1 (wrong for that number itself only)."""
+    return f"(({x}) * {1 << bits}::UHUGEINT % ({_U} - 1))"
+
+
+def _round(x: str, word: str) -> str:
+    return f"({_turn(f'({x} + {word} * {_P2}::UHUGEINT) % {_U}', 31)} * {_P1}::UHUGEINT % {_U})"
+
+
+def _merge(x: str, lane: str) -> str:
+    return f"((xor({x}, {_round('0::UHUGEINT', lane)}) * {_P1}::UHUGEINT + {_P4}) % {_U})"
+
+
+def _lane(j: int, start: int) -> str:
+    own = f"list_transform(range(0, L // 32), lambda i: w[4 * i + {j + 1}])"
+    return f"list_reduce(list_prepend({start % (1 << 64)}::UHUGEINT, {own}), lambda x, k: {_round('x', 'k')})"
+
+
+def _fold(start: str, items: str, step: str) -> str:
+    return f"list_reduce(list_prepend({start}, {items}), lambda x, k: {step})"
+
+
+def _xxh64_ctes(source: str) -> str:
+    """CTE ``xxh`` with (s, h): XXH64 of the distinct strings s of a source; every step of the hash spelled out."""
+    little = lambda at, n: "('0x' || " + " || ".join(f"substr(x, 2 * ({at}) + {2 * k + 1}, 2)" for k in reversed(range(n))) + ")::UBIGINT::UHUGEINT"
+    turned = " + ".join(_turn(f"v{j + 1}", r) for j, r in enumerate((1, 7, 12, 18)))
+    merged = f"({turned}) % {_U}"
+    for j in range(4):
+        merged = _merge(merged, f"v{j + 1}")
+    eight = f"({_turn(f'xor(x, {_round("0::UHUGEINT", "k")})', 27)} * {_P1}::UHUGEINT + {_P4}) % {_U}"
+    four = f"({_turn(f'xor(h, ({little("L // 8 * 8", 4)}) * {_P1}::UHUGEINT % {_U})', 23)} * {_P2}::UHUGEINT + {_P3}) % {_U}"
+    one = f"{_turn(f'xor(x, k * {_P5}::UHUGEINT % {_U})', 11)} * {_P1}::UHUGEINT % {_U}"
+    tail = f"list_transform(range(L - L % 4, L), lambda i: {little('i', 1)})"
+    return f"""x0 AS (SELECT DISTINCT s FROM {source}),
+x1 AS (SELECT s, hex(encode(s)) AS x, strlen(s) AS L FROM x0),
+x2 AS (SELECT s, x, L, list_transform(range(0, L // 8), lambda i: {little('8 * i', 8)}) AS w FROM x1),
+x3 AS (SELECT *, {_lane(0, _P1 + _P2)} AS v1, {_lane(1, _P2)} AS v2, {_lane(2, 0)} AS v3, {_lane(3, -_P1)} AS v4 FROM x2),
+x4 AS (SELECT s, x, L, w, (CASE WHEN L >= 32 THEN {merged} ELSE {_P5}::UHUGEINT END + L::UHUGEINT) % {_U} AS h FROM x3),
+x5 AS (SELECT s, x, L, {_fold('h', 'w[L // 32 * 4 + 1:]', eight)} AS h FROM x4),
+x6 AS (SELECT s, x, L, CASE WHEN L % 8 >= 4 THEN {four} ELSE h END AS h FROM x5),
+x7 AS (SELECT s, {_fold('h', tail, one)}::UBIGINT AS h FROM x6),
+x8 AS (SELECT s, (xor(h, h >> 33)::UHUGEINT * {_P2}::UHUGEINT % {_U})::UBIGINT AS h FROM x7),
+x9 AS (SELECT s, (xor(h, h >> 29)::UHUGEINT * {_P3}::UHUGEINT % {_U})::UBIGINT AS h FROM x8),
+xxh AS (SELECT s, xor(h, h >> 32) AS h FROM x9)"""
+
+
+_BITS = ", ".join(f"sum((h >> {i}) & 1) AS b{i}" for i in range(64))
+_VALUE = " + ".join(f"(2 * b{i} > n)::UHUGEINT * {1 << i}::UHUGEINT" for i in range(64))
+_NUMBERS = f"""{_DOCS}, word AS (SELECT doc_id, list_filter(string_split(norm, ' '), lambda x: x <> '') AS w FROM docs),
+shingle AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS s FROM word),
+{_xxh64_ctes('shingle')},
+vote AS (SELECT doc_id, count(*) AS n, {_BITS} FROM shingle JOIN xxh USING (s) GROUP BY doc_id),
+simhash AS (SELECT doc_id, path, CASE WHEN v IS NULL THEN 0 WHEN v >= 9223372036854775808 THEN (v::HUGEINT - 18446744073709551616)::BIGINT ELSE v::BIGINT END AS h
+  FROM docs LEFT JOIN (SELECT doc_id, {_VALUE} AS v FROM vote) USING (doc_id)),
+fp AS (SELECT * FROM simhash WHERE h != 0)"""
 
 
 def _bands_sql(n: int) -> str:
     width = 64 // n
     mask = (1 << width) - 1
-    return " UNION ALL ".join(f"SELECT doc_id, h, {i} AS band, (h >> {i * width}) & {mask} AS value FROM fp" for i in range(n))
+    # an arithmetic shift brings in ones only above a band's bits
+    return " UNION ALL ".join(f"SELECT doc_id, path, h, {i} AS band, (h >> {i * width}) & {mask} AS value FROM fp" for i in range(n))
 
 
 _SETS = f"sets AS (SELECT DISTINCT list(doc_id ORDER BY doc_id) AS m FROM ({_bands_sql(4)}) GROUP BY band, value HAVING count(*) > 1)"
@@ -406,6 +465,11 @@ ORACLE_SQL: dict[str, str] = {
     "lsh_cluster_members": f"""WITH {_NUMBERS}, {_SETS} SELECT doc_id, size, count(*) AS n FROM (SELECT unnest(m) AS doc_id, len(m)::BIGINT AS size FROM sets) GROUP BY doc_id, size""",
     "hamming_near": f"""WITH {_NUMBERS}, v AS (SELECT h, min(doc_id) AS id, count(*) AS n FROM fp GROUP BY h) SELECT x.id AS a, y.id AS b, bit_count(xor(x.h, y.h))::BIGINT AS distance, x.n AS n_a, y.n AS n_b
       FROM v x JOIN v y ON x.id < y.id WHERE bit_count(xor(x.h, y.h)) <= 3""",
+    "simhash_fingerprint": f"WITH {_NUMBERS} SELECT doc_id, h AS simhash FROM simhash",
+    "similar_topk": f"""WITH {_NUMBERS}, d AS (SELECT path, bit_count(xor(h, (SELECT h FROM simhash WHERE path = '/corpus/src0/doc_0.txt'))) AS d FROM fp WHERE path != '/corpus/src0/doc_0.txt')
+      SELECT path, round(1 - d / 64e0, 6) AS score FROM d ORDER BY d, path LIMIT 20""",
+    "clusters_docs": f"""WITH {_NUMBERS}, c AS (SELECT DISTINCT list(path ORDER BY path) AS m FROM ({_bands_sql(4)}) GROUP BY band, value HAVING count(*) > 1)
+      SELECT len(m)::INT AS size, array_to_string(m[1:5], ',') AS members, greatest(len(m) - 5, 0)::INT AS more FROM c ORDER BY len(m) DESC, m[1], m[-1] LIMIT 20""",
     "index_diff_status": f"WITH {_STATES} SELECT status, count(*) AS n FROM walk GROUP BY status UNION ALL SELECT 'removed', count(*) FROM first WHERE lang = 'de' HAVING count(*) > 0",
     "index_update_stats": f"""WITH {_STATES} SELECT count(*) FILTER (status != 'same' AND lang != 'fr' AND (lang = 'de' OR long)) AS added,
       count(*) FILTER (status = 'same' OR status = 'changed' AND lang != 'fr' AND NOT long) AS skipped, count(*) FILTER (lang = 'de') AS removed, count(*) FILTER (lang = 'fr' AND status != 'same') AS errors FROM walk""",
