@@ -50,6 +50,24 @@ def scan_features(docs: DataFrame, text: str) -> DataFrame:
     return found.withColumns({"matched": F.col("_hits.m"), "positions": F.col("_hits.p")}).drop("_hits")
 
 
+def overlap_candidates(docs: DataFrame, text: str, share: float) -> DataFrame:
+    """Documents that have at least this share of the trigrams of any word: misspelt words find theirs."""
+    enough = []
+    for word in word_trigrams(text):
+        enough.append(post.hits(F.col("norm"), word)["m"] >= share * len(word))
+    return docs.where(_any(enough) if enough else F.lit(False))
+
+
+def holds_phrases(node: dsl.Node) -> Column:
+    """Whether the normalised text has every phrase of a tree as it is written; those under NOT and in a branch of OR aside."""
+    match node:
+        case dsl.Phrase(text) if text.strip():
+            return F.contains(F.col("norm"), F.lit(" ".join(split_words(text.lower()))))
+        case dsl.And(left, right):
+            return holds_phrases(left) & holds_phrases(right)
+    return F.lit(True)
+
+
 @dataclass(frozen=True)
 class Engine:
     """Requests over documents at a moment, which makes results repeatable."""
@@ -93,17 +111,26 @@ class Engine:
     def top(scored: DataFrame, limit: int) -> DataFrame:
         return scored.orderBy(F.desc("score"), "path").limit(limit)
 
-    def search(self, text: str, limit: int = 10, context: int = 150, full: bool = False) -> DataFrame:
-        """Documents with all trigrams of any word, best first; none if no word has a trigram."""
-        best = self.top(self.scored(self.candidates(text), text).where("score > 0"), limit)
+    def search(self, text: str, limit: int = 10, context: int = 150, full: bool = False, min_overlap: float | None = None) -> DataFrame:
+        """Documents with all trigrams of any word, best first; none if no word has a trigram.
+
+        With ``min_overlap``, that share of a word's trigrams is enough; the texts are scanned then.
+        """
+        found = self.candidates(text) if min_overlap is None else overlap_candidates(self.docs, text, min_overlap)
+        best = self.top(self.scored(found, text).where("score > 0"), limit)
         content = full_content(F.col("text")) if full else F.lit(None).cast("string")
         return best.select("path", "score", F.col("doc_type").alias("type"), contextual_snippet(F.col("text"), text, F.col("snippet"), context).alias("snippet"), content.alias("content")).orderBy(F.desc("score"), "path")
 
-    def query(self, expression: str, limit: int = 10) -> DataFrame:
-        """Documents that pass the filter; its words retrieve as in ``search``, without any all documents are taken."""
+    def query(self, expression: str, limit: int = 10, strict_phrase: bool = False) -> DataFrame:
+        """Documents that pass the filter; its words retrieve as in ``search``, without any all documents are taken.
+
+        With ``strict_phrase``, phrases also have to occur as they are written, up to case and white space.
+        """
         node = dsl.parse_query(expression)
         text = dsl.text_of(node)
         found = self.candidates(text) if all_trigrams(text) else self.docs
+        if strict_phrase:
+            found = found.where(holds_phrases(node))
         best = self.top(self.scored(found.where(dsl.predicate(node, self.seconds)), text, node), limit)
         return best.select("path", "score", F.col("doc_type").alias("type"), "snippet", F.lit(None).cast("string").alias("content")).orderBy(F.desc("score"), "path")
 

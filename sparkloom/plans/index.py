@@ -117,11 +117,16 @@ class Index:
         return w.join(d, "path", "full_outer").select("path", status.alias("status"))
 
     def update(self, root: str, full: bool = False) -> IndexStats:
-        """Bring the index up to date with the files below a root; other roots' documents stay.
+        """Bring the index up to date with the files below a root, a folder or an address with a scheme; other roots' documents stay.
 
         A file of the same time is skipped unread, one with the same bytes after
         reading, unless ``full``. A file that fails to parse keeps its old record.
         """
+        if "://" in root:  # a store: listed and read by Spark, on the executors
+            root = files.qualified(self.spark, root)
+            walked = files.binary_frame(self.spark, root)
+            diff = self.diff(walked, root, full)
+            return self.apply(walked, diff, files.read_store(self.spark, root, diff.where("status in ('new', 'changed')")), full)
         root = os.path.abspath(root)
         walked = files.walk_frame(self.spark, root)
         diff = self.diff(walked, root, full)

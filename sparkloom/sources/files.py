@@ -68,6 +68,18 @@ def binary_frame(spark: SparkSession, root: str) -> DataFrame:
     return rows.where("kind != 'unknown'")
 
 
+def qualified(spark: SparkSession, root: str) -> str:
+    """An address as Spark's file sources write it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
+def read_store(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
+    """The same as ``read`` for files of any store that Spark reads; an error of parsing is kept in its row."""
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(kind(F.col("path")) != "unknown")
+    return parse_contents(every.join(paths.select("path"), "path", "left_semi"))
+
+
 def _parse(rows):
     out = {c: [] for c in ("path", "file_hash", "text", "title", "error")}
     for path, data, error in rows:

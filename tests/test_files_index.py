@@ -7,7 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom import cli
+from sparkloom import cli, server
 from sparkloom.errors import IndexNotFound, ParseError, UnsupportedFileType
 from sparkloom.operators.search import Engine, lsh_clusters
 from sparkloom.plans.index import Index, IndexStats, resolve_index
@@ -204,3 +204,50 @@ def test_clusters_count_equal_sets_once(spark):
     shown = Engine(many).clusters(2, "/d").collect()
     assert [(r["size"], r["members"], r["more"]) for r in shown] == [(12, [f"/d/{i:02d}" for i in range(5)], 7)]
     assert Engine(many).clusters(2, shown=None).first()["more"] == 0
+
+
+def test_store_index(spark, folder, tmp_path):
+    """A root with a scheme is listed and read by Spark alone; ignore files don't count there."""
+    index = Index(spark, str(tmp_path / "index"))
+    root = f"file://{folder}"
+    assert index.update(root) == IndexStats(5, 0, 0, 1)  # without _under.txt, with skip.txt
+    assert names(index.docs()) == ["deal.txt", "latin.txt", "main.rs", "report.md", "skip.txt"]
+    assert index.update(root) == IndexStats(0, 5, 0, 1)
+    (folder / "latin.txt").unlink()
+    assert index.update(root) == IndexStats(0, 4, 1, 1)
+    assert names(Engine(index.docs(), postings=index.postings()).search("agreement")) == ["deal.txt"]
+
+
+def test_search_modes(spark):
+    rows = [("/a", "the purchase agreement stands"), ("/b", "agreement on a purchase"), ("/c", "nothing here")]
+    docs = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "doc_id long, path string, text string").selectExpr(
+        "doc_id", "path", "text", "text as norm", "text as snippet", "cast(null as string) as title", "cast(null as string) as doc_type", "timestamp'2024-01-01' as mtime"
+    )
+    engine = Engine(docs)
+    assert engine.search("agreemant").count() == 0 and names(engine.search("agreemant", min_overlap=0.5)) == ["a", "b"]
+    assert names(engine.query('"purchase agreement"')) == ["a", "b"] and names(engine.query('"Purchase  agreement"', strict_phrase=True)) == ["a"]
+
+
+def test_tool_server(spark, folder, tmp_path):
+    index, out = str(tmp_path / "index"), []
+    ask = [
+        {"id": 1, "method": "initialize"}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"},
+        {"id": 3, "method": "tools/call", "params": {"name": "index", "arguments": {"path": str(folder)}}},
+        {"id": 4, "method": "tools/call", "params": {"name": "search", "arguments": {"text": "agreement", "limit": 3, "full_content": True}}},
+        {"id": 5, "method": "tools/call", "params": {"name": "query", "arguments": {"expression": "()"}}},
+        {"id": 6, "method": "tools/call", "params": {"name": "search", "arguments": {}}}, {"id": 7, "method": "nothing"}, {"id": 8, "method": "tools/call", "params": {"name": "recent", "arguments": {"limit": "x"}}},
+    ]
+    server.serve([*map(json.dumps, ask), "", "no json", "[]"], lambda t: out.append(json.loads(t)), lambda verb, args: server.call(spark, verb, args, index))
+    by_id = {m["id"]: m for m in out}
+    assert [m["id"] for m in out] == [1, 2, 3, 4, 5, 6, 7, 8, None, None]
+    assert [t["name"] for t in by_id[2]["result"]["tools"]] == ["index", "search", "query", "similar", "recent", "clusters"]
+    assert by_id[2]["result"]["tools"][1]["inputSchema"]["required"] == ["text"]
+    text = lambda i: by_id[i]["result"]["content"][0]["text"]
+    assert text(3) == "added 5, skipped 0, removed 0, errors 1" and "deal.txt" in text(4) and "names $25,000" in text(4)
+    assert by_id[5]["result"]["isError"] and text(5).startswith("error: ")
+    assert text(6) == "error: search needs text" and by_id[7]["error"]["code"] == -32601 and by_id[8]["result"]["isError"]
+
+
+def test_pdf_hexadecimal_strings():
+    data = b"%PDF-1.4\n2 0 obj <<>>\nstream\nBT <48656C 6C6F> Tj [<20> -3 (wor) <6c64>] TJ ET\nendstream endobj"
+    assert parsers.pdf(data, "/x/y.pdf") == ("Hello world", "y")
