@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from array import array
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, documents, draw, held, slices
+from .common import crc_mod, documents, draw, held, slices, trim
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -62,13 +63,14 @@ class Table:
     more: np.ndarray
 
 
-def log_frequencies(counts: dict[str, dict[int, float]], n_langs: int) -> Table:
-    """Add-half smoothed log frequencies."""
-    langs = np.array([lang for row in counts.values() for lang in row], np.int32)
-    values = np.array([n for row in counts.values() for n in row.values()], np.float64)
-    base = math.log(0.5) - np.log(np.bincount(langs, values, n_langs) + 0.5 * max(1, len(counts)))
-    starts = np.concatenate([[0], np.cumsum([len(row) for row in counts.values()], dtype=np.int64)]).astype(np.int64)
-    return Table({k: i for i, k in enumerate(counts)}, base, starts, langs, np.log(2 * values + 1).astype(np.float32))
+def log_frequencies(keys: dict[str, int], rows: array, weights: array, n_langs: int) -> Table:
+    """Add-half smoothed log frequencies; ``rows`` has key * n_langs + language of each count in ``weights``."""
+    cells, own = np.unique(np.frombuffer(rows, np.int64) if rows else np.empty(0, np.int64), return_inverse=True)
+    values = np.bincount(own, np.frombuffer(weights, np.float64) if weights else np.empty(0), len(cells))
+    langs = cells % max(1, n_langs)
+    base = math.log(0.5) - np.log(np.bincount(langs, values, n_langs) + 0.5 * max(1, len(keys)))
+    starts = np.searchsorted(cells, np.arange(len(keys) + 1) * n_langs)
+    return Table(keys, base, starts, langs.astype(np.int32), np.log(2 * values + 1).astype(np.float32))
 
 
 @dataclass
@@ -113,17 +115,26 @@ class LanguageModel:
 def build_model(rows: list[tuple[str, str, int]], min_count: int = 2) -> LanguageModel:
     """rows: (language, word, count). Words below min_count only feed the n-grams."""
     langs = sorted({lang for lang, _, _ in rows})
-    at = {lang: i for i, lang in enumerate(langs)}
-    by_word: dict[str, dict[int, float]] = defaultdict(lambda: defaultdict(float))
-    by_gram: list[dict[str, dict[int, float]]] = [defaultdict(lambda: defaultdict(float)) for _ in range(MAX_N)]
-    for lang, word, n in sorted(rows):
-        by_word[word][at[lang]] += n
-        weight = 1 + math.log(n)
-        for table, size in zip(by_gram, range(MAX_N, 0, -1), strict=True):
+    at, totals = {lang: i for i, lang in enumerate(langs)}, Counter()
+    for _, word, n in rows:
+        totals[word] += n
+    known = {w: i for i, w in enumerate(w for w, n in totals.items() if n >= min_count)}
+    cells, weights = array("q"), array("d")
+    for lang, word, n in rows:
+        if word in known:
+            cells.append(known[word] * len(langs) + at[lang])
+            weights.append(n)
+    tables = [log_frequencies(known, cells, weights, len(langs))]
+    for size in range(MAX_N, 0, -1):
+        keys: dict[str, int] = {}
+        cells, weights = array("q"), array("d")
+        for lang, word, n in rows:
+            weight = 1 + math.log(n)
             for g in grams(word, size):
-                table[g][at[lang]] += weight
-    known = {w: row for w, row in by_word.items() if sum(row.values()) >= min_count}
-    return LanguageModel(langs, [log_frequencies(t, len(langs)) for t in (known, *by_gram)])
+                cells.append(keys.setdefault(g, len(keys)) * len(langs) + at[lang])
+                weights.append(weight)
+        tables.append(log_frequencies(keys, cells, weights, len(langs)))
+    return LanguageModel(langs, tables)
 
 
 def _count_words(batches):
@@ -154,7 +165,10 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
         rows.select("lang", "t").mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     )
     found = counted.toArrow()  # bounded by the sample
-    return build_model(list(zip(*(found.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True)))
+    model = build_model(sorted(zip(*(found.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True)))
+    del found
+    trim()
+    return model
 
 
 class Predictor:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, documents, draw, held, slices
+from .common import crc_mod, documents, draw, held, slices, trim
 from .langid import share_model
 
 NGRAMS = (3, 4, 5)
@@ -212,18 +212,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # bounded by docs_per_class for each of two classes, so it may be broadcast
     drawn = marks.where(draw(F.col("i"), share, "quality")).select("i", "y")
     texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
-    rows = texts.join(F.broadcast(drawn), "i").select("i", "y", "t").mapInArrow(_bags, "i long, y int, print binary, at binary, reps binary").collect()
+    rows = texts.join(F.broadcast(drawn), "i").select("i", "y", "t").mapInArrow(_bags, "i long, y int, t string, at binary, reps binary, print binary").collect()
     rows.sort(key=lambda r: (r["i"], r["print"]))
-    return train([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["reps"], np.int32)) for r in rows], [r["y"] for r in rows], [0, 1])
+    bags = [bag(r["t"], BITS) if r["at"] is None else (np.frombuffer(r["at"], np.int32), np.frombuffer(r["reps"], np.int32)) for r in rows]
+    model = train([(at.astype(np.int32), reps.astype(np.int32)) for at, reps in bags], [r["y"] for r in rows], [0, 1])
+    del rows, bags
+    trim()
+    return model
 
 
 def _bags(batches):
-    """Texts as bags: at most 2**bits numbers each, however long a text is, go to the driver."""
+    """What the driver gets of each text: its bag of at most 2**bits numbers, or the text itself where that is shorter."""
     for batch in (part for whole in batches for part in slices(whole, 2)):
-        texts = [t or "" for t in batch.column(2).to_pylist()]
-        bags = [bag(t, BITS) for t in texts]
-        columns = [[xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts], *([x[k].astype(np.int32).tobytes() for x in bags] for k in (0, 1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.binary()) for c in columns)], ["i", "y", "print", "at", "reps"])
+        out = []
+        for t in batch.column(2).to_pylist():
+            raw = (t or "").encode("utf-8", "surrogatepass")
+            at, reps = (x.astype(np.int32).tobytes() for x in bag(t or "", BITS))
+            small = len(raw) <= len(at) + len(reps)
+            out.append((t or "", None, None, xxhash.xxh3_128_digest(raw)) if small else (None, at, reps, xxhash.xxh3_128_digest(raw)))
+        columns = [pa.array([x[k] for x in out], pa.string() if k == 0 else pa.binary()) for k in range(4)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["i", "y", "t", "at", "reps", "print"])
 
 
 def scorer_of(shared) -> Scorer:
