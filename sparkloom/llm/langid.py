@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from array import array
 from collections import Counter
 from dataclasses import dataclass
@@ -244,16 +245,21 @@ class Predictor:
         return self.predict_all([text])[0]
 
 
-def predictor_of(shared) -> Predictor:
-    """One predictor a worker process and broadcast model."""
-    return held(shared.value["key"], lambda: Predictor(shared.value["model"]))
+class Shared:
+    """A broadcast model and its key, which a worker can compare before it loads the model."""
 
+    def __init__(self, spark, model):
+        self.key, self.model = uuid.uuid4().hex, spark.sparkContext.broadcast(model)
 
-def share_model(spark, model):
-    """Broadcast a model; its size is bounded by its training sample."""
-    import uuid
 
-    return spark.sparkContext.broadcast({"key": uuid.uuid4().hex, "model": model})
+def predictor_of(shared: Shared) -> Predictor:
+    """One predictor a worker process and broadcast model; what the process held before goes first."""
+    return held(shared.key, lambda: Predictor(shared.model.value))
+
+
+def share_model(spark, model) -> Shared:
+    """Broadcast a model; its size is bounded by its training sample."""
+    return Shared(spark, model)
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

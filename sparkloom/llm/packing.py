@@ -26,6 +26,10 @@ from .common import documents, materialize, slices
 from .tokens import encoder_of
 
 
+#: Words whose ids a worker remembers; the dict of so many doesn't grow to its next size.
+MEMORY = 650_000
+
+
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> list[int]:
     """A multiset of available lengths with the largest sum that is at most ``room``, longer ones first.
 
@@ -83,7 +87,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
 
     def run(batches):
-        encode = encoder_of(tokenizer).encode
+        encode = encoder_of(tokenizer, MEMORY).encode
         for batch in (part for whole in batches for part in slices(whole, 1)):
             out = {c: [] for c in ("doc_id", "copy", "piece", "start", "length", "ids_crc32")}
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -236,7 +236,7 @@ def _bags(batches):
 
 def scorer_of(shared) -> Scorer:
     """One scorer a worker process and broadcast model."""
-    return held(shared.value["key"], lambda: Scorer(shared.value["model"]))
+    return held(shared.key, lambda: Scorer(shared.model.value))
 
 
 def score(docs: DataFrame, model: SubwordModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -106,6 +106,6 @@ class WordwiseEncoder:
                 self.memo[w] = array(self.code, e.ids).tobytes()
 
 
-def encoder_of(tokenizer: str) -> WordwiseEncoder:
+def encoder_of(tokenizer: str, limit: int = 800_000) -> WordwiseEncoder:
     """One encoder a worker process, so that its memory of words lasts over tasks."""
-    return held(("tokens", tokenizer), lambda: WordwiseEncoder(tokenizer))
+    return held(("tokens", tokenizer, limit), lambda: WordwiseEncoder(tokenizer, limit))
