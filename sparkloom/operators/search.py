@@ -9,8 +9,10 @@ both give the same candidates. All ranks break ties by path.
 from __future__ import annotations
 
 import datetime
+import math
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -205,13 +207,30 @@ def lsh_clusters(docs: DataFrame, bands: int, id_col: str = "doc_id", hash_col:
     return posted.join(sets.select("b", "set", "size"), "b").select("set", "size", "id")
 
 
+def _agreeing(h: Column, threshold: int) -> Column:
+    """Keys of which two fingerprints that differ in at most ``threshold`` bits share one.
+
+    The bits are cut into threshold + more blocks, of which such a pair has ``more`` in common: a key is a choice of so many
+    blocks with their bits, long enough that few other pairs share it. There are 64 choices at most, else one block is a key.
+    """
+    more = next((m for m in (3, 2) if math.comb(threshold + m, m) <= 64), 1)
+    cuts = [fingerprint.BITS * i // (threshold + more) for i in range(threshold + more + 1)]
+    blocks = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    masks = [sum(chosen) for chosen in combinations(blocks, more)]
+    signed = [m - (1 << fingerprint.BITS) if m >> (fingerprint.BITS - 1) else m for m in masks]
+    return F.array(*[F.struct(F.lit(k).alias("band"), h.bitwiseAND(F.lit(m).cast("long")).alias("value")) for k, m in enumerate(signed)])
+
+
 def hamming_pairs(docs: DataFrame, bands: int, threshold: int, id_col: str = "doc_id", hash_col: str = "simhash") -> DataFrame:
     """(a, b, distance, n_a, n_b): fingerprints that share a band and differ in at most ``threshold`` bits.
 
     A fingerprint goes by the smallest id that has it, with the number of its
-    documents, so copies make no pairs. With more bands than ``threshold`` no such pair is missed.
+    documents, so copies make no pairs. With more bands than ``threshold`` every such pair shares
+    a band, so they are found by keys of more bits, of which fewer others share one.
     """
     values = docs.where(F.col(hash_col) != 0).groupBy(F.col(hash_col).alias("h")).agg(F.min(id_col).alias("id"), F.count("*").alias("n"))
-    posted = values.select("id", "n", "h", F.explode(fingerprint.bands(F.col("h"), bands)).alias("b"))
+    every = fingerprint.check_bands(bands) > threshold
+    keys = _agreeing(F.col("h"), threshold) if every else fingerprint.bands(F.col("h"), bands)
+    posted = values.select("id", "n", "h", F.explode(keys).alias("b"))
     pairs = posted.alias("x").join(posted.alias("y"), "b").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), fingerprint.hamming(F.col("x.h"), F.col("y.h")).alias("distance"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
     return pairs.where(F.col("distance") <= threshold).distinct()

@@ -15,13 +15,13 @@ def upsert(index: Index, arrived: DataFrame) -> None:
     """Take in rows of the binary file source; nothing is removed."""
     arrived = arrived.withColumn("path", F.regexp_replace("path", "^file:(//)?", "")).where(kind(F.col("path")) != "unknown")
     walked = arrived.select("path", kind(F.col("path")).alias("kind"), language(F.col("path")).alias("language"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
-    diff = index.diff(walked, "/").where("status in ('new', 'changed', 'same')")
+    diff = index.diff(walked, "/", only_walked=True)
     wanted = diff.where("status in ('new', 'changed')").select("path")
     index.apply(walked, diff, files.parse_contents(arrived.join(wanted, "path", "left_semi")))
 
 
 def start(index: Index, folder: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Watch a folder. Each micro-batch writes one snapshot; a replayed batch finds its files unchanged and adds nothing."""
+    """Watch a folder. Each micro-batch writes what came; a replayed batch finds its files unchanged and adds nothing."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     arrived = index.spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).load(folder)
     writer = arrived.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: upsert(index, batch))

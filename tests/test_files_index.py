@@ -4,12 +4,13 @@ import os
 import zipfile
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sparkloom import cli, server
 from sparkloom.errors import IndexNotFound, ParseError, UnsupportedFileType
-from sparkloom.operators.search import Engine, lsh_clusters
+from sparkloom.operators.search import Engine, hamming_pairs, lsh_clusters
 from sparkloom.plans.index import Index, IndexStats, resolve_index
 from sparkloom.plans.output import render
 from sparkloom.sources import files, kinds, parsers
@@ -148,6 +149,54 @@ def test_index_and_requests(spark, folder, tmp_path):
     assert names(Engine(index.docs(), postings=index.postings()).search("invoice")) == ["deal.txt"]
 
 
+def test_parts_add_up(spark, tmp_path, monkeypatch):
+    """Updates write what came; whole tables, merged postings and vacuum change no answer; ids are never given again."""
+    monkeypatch.setattr("sparkloom.plans.index.MANY_PARTS", 3)
+    root = tmp_path / "docs"
+    root.mkdir()
+    for k in range(20):
+        (root / f"f{k:02d}.txt").write_text(f"word{k:02d} common")
+    index, texts, given = Index(spark, str(tmp_path / "index")), {f"f{k:02d}.txt": f"word{k:02d} common" for k in range(20)}, set()
+    index.update(str(root))
+    assert index.update(str(root)).added == 0 and index.version() == 1
+    for turn in range(5):
+        (root / "f03.txt").write_text(f"turn{turn} common")
+        os.utime(root / "f03.txt", (1_600_000_000 + turn, 1_600_000_000 + turn))
+        (root / f"f{19 - turn:02d}.txt").unlink()
+        (root / f"n{turn}.txt").write_text(f"fresh{turn} common")
+        texts |= {"f03.txt": f"turn{turn} common", f"n{turn}.txt": f"fresh{turn} common"}
+        del texts[f"f{19 - turn:02d}.txt"]
+        assert index.update(str(root)) == IndexStats(2, 18, 1, 0)
+        rows = {os.path.basename(r["path"]): r for r in index.docs().collect()}
+        assert {n: r["text"] for n, r in rows.items()} == texts
+        fresh = {rows["f03.txt"]["doc_id"], rows[f"n{turn}.txt"]["doc_id"]}
+        assert not fresh & given
+        given |= {r["doc_id"] for r in rows.values()}
+        if turn == 3:
+            index.compact()
+            index.vacuum()
+            assert len(index.segments()) == 1
+    assert len(index._live("full", "docs", "v=")[1]) < 3
+    engine = Engine(index.docs(), postings=index.postings())
+    assert names(engine.search("common", limit=50)) == sorted(texts) and names(engine.search("turn4")) == ["f03.txt"]
+    assert not engine.search("word19").count()
+
+
+@pytest.mark.parametrize("threshold", [0, 3, 8, 12])
+def test_hamming_pairs_are_all(spark, threshold):
+    rng = np.random.default_rng(threshold)
+    own = [int(x) for x in rng.integers(-(1 << 63), (1 << 63) - 1, 40)]
+    for x in list(own):
+        for flips in (1, 3, 8, 12, 13):
+            y = x
+            for bit in rng.choice(64, flips, replace=False).tolist():
+                y ^= 1 << bit if bit < 63 else -(1 << 63)
+            own.append(y)
+    found = {(r["a"], r["b"], r["distance"]) for r in hamming_pairs(spark.createDataFrame(list(enumerate(own)), "doc_id long, simhash long"), 16, threshold).collect()}
+    apart = lambda x, y: ((x ^ y) & (1 << 64) - 1).bit_count()
+    assert found == {(i, j, apart(x, y)) for i, x in enumerate(own) for j, y in enumerate(own) if i < j and apart(x, y) <= threshold}
+
+
 def test_removal_keeps_other_roots(spark, folder, tmp_path):
     index = Index(spark, str(tmp_path / "index"), with_postings=False)
     index.update(str(folder / "sub"))
