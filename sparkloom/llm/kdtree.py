@@ -5,8 +5,8 @@ their tight bounding box. No point of a box scores more than sum(max(q * low, q
 opened, boxes are taken best first, and the search ends at the first bound below the kth score so far. Scores are always those of the original
 integers; turning only serves the bounds, which have room for its rounding.
 
-A query first visits one shard; the kth score found there is a lower bound on the answer's and
-goes with the query to all other shards, where it cuts the search from the start.
+A block of queries first visits one shard; the kth score found there is a lower bound on the answer's and
+goes with the query to all other shards, where it cuts the search from the start; there it rises from shard to shard.
 
 What the boxes save depends on the data: see ``share_scored``. Vectors of 64 dimensions without structure can't be told apart by
 any box, and nearly all points are scored.
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .vectors import at_most, best, build_shards, lengths_of, query_rows, search, top_of, usable
+from .vectors import at_most, best, build_shards, lengths_of, put_queries, query_rows, search, top_of, usable
 
 LEAF = 128
 SHARD_ROWS = 16_384
@@ -146,13 +146,15 @@ def exact_top_k(vectors: DataFrame, every: int, k: int, id_col: str = "vec_id",
     only. Scores beyond a long are given as its end, where they tie. ``shard_rows`` bounds a task's points.
     """
     rows = at_most(quantise(usable(vectors, id_col, vec_col)), k)
-    folder, shards = build_shards(rows, shard_rows, build_tree, "kd-trees")
-    queries = materialize(query_rows(rows, every).withColumn("home", F.pmod(F.xxhash64("query_id"), F.lit(shards)).cast("long")), "queries")
+    spark, lowest = vectors.sparkSession, int(_LONG.min)
+    index = build_shards(rows, shard_rows, build_tree, "kd-trees")
+    queries = materialize(query_rows(rows, every), "queries")
     opened = lambda arrays: Tree(arrays, k)
-    home = materialize(search(queries.select("query_id", "v", F.lit(None).cast("long").alias("bound"), F.col("home").alias("shard")), folder, opened, k, True), "home")
-    kth = home.groupBy("query_id").agg(F.min("score").alias("bound"), F.count("*").alias("n")).select("query_id", F.when(F.col("n") >= k, F.col("bound")).alias("bound"))
-    others = queries.join(kth, "query_id", "left").select("query_id", "v", "bound", "home", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard")).where("shard != home")
-    return best(home.union(search(others, folder, opened, k, True)), k)
+    home = materialize(search(spark, put_queries(queries, lowest), index, opened, k, True, True), "home")
+    kth = home.groupBy("query_id").agg(F.min("score").alias("bound"), F.count("*").alias("n")).where(F.col("n") >= k).select("query_id", "bound")
+    # dealt by the same hash, a query is in the same block again and the block's home the same
+    bounded = put_queries(queries.join(kth, "query_id", "left"), lowest)
+    return best(home.union(search(spark, bounded, index, opened, k, True, False)), k)
 
 
 def op5_exact_top_k(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import at_most, best, build_shards, lengths_of, query_rows, search, top_of, usable
+from .vectors import at_most, best, build_shards, lengths_of, put_queries, query_rows, search, top_of, usable
 
 PIVOTS = 512
 PREFIX = 48
@@ -86,7 +86,7 @@ class Shard:
         self.k, self.prefix = k, min(prefix, len(self.pivots))
         self.n_rerank = max(each * k, int(share * len(self.ids)))
 
-    def __call__(self, query_id: int, q: np.ndarray, bound: float | None) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, query_id: int, q: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.ids):
             return np.empty(0, np.int64), np.empty(0)
         near = self.candidates(query_id, q) if self.n_rerank < len(self.ids) else np.arange(len(self.ids))
@@ -120,9 +120,9 @@ def nearest(vectors: DataFrame, every: int, k: int, id_col: str = "vec_id", vec_
     drawn = rows.orderBy(F.xxhash64("vec_id", F.lit("pivot")), "vec_id", "v").limit(pivots).collect()  # bounded by ``pivots``
     chosen = np.unique(np.array([r["v"] for r in drawn], np.float64), axis=0) if drawn else np.empty((0, 0))
     chosen = chosen / lengths_of(chosen)[:, None] if len(chosen) else chosen
-    folder, shards = build_shards(rows, shard_rows, lambda ids, x: build_index(ids, x, chosen, prefix), "permutation-index")
-    asked = query_rows(rows, every).select("query_id", "v", F.lit(None).cast("double").alias("bound"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
-    return best(search(asked, folder, lambda arrays: Shard(arrays, k, prefix, share, each), k, False), k)
+    index = build_shards(rows, shard_rows, lambda ids, x: build_index(ids, x, chosen, prefix), "permutation-index")
+    asked = put_queries(query_rows(rows, every), float("-inf"))
+    return best(search(vectors.sparkSession, asked, index, lambda arrays: Shard(arrays, k, prefix, share, each), k, False), k)
 
 
 def op10_permutation_index(spark, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ def random_rows(n, d, seed, repeat=0):
     return rows + [(n + i, rows[3][1]) for i in range(repeat)]
 
 
-@pytest.mark.parametrize("n, d, every, k, shard_rows, repeat", [(300, 8, 10, 5, 64, 0), (200, 3, 7, 4, 50, 150), (3, 2, 1, 5, 10, 0), (1, 2, 1, 5, 10, 0)])
+@pytest.mark.parametrize("n, d, every, k, shard_rows, repeat", [(300, 8, 10, 5, 64, 0), (200, 3, 7, 4, 50, 150), (400, 4, 1, 3, 20, 30), (3, 2, 1, 5, 10, 0), (1, 2, 1, 5, 10, 0)])
 def test_exact_top_k(spark, n, d, every, k, shard_rows, repeat):
     rows = random_rows(n, d, n, repeat)
     found = kdtree.exact_top_k(frame(spark, rows), every, k, shard_rows=shard_rows)
