@@ -442,11 +442,12 @@ def _plan(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataF
     internal = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(docs.columns)], F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text")).where("__id is not null")
     size = internal.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
     batches, buckets = max(1, -(-size // BATCH_BYTES)), max(1, -int(-size * DENSITY // BUCKET_ANCHORS))
-    base = internal.withColumn("__batch", F.pmod(F.xxhash64("__id"), F.lit(batches)))
-    prints = internal.where(F.octet_length("__text") >= WINDOW).select("__id", F.md5("__text").alias("p"))
+    # by id and text: an id that a third of all rows have is spread over all batches
+    base = internal.withColumn("__batch", F.pmod(F.xxhash64("__id", "__text"), F.lit(batches)))
+    prints = base.where(F.octet_length("__text") >= WINDOW).select("__id", F.md5("__text").alias("p"), "__batch")
     firsts = prints.groupBy("p").agg(F.min("__id").alias("m"), F.max("__id").alias("x")).where("m < x").select("p", "m")
     # the payload of a copy is its id, eight bytes with the highest first, and its print: an id may have other texts
-    copies = prints.join(firsts, "p").where("__id > m").select(F.pmod(F.xxhash64("__id"), F.lit(batches)).alias("batch"), F.lit(COPIES).alias("kind"), F.unhex(F.concat(F.lpad(F.hex("__id"), 16, "0"), "p")).alias("payload"))
+    copies = prints.join(firsts, "p").where("__id > m").select(F.col("__batch").alias("batch"), F.lit(COPIES).alias("kind"), F.unhex(F.concat(F.lpad(F.hex("__id"), 16, "0"), "p")).alias("payload"))
     copies = materialize(copies, "copies")
 
     def asked(fn, schema, replies):
