@@ -261,6 +261,18 @@ def test_removal_of_odd_rows(spark):
     assert texts[1] == {None} and texts[2] == {""} and texts[5] == {"x" * 49} and texts[7] == {"a"} and texts[9] == {"z"} and texts[10] == {""}
 
 
+def test_removal_where_one_id_has_a_third_of_the_rows(spark, monkeypatch):
+    """Its texts go to many batches; none of them matches another of them, all are judged against smaller ids."""
+    monkeypatch.setattr(suffixdedup, "BATCH_BYTES", 2000)
+    rng = np.random.default_rng(8)
+    passages = ["".join(rng.choice(list("abcdefgh "), 70)) for _ in range(12)]
+    text = lambda: " ".join([passages[rng.integers(12)], "".join(rng.choice(list("xyzw "), 60)), passages[rng.integers(12)]])
+    rows = [(50 if k % 3 == 0 else k, text()) for k in range(120)]
+    rows += [(50, rows[4][1]), (50, rows[100][1])]
+    found = suffixdedup.removal_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, found)) == sorted(brute_removal(rows))
+
+
 def test_removal_where_an_id_has_a_copy_and_another_text(spark):
     """Only the copy goes whole; the other text stays, and its passages are found in later documents."""
     rng = random.Random(4)
