@@ -226,11 +226,12 @@ def hamming_pairs(docs: DataFrame, bands: int, threshold: int, id_col: str = "do
 
     A fingerprint goes by the smallest id that has it, with the number of its
     documents, so copies make no pairs. With more bands than ``threshold`` every such pair shares
-    a band, so they are found by keys of more bits, of which fewer others share one.
+    a band, so they are found by keys of more bits, of which fewer others share one. Spark's estimate
+    of a table's size leaves out that ``explode`` multiplies the rows, so the join is told not to broadcast.
     """
     values = docs.where(F.col(hash_col) != 0).groupBy(F.col(hash_col).alias("h")).agg(F.min(id_col).alias("id"), F.count("*").alias("n"))
     every = fingerprint.check_bands(bands) > threshold
     keys = _agreeing(F.col("h"), threshold) if every else fingerprint.bands(F.col("h"), bands)
     posted = values.select("id", "n", "h", F.explode(keys).alias("b"))
-    pairs = posted.alias("x").join(posted.alias("y"), "b").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), fingerprint.hamming(F.col("x.h"), F.col("y.h")).alias("distance"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
+    pairs = posted.alias("x").join(posted.alias("y").hint("merge"), "b").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), fingerprint.hamming(F.col("x.h"), F.col("y.h")).alias("distance"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
     return pairs.where(F.col("distance") <= threshold).distinct()

@@ -197,6 +197,13 @@ def test_hamming_pairs_are_all(spark, threshold):
     assert found == {(i, j, apart(x, y)) for i, x in enumerate(own) for j, y in enumerate(own) if i < j and apart(x, y) <= threshold}
 
 
+def test_hamming_pairs_are_not_broadcast(spark, tmp_path):
+    spark.range(2000).selectExpr("id AS doc_id", "xxhash64(id) AS simhash").write.parquet(str(tmp_path / "f"))
+    pairs = hamming_pairs(spark.read.parquet(str(tmp_path / "f")), 4, 3)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_removal_keeps_other_roots(spark, folder, tmp_path):
     index = Index(spark, str(tmp_path / "index"), with_postings=False)
     index.update(str(folder / "sub"))
