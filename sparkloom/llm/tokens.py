@@ -2,7 +2,8 @@
 
 ``WordwiseEncoder`` cuts a text into the words that the tokenizer's own
 pre-tokenizer would give and remembers each word's ids, so the library encodes
-every distinct word about once instead of every occurrence. It cuts texts by a
+every distinct word about once instead of every occurrence. A new word's bytes go straight to the
+library's model, as normalisation and pre-tokenisation are done by then. It cuts texts by a
 plain regular expression when all their characters are among those for which
 that is the same (ASCII and Latin letters); all other texts go to the library whole.
 """
@@ -22,8 +23,13 @@ from .common import held
 #: which normalisation leaves alone: ASCII but for the separators 1C-1F, and the
 #: Latin letters up to U+017F but for the two whose case changes length or folds oddly.
 UNSAFE = re.compile("[^\t-\r -~À-ÖØ-öø-įĲ-ňŊ-ž]")
-BYTE_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-LOWER_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: The pre-tokenizers' words on safe characters, spelt out, what is most frequent first: no other alternative begins with a letter.
+_LETTERS, _SIGNS, _ENDINGS = "[A-Za-zÀ-ÖØ-öø-įĲ-ňŊ-ž]+", r"[!-/:-@\[-`{-~]+", "'s|'t|'re|'ve|'m|'ll|'d"
+BYTE_WORD = re.compile(rf" ?{_LETTERS}|{_ENDINGS}| ?[0-9]+| ?{_SIGNS}|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+#: The printable character of each byte, as the byte-level pre-tokenizer has it: itself if visible Latin-1, else one from U+0100 on.
+_VISIBLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+PRINTABLE = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+LOWER_WORD = re.compile(rf"{_LETTERS}|{_ENDINGS}|[0-9]|{_SIGNS}")
 
 
 def resolve(name: str) -> str:
@@ -49,6 +55,7 @@ class WordwiseEncoder:
         self.tokenizer = Tokenizer.from_file(resolve(tokenizer))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         spec = json.loads(self.tokenizer.to_str())
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
@@ -71,7 +78,7 @@ class WordwiseEncoder:
         if plain and steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in parts] == ["Split", "ByteLevel"]:
             split = parts[0]
             known = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-            if split["pattern"].get("Regex") == known and split["invert"] and split["behavior"] == "Removed" and not parts[1]["use_regex"]:
+            if split["pattern"].get("Regex") == known and split["invert"] and split["behavior"] == "Removed" and not parts[1]["use_regex"] and not parts[1]["add_prefix_space"]:
                 return True, LOWER_WORD
         return False, None
 
@@ -86,24 +93,24 @@ class WordwiseEncoder:
         if self.lower:
             text = text.lower()
         words = self.word.findall(text)
-        memo = self.memo
-        try:
-            found = b"".join(map(memo.__getitem__, words))
-        except KeyError:
-            new = set(words).difference(memo)
-            if len(memo) + len(new) > self.limit:
-                memo.clear()
-                new = set(words)
-            self._learn(list(new))
-            found = b"".join(map(memo.__getitem__, words))
-        return np.frombuffer(found, self.dtype)
-
-    def _learn(self, words: list[str]) -> None:
-        """Encode new words together."""
-        for start in range(0, len(words), 4096):
-            part = words[start : start + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[w] = array(self.code, e.ids).tobytes()
+        found = list(map(self.memo.get, words))
+        if None in found:
+            at, i = [], -1
+            for _ in range(found.count(None)):
+                at.append(i := found.index(None, i + 1))
+            new = {words[i] for i in at}
+            if len(self.memo) + len(new) > self.limit:
+                self.memo.clear()
+            self._learn(new)
+            for i in at:
+                found[i] = self.memo[words[i]]
+        return np.frombuffer(b"".join(found), self.dtype)
+
+    def _learn(self, words: set[str]) -> None:
+        tokenize = self.model.tokenize
+        for w in words:
+            printable = w.encode().decode("latin-1").translate(PRINTABLE)
+            self.memo[w] = array(self.code, [x.id for x in tokenize(printable)]).tobytes()
 
 
 def encoder_of(tokenizer: str, limit: int = 800_000) -> WordwiseEncoder:

@@ -361,6 +361,17 @@ def test_wordwise_encoder_equals_the_library():
             assert encoder.encode(t).tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_new_words_go_to_the_model_alone():
+    rng = random.Random(8)
+    words = ["".join(rng.choice("aBcdéßÄŒž019.,'_-") for _ in range(rng.randint(1, 9))) for _ in range(800)]
+    texts = [rng.choice(["", " ", "\n"]).join(" ".join(rng.sample(words, 40)).split("a")) for _ in range(20)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        encoder = tokens.WordwiseEncoder(name, limit=300)
+        library, encoder.tokenizer = encoder.tokenizer, None  # no normalisation or pre-tokenisation again for a word
+        for t in texts:
+            assert encoder.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 # --- packing
 
 
