@@ -372,6 +372,16 @@ def test_new_words_go_to_the_model_alone():
             assert encoder.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_a_full_memory_of_words_keeps_what_a_text_found():
+    encoder = tokens.WordwiseEncoder("word_bpe_49k.json", limit=10)
+    learned, learn = [], encoder._learn
+    encoder._learn = lambda words: (learned.append(sorted(words)), learn(words))
+    text = "one two three four five six seven eight"
+    for t in (text, f"{text} nine ten eleven"):
+        assert encoder.encode(t).tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+    assert learned == [sorted(text.split()), ["eleven", "nine", "ten"]] and len(encoder.memo) == 3
+
+
 # --- packing
 
 
